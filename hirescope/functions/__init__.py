@@ -11,6 +11,7 @@ from hirescope.functions.experience import (
 )
 from hirescope.functions.noise import NOISE_TERMS, is_signal_keyword
 from hirescope.functions.shares import share_pct
+from hirescope.functions.text import ngrams, tokens
 
 __all__ = [
     "BAND_ORDER",
@@ -20,6 +21,8 @@ __all__ = [
     "experience_band",
     "is_signal_keyword",
     "parse_posted_date",
+    "ngrams",
     "share_pct",
+    "tokens",
     "year_strings",
 ]

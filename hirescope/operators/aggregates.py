@@ -37,3 +37,18 @@ def count_share_by(df: DataFrame, group: Column, group_name: str,
     counts = df.groupBy(group.alias(group_name)).agg(F.count(F.lit(1)).alias(count_name))
     total = F.sum(count_name).over(Window.partitionBy())
     return counts.withColumn(pct_name, share_pct(F.col(count_name), total))
+
+
+# Broadcast only below this many rows (checked, not estimated).
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
+    else ``df`` unchanged (Spark then shuffles both sides).
+
+    The check counts at most ``max_rows + 1`` rows with a limit, so it costs
+    a bounded scan, not a full pass.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -3,31 +3,71 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A right-side key with more rows than this is split over several tasks.
+HOT_ROWS_PER_TASK = 2_000_000
+# At most this many hot keys are split; the list is broadcast, so its size
+# is bounded by this cap whatever the input size. Keys past the cap are
+# still joined exactly, only without the split (AQE skew handling applies).
+MAX_HOT_KEYS = 10_000
 
-def fanout_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """``left LEFT JOIN right USING (key)`` where ``right`` may repeat keys
-    and one key may hold a large share of ``right``'s rows.
+_SALT, _SPLITS, _MATCHED = "__salt", "__splits", "__matched"
 
-    Spark can split a skewed partition only on the side whose rows are not
-    null-extended, which for a left join is ``left``. Here the hot side is
-    ``right``, so the join is written as
 
-      left INNER JOIN right  UNION ALL  (left ANTI JOIN distinct right keys) + NULLs
+def hot_keys(right: DataFrame, key: str, rows_per_task: int = HOT_ROWS_PER_TASK,
+             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``(key, __splits)`` for the heaviest right-side keys.
 
-    The inner join lets AQE split the hot partition of ``right`` into
-    several tasks; the anti join only needs the distinct right keys, which a
-    partial aggregate shrinks before the shuffle. Both branches hash ``left``
-    on ``key`` the same way, so Spark reuses that exchange. NULL keys never
-    match and come back through the anti branch, exactly as in a left join.
+    Counting is a partial-then-final hash aggregate on the key column only,
+    so the hot key itself is reduced map-side. The top-``max_keys`` cut is
+    the size bound that makes the result safe to broadcast.
     """
+    counts = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return (
+        counts.where(F.col("__n") > rows_per_task)
+        .orderBy(F.col("__n").desc(), F.col(key))
+        .limit(max_keys)
+        .select(key, F.ceil(F.col("__n") / F.lit(rows_per_task)).cast("int").alias(_SPLITS))
+    )
+
+
+def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
+                     rows_per_task: int = HOT_ROWS_PER_TASK,
+                     max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` where ``right`` may repeat a key
+    many times and one key may hold a large share of ``right``.
+
+    Spark can only split a skewed join partition on the preserved side of a
+    left join; here the hot side is ``right``. So a hot key is salted:
+    its right rows are dealt round-robin into ``__splits`` buckets and its
+    left row is copied once per bucket, and the join runs on
+    ``(key, __salt)``. Every (left, right) pair still meets exactly once.
+
+    A copied left row whose bucket happens to be empty would come back
+    NULL-extended; since a hot key always has right rows, such rows are
+    dropped, which keeps the result identical to the plain left join.
+    Cold keys use salt 0 and a single copy, so their NULL-extension
+    (no description) is kept as usual. NULL keys never match.
+    """
+    hot = F.broadcast(hot_keys(right, key, rows_per_task, max_hot_keys))
     right_cols = [c for c in right.columns if c != key]
-    right_keys = right.select(key).where(F.col(key).isNotNull()).distinct()
-    matched = left.join(right.where(F.col(key).isNotNull()), key, "inner")
-    unmatched = left.join(right_keys, key, "left_anti")
-    for c in right_cols:
-        unmatched = unmatched.withColumn(c, F.lit(None).cast(right.schema[c].dataType))
-    cols = list(left.columns) + right_cols
-    return matched.select(*cols).unionByName(unmatched.select(*cols))
+
+    salted_right = (
+        right.where(F.col(key).isNotNull())
+        .join(hot, key, "left")
+        .withColumn(
+            _SALT,
+            F.when(F.col(_SPLITS).isNull(), F.lit(0))
+            .otherwise(F.pmod(F.monotonically_increasing_id(), F.col(_SPLITS)).cast("int")),
+        )
+        .withColumn(_MATCHED, F.lit(True))
+        .drop(_SPLITS)
+    )
+    copied_left = left.join(hot, key, "left").withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SPLITS), F.lit(1)) - 1))
+    )
+    joined = copied_left.join(salted_right, [key, _SALT], "left")
+    exact = joined.where(F.col(_SPLITS).isNull() | F.col(_MATCHED).isNotNull())
+    return exact.select(*left.columns, *right_cols)
 
 
 def lookup_left_join(left: DataFrame, lookup: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ model in plain SQL. Shares are cast to DOUBLE on both sides.
 
 from hirescope.functions.experience import YEARS_PATTERN
 from hirescope.functions.noise import NOISE_TERMS
+from hirescope.functions.text import TOKEN_SPLIT
 
 _NOISE_SQL = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in NOISE_TERMS) + ")"
 
@@ -114,6 +115,25 @@ _CTES = {
   FROM keyword_snapshots k CROSS JOIN described_total t
   WHERE k.keyword NOT IN {_NOISE_SQL}
     AND length(k.keyword) > 1""",
+    "documents_described": """
+  SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS job_url, text AS description_text, 'ok' AS fetch_status
+  FROM documents""",
+    "keyword_snapshot": f"""
+  SELECT keyword, count(DISTINCT job_url) AS posting_count, DATE '{{snapshot_date}}' AS snapshot_date
+  FROM (
+    SELECT job_url, unnest(list_distinct(
+             t
+             || [t[i] || ' ' || t[i + 1] for i in range(1, len(t))]
+             || [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]
+           )) AS keyword
+    FROM (
+      SELECT job_url,
+             list_filter(regexp_split_to_array(lower(description_text), '{TOKEN_SPLIT}'),
+                         lambda x: x <> '') AS t
+      FROM documents_described
+      WHERE description_text IS NOT NULL AND job_url IS NOT NULL) tok
+  ) grams
+  GROUP BY keyword""",
 }
 
 # Which named steps each step reads (CTEs are emitted in dependency order).
@@ -135,6 +155,8 @@ _DEPS = {
     "keyword_denoised": ["keyword_snapshots"],
     "keyword_latest": ["keyword_snapshots", "described_total", "latest_snapshot_date"],
     "keyword_trends": ["keyword_snapshots", "described_total"],
+    "documents_described": [],
+    "keyword_snapshot": ["documents_described"],
 }
 
 
@@ -157,7 +179,8 @@ def statement(name: str, final: str | None = None) -> str:
     return f"WITH {ctes}\n{body.strip()}"
 
 
-def model_statements() -> dict[str, str]:
+def model_statements(snapshot_date: str = "2024-01-31") -> dict[str, str]:
     """One statement per model step, excluding the raw bindings."""
-    skip = {"postings_raw", "descriptions_raw", "keyword_snapshots"}
-    return {name: statement(name) for name in _CTES if name not in skip}
+    skip = {"postings_raw", "descriptions_raw", "keyword_snapshots", "documents_described"}
+    return {name: statement(name).replace("{snapshot_date}", snapshot_date)
+            for name in _CTES if name not in skip}

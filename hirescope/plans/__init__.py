@@ -8,6 +8,7 @@ from hirescope.plans.gold import (
     latest_snapshot_date,
     signal_keywords,
 )
+from hirescope.plans.snapshots import keyword_snapshot
 from hirescope.plans.silver import (
     experience_requirements,
     ok_descriptions,
@@ -23,6 +24,7 @@ __all__ = [
     "experience_distribution",
     "experience_requirements",
     "keyword_latest",
+    "keyword_snapshot",
     "keyword_trends",
     "latest_snapshot_date",
     "min_years_per_posting",
