@@ -8,6 +8,7 @@ from hirescope.plans.gold import (
     latest_snapshot_date,
     signal_keywords,
 )
+from hirescope.plans.project import build_all
 from hirescope.plans.snapshots import keyword_snapshot
 from hirescope.plans.silver import (
     experience_requirements,
@@ -20,6 +21,7 @@ from hirescope.plans.silver import (
 )
 
 __all__ = [
+    "build_all",
     "described_total",
     "experience_distribution",
     "experience_requirements",
