@@ -52,3 +52,23 @@ def write_snapshot(df: DataFrame, path: str) -> None:
        .option("partitionOverwriteMode", "dynamic")
        .partitionBy("snapshot_date")
        .parquet(path))
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the session's checkpoint folder and
+    return the stored copy.
+
+    For a model read by several consumers (silver postings feeds the
+    requirements twice): it is computed once, its lineage is cut, and each
+    reader prunes the stored columns it does not need. The folder comes from
+    ``spark.checkpoint.dir`` (shared storage on a cluster); a local one is
+    made only when the session names none.
+    """
+    import uuid
+
+    from hirescope.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
