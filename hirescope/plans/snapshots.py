@@ -15,23 +15,39 @@ from hirescope.functions.text import MAX_NGRAM, ngrams
 from hirescope.operators.aggregates import bounded_broadcast
 
 
+# Tokenizing is CPU-heavy per row and text lengths vary by orders of
+# magnitude, so the job wants several tasks per core.
+TASKS_PER_CORE = 4
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin the input over ``TASKS_PER_CORE`` x cores partitions when
+    it arrives in fewer splits than that (a small table, or a file written
+    as one row group). Large inputs already have more splits and are left
+    as they are, so at scale this adds no shuffle."""
+    target = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
                      max_n: int = MAX_NGRAM, min_postings: int = 1,
                      vocabulary: DataFrame | None = None) -> DataFrame:
     """``(keyword, posting_count, snapshot_date)`` over every described posting.
 
-    Each description is tokenized whole; its n-gram occurrences are
-    exploded to ``(job_url, keyword)`` rows and counted as distinct postings
-    per keyword. Spark plans that as dedupe-by-(keyword, job_url) then count,
+    Each description is tokenized whole; its distinct n-grams are exploded
+    to ``(job_url, keyword)`` rows and counted as distinct postings per
+    keyword (one posting may have several descriptions). Spark plans that as dedupe-by-(keyword, job_url) then count,
     each with a map-side partial aggregate, so a keyword found in every
     posting is reduced before it is shuffled.
 
     ``vocabulary`` (a ``keyword`` column) keeps only listed keywords; it is
     broadcast when its size is proven small, else shuffle-joined.
     """
-    described = silver.where(F.col("description_text").isNotNull() & F.col("job_url").isNotNull())
-    grams = described.select(
-        "job_url", F.explode(ngrams(F.col("description_text"), max_n)).alias("keyword")
+    described = silver.where(
+        F.col("description_text").isNotNull() & F.col("job_url").isNotNull()
+    ).select("job_url", "description_text")
+    grams = _spread(described).select(
+        "job_url", F.explode(F.array_distinct(ngrams(F.col("description_text"), max_n))).alias("keyword")
     )
     if vocabulary is not None:
         vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()
