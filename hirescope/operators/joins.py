@@ -42,13 +42,23 @@ def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
     left row is copied once per bucket, and the join runs on
     ``(key, __salt)``. Every (left, right) pair still meets exactly once.
 
+    The hot-key list is computed first, as one small job over the key
+    column (at most ``max_hot_keys`` rows reach the driver), and becomes a
+    local relation that both sides broadcast; so it is computed once, and
+    when no key is hot the join is planned as a plain left join.
+
     A copied left row whose bucket happens to be empty would come back
     NULL-extended; since a hot key always has right rows, such rows are
     dropped, which keeps the result identical to the plain left join.
     Cold keys use salt 0 and a single copy, so their NULL-extension
     (no description) is kept as usual. NULL keys never match.
     """
-    hot = F.broadcast(hot_keys(right, key, rows_per_task, max_hot_keys))
+    hot_df = hot_keys(right, key, rows_per_task, max_hot_keys)
+    hot_rows = hot_df.collect()  # bounded by max_hot_keys
+    if not hot_rows:
+        return left.join(right, key, "left")
+    spark = right.sparkSession
+    hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema))
     right_cols = [c for c in right.columns if c != key]
 
     salted_right = (
