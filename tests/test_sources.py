@@ -1,0 +1,60 @@
+"""Readers and the declared-schema check."""
+
+import datetime as dt
+import tempfile
+
+import pytest
+
+from hirescope.sources import (
+    read_descriptions_raw,
+    read_keyword_snapshots,
+    read_postings_raw,
+)
+from hirescope.sources.schemas import SchemaMismatch
+from tests.fixtures import descriptions_df, postings_df, snapshots_df
+
+
+def test_read_parquet_paths_narrow_to_declared_columns(spark):
+    root = tempfile.mkdtemp(prefix="hs-src-")
+    p0 = postings_df(spark)
+    p0.withColumn("extra", p0.title).write.parquet(f"{root}/p")
+    descriptions_df(spark).write.parquet(f"{root}/d")
+    snapshots_df(spark).write.parquet(f"{root}/k")
+    p = read_postings_raw(spark, f"{root}/p")
+    assert p.columns == ["job_url", "title", "company", "location", "posted_date",
+                         "search_keyword", "search_location", "scraped_at"]
+    assert p.count() == 10
+    assert read_descriptions_raw(spark, f"{root}/d").count() == 7
+    assert read_keyword_snapshots(spark, f"{root}/k").count() == 7
+
+
+def test_read_catalog_table(spark):
+    root = tempfile.mkdtemp(prefix="hs-cat-")
+    spark.sql("CREATE DATABASE IF NOT EXISTS hs_bronze")
+    descriptions_df(spark).write.mode("overwrite").option("path", f"{root}/d").saveAsTable(
+        "hs_bronze.descriptions_raw")
+    assert read_descriptions_raw(spark, "hs_bronze.descriptions_raw").count() == 7
+
+
+def test_missing_column_is_an_error(spark):
+    root = tempfile.mkdtemp(prefix="hs-bad-")
+    postings_df(spark).drop("scraped_at").write.parquet(f"{root}/p")
+    with pytest.raises(SchemaMismatch, match="scraped_at"):
+        read_postings_raw(spark, f"{root}/p")
+
+
+def test_wrong_type_is_an_error(spark):
+    df = spark.createDataFrame([("python", "two", dt.date(2026, 1, 1))],
+                               "keyword string, posting_count string, snapshot_date date")
+    root = tempfile.mkdtemp(prefix="hs-bad2-")
+    df.write.parquet(f"{root}/k")
+    with pytest.raises(SchemaMismatch, match="posting_count"):
+        read_keyword_snapshots(spark, f"{root}/k")
+
+
+def test_int_counts_are_widened(spark):
+    df = spark.createDataFrame([("python", 2, dt.date(2026, 1, 1))],
+                               "keyword string, posting_count int, snapshot_date date")
+    root = tempfile.mkdtemp(prefix="hs-int-")
+    df.write.parquet(f"{root}/k")
+    assert dict(read_keyword_snapshots(spark, f"{root}/k").dtypes)["posting_count"] == "bigint"

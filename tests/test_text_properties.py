@@ -1,0 +1,68 @@
+"""Property tests: Spark expressions against a plain-Python brute force."""
+
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from hirescope.functions.experience import YEARS_PATTERN, year_strings
+from hirescope.functions.text import MAX_NGRAM, ngrams, tokens
+
+# Alphabet rich in the pattern's own characters so matches are frequent.
+_years_text = st.lists(
+    st.sampled_from(["1", "2", "5", "10", "100", "2024", " ", "-", "+", "year", "years", "Years",
+                     "YEAR", "yrs", ".", "\n", "x", "of", "3 to 5"]),
+    min_size=0, max_size=12,
+).map("".join)
+
+_words = st.lists(
+    st.sampled_from(["Python", "c++", "C#", "sql", "401(k)", "data", "Über", "naïve", "  ", ", ",
+                     "\n", "-", "año", "x", "42"]),
+    min_size=0, max_size=15,
+).map(" ".join)
+
+
+def _brute_years(text):
+    return [m.group(1) for m in re.finditer(YEARS_PATTERN, text.lower())]
+
+
+def _brute_ngrams(text, max_n=MAX_NGRAM):
+    toks = [t for t in re.split(r"[^\w+#]+|_", text.lower()) if t]
+    out = []
+    for n in range(1, max_n + 1):
+        out += [" ".join(toks[i:i + n]) for i in range(len(toks) - n + 1)]
+    return toks, out
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(_years_text, min_size=1, max_size=20))
+def test_years_pattern_matches_python(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.m for r in df.select(year_strings("t").alias("m")).collect()]
+    assert got == [_brute_years(t) for t in texts]
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(_words, min_size=1, max_size=20))
+def test_ngrams_match_python(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    from pyspark.sql import functions as F
+    rows = df.select(tokens(F.col("t")).alias("tok"), ngrams(F.col("t")).alias("g")).collect()
+    for text, row in zip(texts, rows):
+        toks, grams = _brute_ngrams(text)
+        assert row.tok == toks
+        assert sorted(row.g) == sorted(grams)
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("Python, SQL and C++", {"python", "sql", "and", "c++", "python sql", "sql and", "and c++",
+                             "python sql and", "sql and c++"}),
+    ("401(k) match", {"401", "k", "match", "401 k", "k match", "401 k match"}),
+    ("C#", {"c#"}),
+    ("", set()),
+])
+def test_ngram_examples(spark, text, expected):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame([(text,)], "t string")
+    assert set(df.select(ngrams(F.col("t")).alias("g")).first().g) == expected
