@@ -32,12 +32,17 @@ def _ngram_pattern(n: int) -> str:
 
 
 def ngrams(text: Column, max_n: int = MAX_NGRAM) -> Column:
-    """Every 1..max_n-gram occurrence of the text, in one array.
+    """Every 1..max_n-gram occurrence of the text, in one array (repeats kept)."""
+    return ngrams_of_normalized(normalized(text), max_n)
 
-    Occurrences repeat; callers dedupe with their aggregate, which Spark
-    does map-side before any shuffle.
+
+def ngrams_of_normalized(norm: Column, max_n: int = MAX_NGRAM) -> Column:
+    """``ngrams`` over text already passed through ``normalized``.
+
+    Project the normalized text as its own column first: the three
+    expressions below then share it instead of each redoing the
+    lower-case and separator rewrite of the whole text.
     """
-    norm = normalized(text)
     parts = [F.array_remove(F.split(norm, " "), "")]
     parts += [F.regexp_extract_all(norm, F.lit(_ngram_pattern(n)), F.lit(1))
               for n in range(2, max_n + 1)]

@@ -11,7 +11,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirescope.functions.text import MAX_NGRAM, ngrams
+from hirescope.functions.text import MAX_NGRAM, ngrams_of_normalized, normalized
 from hirescope.operators.aggregates import bounded_broadcast
 
 
@@ -46,8 +46,9 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     described = silver.where(
         F.col("description_text").isNotNull() & F.col("job_url").isNotNull()
     ).select("job_url", "description_text")
-    grams = _spread(described).select(
-        "job_url", F.explode(F.array_distinct(ngrams(F.col("description_text"), max_n))).alias("keyword")
+    norm = _spread(described).select("job_url", normalized(F.col("description_text")).alias("norm"))
+    grams = norm.select(
+        "job_url", F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword")
     )
     if vocabulary is not None:
         vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()

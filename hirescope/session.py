@@ -32,12 +32,23 @@ def local_session(cpus: int | str = "*", app: str = "hirescope", **conf) -> Spar
     return spark
 
 
+class CheckpointDirMissing(RuntimeError):
+    pass
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if the
-    session names none (local runs and tests)."""
+    """Return the shared checkpoint folder named by the session.
+
+    Only a local-mode session (tests, single-machine runs) without one gets
+    a scratch folder made for it; on a cluster a machine-local folder would
+    be invisible to the other executors, so a missing setting is an error.
+    """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise CheckpointDirMissing(
+            "set spark.checkpoint.dir to a folder on shared storage (HDFS, object store)")
     local = tempfile.mkdtemp(prefix="hirescope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
