@@ -41,17 +41,35 @@ def publish(df: DataFrame, schema: str, table: str, path: str | None = None) ->
     return spark.read.table(f"`{schema}`.`{table}`")
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
+def write_snapshot(df: DataFrame, target: str) -> None:
     """Append one day of keyword counts, partitioned by ``snapshot_date``.
 
+    ``target`` is a Parquet folder (contains ``/``) or a catalog table.
     Dynamic partition overwrite replaces only the dates present in ``df``,
     so re-running a day does not duplicate its rows and leaves other days
     untouched.
     """
-    (df.write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic")
-       .partitionBy("snapshot_date")
-       .parquet(path))
+    cols = ["keyword", "posting_count", "snapshot_date"]
+    df = df.select(*cols)
+    if "/" in target:
+        (df.write.mode("overwrite")
+           .option("partitionOverwriteMode", "dynamic")
+           .partitionBy("snapshot_date")
+           .parquet(target))
+        return
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(target):
+        df.write.format("parquet").partitionBy("snapshot_date").saveAsTable(target)
+        return
+    # insertInto ignores the per-write option; the session setting is
+    # switched for this one statement and restored.
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        df.write.mode("overwrite").insertInto(target)
+    finally:
+        spark.conf.set(key, before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

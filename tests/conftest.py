@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,7 @@ from hirescope.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session("*", app="hirescope-tests")
+    warehouse = tempfile.mkdtemp(prefix="hs-warehouse-")
+    s = local_session("*", app="hirescope-tests", **{"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()

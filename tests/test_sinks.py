@@ -49,3 +49,32 @@ def test_snapshot_rerun_replaces_only_its_date(spark):
     write_snapshot(day2, path)  # rerun of day 2
     rows = sorted((r.keyword, r.posting_count, r.snapshot_date) for r in spark.read.parquet(path).collect())
     assert rows == [("python", 2, dt.date(2026, 1, 1)), ("python", 3, dt.date(2026, 1, 2))]
+
+
+def test_snapshot_into_catalog_table_replaces_only_its_date(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS hs_silver")
+    spark.sql("DROP TABLE IF EXISTS hs_silver.kw_snap")
+    schema = snapshots_df(spark).schema
+    day1 = spark.createDataFrame([("python", 2, dt.date(2026, 1, 1))], schema)
+    day2 = spark.createDataFrame([("python", 3, dt.date(2026, 1, 2))], schema)
+    write_snapshot(day1, "hs_silver.kw_snap")
+    write_snapshot(day2, "hs_silver.kw_snap")
+    write_snapshot(day2, "hs_silver.kw_snap")
+    rows = sorted((r.keyword, r.posting_count, r.snapshot_date)
+                  for r in spark.read.table("hs_silver.kw_snap").collect())
+    assert rows == [("python", 2, dt.date(2026, 1, 1)), ("python", 3, dt.date(2026, 1, 2))]
+
+
+def test_cli_build_and_snapshot(spark):
+    from hirescope.__main__ import main
+    root = tempfile.mkdtemp(prefix="hs-cli-")
+    postings_df(spark).write.parquet(f"{root}/raw")
+    descriptions_df(spark).write.parquet(f"{root}/desc")
+    snapshots_df(spark).write.parquet(f"{root}/snaps")
+    assert main(["build", "--postings-raw", f"{root}/raw", "--descriptions-raw", f"{root}/desc",
+                 "--keyword-snapshots", f"{root}/snaps", "--target-schema", "hs_cli",
+                 "--location-root", f"{root}/tables"]) == 0
+    assert spark.read.table("gold.gold_experience_distribution").count() == 3
+    assert main(["snapshot", "--date", "2026-01-03", "--silver", "silver.silver_linkedin_postings",
+                 "--out", f"{root}/kw"]) == 0
+    assert spark.read.parquet(f"{root}/kw").where("keyword = 'years'").first().posting_count == 3
