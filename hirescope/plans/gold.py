@@ -47,6 +47,11 @@ def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
                    ordered: bool = True) -> DataFrame:
     """M4: keyword shares on the newest snapshot date.
 
+    Sorted by count descending as in the source; ``keyword`` breaks ties.
+    The source leaves ties unordered, and without a tie-break the range
+    partitioner of the sort would send every row of one count (typically
+    the long tail at 1) to a single task.
+
     The newest date is taken before the noise filter, so the result is empty
     when that day holds only noise. Shares divide by today's described
     postings, so they are not bounded by 100.
@@ -54,7 +59,7 @@ def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
     latest = latest_snapshot_date(snapshots).scalar()
     rows = signal_keywords(snapshots.where(F.col("snapshot_date") == latest), noise)
     out = _with_share(rows, silver).select("keyword", "posting_count", "snapshot_date", "pct")
-    return out.orderBy(F.col("posting_count").desc()) if ordered else out
+    return out.orderBy(F.col("posting_count").desc(), "keyword") if ordered else out
 
 
 def keyword_trends(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
@@ -62,4 +67,4 @@ def keyword_trends(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
     """M5: keyword shares on every snapshot date (column order differs from M4)."""
     rows = signal_keywords(snapshots, noise)
     out = _with_share(rows, silver).select("keyword", "snapshot_date", "posting_count", "pct")
-    return out.orderBy("snapshot_date", F.col("posting_count").desc()) if ordered else out
+    return out.orderBy("snapshot_date", F.col("posting_count").desc(), "keyword") if ordered else out
