@@ -26,7 +26,7 @@ def postings_raw_from_events(events: DataFrame) -> DataFrame:
     """B1: one raw scrape per event; every 20th user id lands without a URL."""
     et = F.col("event_type")
     posted = (
-        F.when(et == "view", F.date_format(F.col("ts"), "yyyy-MM-dd"))
+        F.when(et == "view", F.to_date(F.col("ts")).cast("string"))
         .when(et == "click", F.lit("3 days ago"))
         .when(et == "error", F.lit("2024-02-31"))
         .when(et == "purchase", F.lit("2024-1-5"))
