@@ -134,3 +134,46 @@ def test_posted_date_parse(spark, text, expected):
     from hirescope.functions.dates import parse_posted_date
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(parse_posted_date("t").alias("d")).collect()[0].d == expected
+
+
+def test_q2_ties_pick_the_same_row_every_time(spark):
+    ts = dt.datetime(2026, 1, 1, 6)
+    rows = [("t1", "A", None, ts), ("t1", "B", None, ts), ("t1", "C", None, None)]
+    for _ in range(3):
+        out = plans.postings_latest(postings_df(spark, rows).repartition(3)).collect()
+        assert [(r.job_url, r.title) for r in out] == [("t1", "B")]  # NULL time ranks last
+
+
+def test_q5_null_or_other_status_drops_description_not_posting(spark):
+    desc = descriptions_df(spark, [("u4", "3 years", None), ("u4", "4 years", "OK"), ("u4", "5 years", "ok ")])
+    silver = plans.silver_postings(postings_df(spark), desc)
+    u4 = silver.where(F.col("job_url") == "u4").collect()
+    assert len(u4) == 1 and u4[0].description_text is None
+
+
+def test_q8_values_over_20_are_ignored(spark):
+    desc = descriptions_df(spark, [("u4", "25 years; 21 years", "ok"), ("u2", "25 years, 20 years", "ok")])
+    req = plans.experience_requirements(plans.silver_postings(postings_df(spark), desc))
+    got = {r.job_url: r.years_min for r in req.where(F.col("job_url").isin("u2", "u4")).collect()}
+    assert got == {"u2": 20, "u4": None}
+
+
+def test_q11_band_labels(spark):
+    from hirescope.functions.experience import experience_band
+    vals = [0, 2, 3, 5, 6, 8, 9, 20, None]
+    df = spark.createDataFrame([(v,) for v in vals], "y int")
+    got = [r.b for r in df.select(experience_band("y").alias("b")).collect()]
+    assert got == ["0-2", "0-2", "3-5", "3-5", "5-8", "5-8", "8+", "8+", "not_specified"]
+
+
+def test_q13_share_can_exceed_100(spark, silver):
+    snaps = snapshots_df(spark, [("rust", 7, dt.date(2026, 1, 5))])
+    (row,) = plans.keyword_latest(snaps, silver).collect()
+    assert float(row.pct) == 233.3  # 7 of 3 described postings
+
+
+def test_q18_duplicate_snapshot_rows_pass_through(spark, silver):
+    d = dt.date(2026, 1, 5)
+    snaps = snapshots_df(spark, [("rust", 1, d), ("rust", 1, d)])
+    assert plans.keyword_trends(snaps, silver).count() == 2
+    assert plans.keyword_latest(snaps, silver).count() == 2
