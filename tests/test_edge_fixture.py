@@ -11,7 +11,9 @@ from tests.fixtures import descriptions_df, postings_df, snapshots_df
 
 @pytest.fixture(scope="module")
 def silver(spark):
-    return plans.silver_postings(postings_df(spark), descriptions_df(spark)).cache()
+    df = plans.silver_postings(postings_df(spark), descriptions_df(spark)).cache()
+    yield df
+    df.unpersist()
 
 
 def _rows(df, *cols):

@@ -16,7 +16,9 @@ def models(spark):
     silver = plans.silver_postings(raw, bindings.descriptions_raw(spark, SF)).cache()
     req = plans.experience_requirements(silver).cache()
     snaps = bindings.keyword_snapshots(spark, SF).cache()
-    return raw, silver, req, snaps
+    yield raw, silver, req, snaps
+    for df in (silver, req, snaps):
+        df.unpersist()
 
 
 def test_silver_covers_every_key(models):
