@@ -55,13 +55,17 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
                            sink: Callable[[DataFrame], None],
                            available_now: bool = True,
                            max_files_per_trigger: int | None = None,
-                           schema=None) -> StreamingQuery:
+                           schema=None, state_partitions: int | None = None) -> StreamingQuery:
     """Start the upkeep query; ``sink`` receives the full table each trigger.
 
     ``available_now`` processes everything that has landed and stops (a
     scheduled run); otherwise the query keeps running. ``schema`` defaults
     to the landed files' own schema (checked against the declared columns),
-    so ``scraped_at`` keeps its timestamp flavour.
+    so ``scraped_at`` keeps its timestamp flavour. ``state_partitions``
+    fixes the number of state-store partitions (default: the session's
+    shuffle partitions); it is recorded in the checkpoint on the first run
+    and kept on every restart, so size it for the eventual number of
+    postings.
     """
     if schema is None:
         schema = conform(spark.read.parquet(raw_dir), POSTINGS_RAW, "postings_raw").schema
@@ -76,4 +80,13 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
     writer = (latest_state(raw).writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint).foreachBatch(write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    return writer.start()
+    if state_partitions is None:
+        return writer.start()
+    # The query copies the session's settings when it starts.
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
