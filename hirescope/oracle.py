@@ -14,6 +14,27 @@ _NOISE_SQL = "(" + ", ".join("'" + t.replace("'", "''") + "'" for t in NOISE_TER
 
 _POSTING_COLS = "job_url, title, company, location, posted_date, search_keyword, search_location"
 
+def _keyword_snapshot_sql(source: str) -> str:
+    """Keyword counts over ``source`` (job_url, description_text), by a
+    list comprehension over the token list."""
+    return f"""
+  SELECT keyword, count(DISTINCT job_url) AS posting_count, DATE '{{snapshot_date}}' AS snapshot_date
+  FROM (
+    SELECT job_url, unnest(list_distinct(
+             t
+             || [t[i] || ' ' || t[i + 1] for i in range(1, len(t))]
+             || [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]
+           )) AS keyword
+    FROM (
+      SELECT job_url,
+             list_filter(regexp_split_to_array(lower(description_text), '{TOKEN_SPLIT}'),
+                         lambda x: x <> '') AS t
+      FROM {source}
+      WHERE description_text IS NOT NULL AND job_url IS NOT NULL) tok
+  ) grams
+  GROUP BY keyword"""
+
+
 _CTES = {
     "postings_raw": """
   SELECT CASE WHEN user_id % 20 = 7 THEN NULL ELSE 'job/' || CAST(user_id AS VARCHAR) END AS job_url,
@@ -117,22 +138,8 @@ _CTES = {
     "documents_described": """
   SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS job_url, text AS description_text, 'ok' AS fetch_status
   FROM documents""",
-    "keyword_snapshot": f"""
-  SELECT keyword, count(DISTINCT job_url) AS posting_count, DATE '{{snapshot_date}}' AS snapshot_date
-  FROM (
-    SELECT job_url, unnest(list_distinct(
-             t
-             || [t[i] || ' ' || t[i + 1] for i in range(1, len(t))]
-             || [t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]
-           )) AS keyword
-    FROM (
-      SELECT job_url,
-             list_filter(regexp_split_to_array(lower(description_text), '{TOKEN_SPLIT}'),
-                         lambda x: x <> '') AS t
-      FROM documents_described
-      WHERE description_text IS NOT NULL AND job_url IS NOT NULL) tok
-  ) grams
-  GROUP BY keyword""",
+    "keyword_snapshot": _keyword_snapshot_sql("documents_described"),
+    "keyword_snapshot_postings": _keyword_snapshot_sql("silver_postings"),
 }
 
 # Which named steps each step reads (CTEs are emitted in dependency order).
@@ -157,6 +164,7 @@ _DEPS = {
     "keyword_trends": ["keyword_snapshots", "keyword_denoised", "described_total"],
     "documents_described": [],
     "keyword_snapshot": ["documents_described"],
+    "keyword_snapshot_postings": ["silver_postings"],
 }
 
 

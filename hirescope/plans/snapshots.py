@@ -29,16 +29,42 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+# Postings with several description rows are counted through the exact
+# distinct path; up to this many such keys are listed on the driver.
+MAX_REPEATED_KEYS = 100_000
+
+
+def _keyword_rows(described: DataFrame, max_n: int, vocabulary: DataFrame | None) -> DataFrame:
+    """``(job_url, keyword)`` for each distinct n-gram of each description row."""
+    norm = _spread(described).select("job_url", normalized(F.col("description_text")).alias("norm"))
+    grams = norm.select(
+        "job_url", F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword")
+    )
+    if vocabulary is not None:
+        vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()
+        grams = grams.join(bounded_broadcast(vocab), "keyword", "left_semi")
+    return grams
+
+
 def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
                      max_n: int = MAX_NGRAM, min_postings: int = 1,
                      vocabulary: DataFrame | None = None) -> DataFrame:
     """``(keyword, posting_count, snapshot_date)`` over every described posting.
 
-    Each description is tokenized whole; its distinct n-grams are exploded
-    to ``(job_url, keyword)`` rows and counted as distinct postings per
-    keyword (one posting may have several descriptions). Spark plans that as dedupe-by-(keyword, job_url) then count,
-    each with a map-side partial aggregate, so a keyword found in every
-    posting is reduced before it is shuffled.
+    Each description is tokenized whole and its distinct n-grams exploded to
+    ``(job_url, keyword)`` rows; ``posting_count`` is the number of distinct
+    postings per keyword.
+
+    Descriptions are meant to be one per posting, but one posting may have
+    several. A key-only aggregate first lists the postings with more than
+    one description row (bounded by ``MAX_REPEATED_KEYS``). Rows of all
+    other postings already give each (keyword, posting) pair once, so they
+    are counted with a plain ``count`` whose partial aggregate ships one row
+    per keyword and task. Only the repeated postings go through
+    ``count(DISTINCT job_url)`` (dedupe the pairs, then count, both with
+    map-side partial aggregation, so a hot posting or keyword is reduced
+    before it is shuffled). When too many postings repeat, every row takes
+    the distinct path.
 
     ``vocabulary`` (a ``keyword`` column) keeps only listed keywords; it is
     broadcast when its size is proven small, else shuffle-joined.
@@ -46,14 +72,24 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     described = silver.where(
         F.col("description_text").isNotNull() & F.col("job_url").isNotNull()
     ).select("job_url", "description_text")
-    norm = _spread(described).select("job_url", normalized(F.col("description_text")).alias("norm"))
-    grams = norm.select(
-        "job_url", F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword")
-    )
-    if vocabulary is not None:
-        vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()
-        grams = grams.join(bounded_broadcast(vocab), "keyword", "left_semi")
-    counts = grams.groupBy("keyword").agg(F.countDistinct("job_url").alias("posting_count"))
+    repeated_df = (described.groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
+                   .where(F.col("__rows") > 1).select("job_url"))
+    repeated = repeated_df.limit(MAX_REPEATED_KEYS + 1).collect()
+    if len(repeated) > MAX_REPEATED_KEYS:
+        counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
+            F.countDistinct("job_url").alias("posting_count"))
+    elif not repeated:
+        counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
+            F.count(F.lit(1)).alias("posting_count"))
+    else:
+        keys = F.broadcast(described.sparkSession.createDataFrame(repeated, repeated_df.schema))
+        once = _keyword_rows(described.join(keys, "job_url", "left_anti"), max_n, vocabulary)
+        again = _keyword_rows(described.join(keys, "job_url", "left_semi"), max_n, vocabulary)
+        counts = (
+            once.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+            .unionByName(again.groupBy("keyword").agg(F.countDistinct("job_url").alias("n")))
+            .groupBy("keyword").agg(F.sum("n").alias("posting_count"))
+        )
     if min_postings > 1:
         counts = counts.where(F.col("posting_count") >= min_postings)
     return counts.select(

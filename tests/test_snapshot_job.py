@@ -55,3 +55,24 @@ def test_daily_append_feeds_gold_reports(spark):
     assert latest["sql"] == (1, 50.0)
     assert "and" not in latest or latest["and"][0] == 1
     assert "data" not in latest
+
+
+def test_all_counting_paths_agree(spark, monkeypatch):
+    """Fast path (no repeated posting), mixed path and all-distinct fallback."""
+    import hirescope.plans.snapshots as snap
+    from hirescope.sources import bindings
+    sf = "/root/testdata/sf0.001"
+    silver = plans.silver_postings(bindings.postings_raw(spark, sf), bindings.descriptions_raw(spark, sf))
+
+    def run(limit):
+        monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", limit)
+        return sorted(map(tuple, snap.keyword_snapshot(silver, "2026-01-02").collect()))
+
+    mixed = run(100_000)
+    fallback = run(0)
+    assert mixed == fallback and len(mixed) > 0
+    unique = _silver(spark, [("u1", "Python and SQL", "ok"), ("u3", "python", "ok")])
+    monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", 100_000)
+    fast = sorted(map(tuple, snap.keyword_snapshot(unique, "2026-01-02").collect()))
+    monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", -1)
+    assert fast == sorted(map(tuple, snap.keyword_snapshot(unique, "2026-01-02").collect()))
