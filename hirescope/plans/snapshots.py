@@ -25,8 +25,12 @@ def _spread(df: DataFrame) -> DataFrame:
     it arrives in fewer splits than that (a small table, or a file written
     as one row group). Large inputs already have more splits and are left
     as they are, so at scale this adds no shuffle."""
-    target = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # Spark Connect exposes neither; keep the input's splits
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 # Postings with several description rows are counted through the exact

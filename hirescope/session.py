@@ -43,13 +43,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     a scratch folder made for it; on a cluster a machine-local folder would
     be invisible to the other executors, so a missing setting is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session setting is visible
+        raise CheckpointDirMissing("set spark.checkpoint.dir to a folder on shared storage") from None
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    if not sc.master.startswith("local"):
         raise CheckpointDirMissing(
             "set spark.checkpoint.dir to a folder on shared storage (HDFS, object store)")
     local = tempfile.mkdtemp(prefix="hirescope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
