@@ -52,6 +52,12 @@ def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
     dropped, which keeps the result identical to the plain left join.
     Cold keys use salt 0 and a single copy, so their NULL-extension
     (no description) is kept as usual. NULL keys never match.
+
+    The bucket is the row's position in its input partition, not a hash of
+    its content, so a group of identical copies is spread as well. Positions
+    are reproducible when ``right`` is a file scan (as the raw descriptions
+    are), so a retried task deals the same buckets; a ``right`` that comes
+    straight out of a shuffle should be ``sortWithinPartitions``-ed first.
     """
     hot_df = hot_keys(right, key, rows_per_task, max_hot_keys)
     hot_rows = hot_df.collect()  # bounded by max_hot_keys
