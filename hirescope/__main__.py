@@ -44,6 +44,8 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--keyword-snapshots", default=f"{SILVER_SCHEMA}.{KEYWORD_SNAPSHOTS_TABLE}")
     b.add_argument("--target-schema", default="default")
     b.add_argument("--location-root", default=None)
+    b.add_argument("--select", nargs="+", default=None, choices=sorted(MODEL_TABLES),
+                   help="build only these models; others are read from their stored tables")
     s = sub.add_parser("snapshot", help="count keywords over silver postings for one date")
     s.add_argument("--date", required=True)
     s.add_argument("--silver", default=".".join(MODEL_TABLES["silver_postings"]))
@@ -55,12 +57,16 @@ def main(argv=None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"hirescope-{args.cmd}").getOrCreate()
     if args.cmd == "build":
+        wanted = set(args.select or MODEL_TABLES)
+        needs_raw = "silver_postings" in wanted
+        needs_snaps = bool(wanted & {"keyword_latest", "keyword_trends"})
         tables = build_all(
-            read_postings_raw(spark, args.postings_raw),
-            read_descriptions_raw(spark, args.descriptions_raw),
-            read_keyword_snapshots(spark, args.keyword_snapshots),
+            read_postings_raw(spark, args.postings_raw) if needs_raw else None,
+            read_descriptions_raw(spark, args.descriptions_raw) if needs_raw else None,
+            read_keyword_snapshots(spark, args.keyword_snapshots) if needs_snaps else None,
             target_schema=args.target_schema,
             location_root=args.location_root,
+            select=set(args.select) if args.select else None,
         )
         for name in tables:
             print(f"built {name}")

@@ -14,32 +14,57 @@ from hirescope.plans.silver import experience_requirements, silver_postings
 from hirescope.sources.sinks import MODEL_TABLES, publish, schema_name
 
 
-def build_all(postings_raw: DataFrame, descriptions_raw: DataFrame,
-              keyword_snapshots: DataFrame, target_schema: str = "default",
+def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None,
+              keyword_snapshots: DataFrame | None, target_schema: str = "default",
               location_root: str | None = None,
-              custom_schemas: dict[str, str | None] | None = None) -> dict[str, DataFrame]:
-    """Run all five models; returns each stored table as a DataFrame.
+              custom_schemas: dict[str, str | None] | None = None,
+              select: set[str] | None = None) -> dict[str, DataFrame]:
+    """Run the models (all, or those in ``select``); returns each stored
+    table as a DataFrame.
 
-    ``custom_schemas`` overrides the per-model schema (``None`` means use
-    ``target_schema``); ``location_root`` stores tables as external tables
-    under ``<root>/<schema>/<table>``.
+    A model outside ``select`` that a selected one reads is taken from its
+    stored table, so e.g. ``select={"keyword_latest", "keyword_trends"}``
+    only needs the snapshots and the stored silver postings; the raw
+    inputs may then be ``None``. ``custom_schemas`` overrides the per-model
+    schema (``None`` means use ``target_schema``); ``location_root`` stores
+    tables as external tables under ``<root>/<schema>/<table>``.
     """
     custom = {k: v[0] for k, v in MODEL_TABLES.items()}
     custom.update(custom_schemas or {})
+    wanted = set(MODEL_TABLES) if select is None else set(select)
+    unknown = wanted - set(MODEL_TABLES)
+    if unknown:
+        raise ValueError(f"unknown models {sorted(unknown)}; known: {sorted(MODEL_TABLES)}")
+    spark = next(df for df in (postings_raw, descriptions_raw, keyword_snapshots)
+                 if df is not None).sparkSession
+    out: dict[str, DataFrame] = {}
 
-    def store(name: str, df: DataFrame) -> DataFrame:
+    def model(name: str, build) -> DataFrame:
+        if name in out:
+            return out[name]
         schema = schema_name(custom[name], target_schema)
         table = MODEL_TABLES[name][1]
-        path = None if location_root is None else f"{location_root.rstrip('/')}/{schema}/{table}"
-        return publish(df, schema, table, path)
-
-    out = {}
-    out["silver_postings"] = silver = store(
-        "silver_postings", silver_postings(postings_raw, descriptions_raw))
-    out["experience_requirements"] = req = store(
-        "experience_requirements", experience_requirements(silver))
-    out["experience_distribution"] = store(
-        "experience_distribution", experience_distribution(req))
-    out["keyword_latest"] = store("keyword_latest", keyword_latest(keyword_snapshots, silver))
-    out["keyword_trends"] = store("keyword_trends", keyword_trends(keyword_snapshots, silver))
+        if name in wanted:
+            path = None if location_root is None else f"{location_root.rstrip('/')}/{schema}/{table}"
+            out[name] = publish(build(), schema, table, path)
+            return out[name]
+        return spark.read.table(f"`{schema}`.`{table}`")
+
+    silver = lambda: model(
+        "silver_postings", lambda: silver_postings(postings_raw, descriptions_raw))
+    requirements = lambda: model(
+        "experience_requirements", lambda: experience_requirements(silver()))
+    builders = {
+        "silver_postings": silver,
+        "experience_requirements": requirements,
+        "experience_distribution": lambda: model(
+            "experience_distribution", lambda: experience_distribution(requirements())),
+        "keyword_latest": lambda: model(
+            "keyword_latest", lambda: keyword_latest(keyword_snapshots, silver())),
+        "keyword_trends": lambda: model(
+            "keyword_trends", lambda: keyword_trends(keyword_snapshots, silver())),
+    }
+    for name in MODEL_TABLES:  # dependency order
+        if name in wanted:
+            builders[name]()
     return out

@@ -78,3 +78,20 @@ def test_cli_build_and_snapshot(spark):
     assert main(["snapshot", "--date", "2026-01-03", "--silver", "silver.silver_linkedin_postings",
                  "--out", f"{root}/kw"]) == 0
     assert spark.read.parquet(f"{root}/kw").where("keyword = 'years'").first().posting_count == 3
+
+
+def test_build_selected_models_reads_stored_upstream(spark):
+    root = tempfile.mkdtemp(prefix="hs-sel-")
+    raw, desc, snaps = postings_df(spark), descriptions_df(spark), snapshots_df(spark)
+    plans.build_all(raw, desc, snaps, location_root=root, select={"silver_postings"})
+    out = plans.build_all(None, None, snaps, location_root=root,
+                          select={"keyword_latest", "keyword_trends"})
+    assert set(out) == {"keyword_latest", "keyword_trends"}
+    got = sorted((r.keyword, float(r.pct)) for r in out["keyword_latest"].collect())
+    assert got == [("Data", 33.3), ("python", 100.0)]
+
+
+def test_build_rejects_unknown_model(spark):
+    import pytest
+    with pytest.raises(ValueError, match="unknown models"):
+        plans.build_all(None, None, snapshots_df(spark), select={"nope"})
