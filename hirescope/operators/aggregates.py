@@ -47,8 +47,8 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
     else ``df`` unchanged (Spark then shuffles both sides).
 
-    The check counts at most ``max_rows + 1`` rows with a limit, so it costs
-    a bounded scan, not a full pass.
+    The check is a distributed ``count`` (partial counts, one number to the
+    driver). A ``limit(n).count()`` would look cheaper but gathers up to
+    n rows from every partition into a single task.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df

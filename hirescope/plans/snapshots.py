@@ -78,11 +78,14 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     ).select("job_url", "description_text")
     repeated_df = (described.groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
                    .where(F.col("__rows") > 1).select("job_url"))
-    repeated = repeated_df.limit(MAX_REPEATED_KEYS + 1).collect()
-    if len(repeated) > MAX_REPEATED_KEYS:
+    # Count first (one number reaches the driver); list the keys only when
+    # the count proves the list small.
+    n_repeated = repeated_df.count()
+    repeated = repeated_df.collect() if 0 < n_repeated <= MAX_REPEATED_KEYS else []
+    if n_repeated > MAX_REPEATED_KEYS:
         counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
             F.countDistinct("job_url").alias("posting_count"))
-    elif not repeated:
+    elif n_repeated == 0:
         counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
             F.count(F.lit(1)).alias("posting_count"))
     else:
