@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 
 # The catalog names the source project reads and writes.
-SOURCE_DATABASE = "job_market"
 BRONZE_SCHEMA = "bronze"
 SILVER_SCHEMA = "silver"
 GOLD_SCHEMA = "gold"
