@@ -90,3 +90,34 @@ def test_models_match_brute_force(spark, fx):
         assert got_dist == want_dist
     finally:
         silver.unpersist()
+
+
+KEYWORDS = [None, "python", "Python", "data", "data ", "c", "r", "k", "our team", "sql", "go"]
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(KEYWORDS), st.integers(0, 9), st.integers(1, 4)),
+                     min_size=0, max_size=12))
+def test_keyword_reports_match_brute_force(spark, rows):
+    from hirescope.functions.noise import NOISE_TERMS
+    from tests.fixtures import DESCRIPTIONS, POSTINGS, snapshots_df
+    snaps = [(k, n, dt.date(2026, 1, d)) for k, n, d in rows]
+    silver_rows, _, _ = _brute(POSTINGS, DESCRIPTIONS)
+    total = len({k for k, t in silver_rows if t is not None and k is not None})
+
+    def pct(n):
+        return float((Decimal(100) * n / total).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+    kept = [(k, n, d) for k, n, d in snaps if k is not None and k not in NOISE_TERMS and len(k) > 1]
+    latest = max((d for _, _, d in snaps), default=None)
+    want_latest = sorted((k, n, d, pct(n)) for k, n, d in kept if d == latest)
+    want_trends = sorted((k, d, n, pct(n)) for k, n, d in kept)
+
+    silver = plans.silver_postings(postings_df(spark), descriptions_df(spark))
+    sdf = snapshots_df(spark, snaps)
+    got_latest = sorted((r.keyword, r.posting_count, r.snapshot_date, float(r.pct))
+                        for r in plans.keyword_latest(sdf, silver).collect())
+    got_trends = sorted((r.keyword, r.snapshot_date, r.posting_count, float(r.pct))
+                        for r in plans.keyword_trends(sdf, silver).collect())
+    assert got_latest == want_latest
+    assert got_trends == want_trends
