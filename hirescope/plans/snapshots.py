@@ -38,11 +38,14 @@ def _spread(df: DataFrame) -> DataFrame:
 MAX_REPEATED_KEYS = 100_000
 
 
-def _keyword_rows(described: DataFrame, max_n: int, vocabulary: DataFrame | None) -> DataFrame:
-    """``(job_url, keyword)`` for each distinct n-gram of each description row."""
-    norm = _spread(described).select("job_url", normalized(F.col("description_text")).alias("norm"))
+def _keyword_rows(described: DataFrame, max_n: int, vocabulary: DataFrame | None,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(job_url, keyword, *keep)`` for each distinct n-gram of each description row."""
+    norm = _spread(described).select(
+        "job_url", *keep, normalized(F.col("description_text")).alias("norm"))
     grams = norm.select(
-        "job_url", F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword")
+        "job_url", *keep,
+        F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword"),
     )
     if vocabulary is not None:
         vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()
@@ -67,8 +70,9 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     per keyword and task. Only the repeated postings go through
     ``count(DISTINCT job_url)`` (dedupe the pairs, then count, both with
     map-side partial aggregation, so a hot posting or keyword is reduced
-    before it is shuffled). When too many postings repeat, every row takes
-    the distinct path.
+    before it is shuffled); both counts come from one scan and one
+    tokenization. When too many postings repeat, every row takes the
+    distinct path.
 
     ``vocabulary`` (a ``keyword`` column) keeps only listed keywords; it is
     broadcast when its size is proven small, else shuffle-joined.
@@ -89,14 +93,19 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
         counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
             F.count(F.lit(1)).alias("posting_count"))
     else:
-        keys = F.broadcast(described.sparkSession.createDataFrame(repeated, repeated_df.schema))
-        once = _keyword_rows(described.join(keys, "job_url", "left_anti"), max_n, vocabulary)
-        again = _keyword_rows(described.join(keys, "job_url", "left_semi"), max_n, vocabulary)
-        counts = (
-            once.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
-            .unionByName(again.groupBy("keyword").agg(F.countDistinct("job_url").alias("n")))
-            .groupBy("keyword").agg(F.sum("n").alias("posting_count"))
-        )
+        keys = F.broadcast(
+            described.sparkSession.createDataFrame(repeated, repeated_df.schema)
+            .withColumn("__repeated", F.lit(True)))
+        tagged = described.join(keys, "job_url", "left")  # map-side: the key list is broadcast
+        rows = _keyword_rows(tagged, max_n, vocabulary, keep=("__repeated",))
+        repeated_row = F.col("__repeated").isNotNull()
+        # One pass: rows of single-description postings are plainly counted,
+        # repeated postings are counted distinct. Spark expands each row into
+        # the two aggregate groups, so only repeated postings' pairs survive
+        # the partial aggregate as distinct (keyword, job_url) keys.
+        counts = rows.groupBy("keyword").agg(
+            (F.count(F.when(~repeated_row, F.lit(1)))
+             + F.countDistinct(F.when(repeated_row, F.col("job_url")))).alias("posting_count"))
     if min_postings > 1:
         counts = counts.where(F.col("posting_count") >= min_postings)
     return counts.select(
