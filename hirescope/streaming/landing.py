@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hirescope.functions.dates import parse_posted_date
+from hirescope.operators.joins import fanout_left_join
+from hirescope.plans.silver import SILVER_COLS, ok_descriptions
 from hirescope.sources.schemas import POSTINGS_RAW, conform
 
 KEY = "job_url"
@@ -55,9 +57,16 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
                            sink: Callable[[DataFrame], None],
                            available_now: bool = True,
                            max_files_per_trigger: int | None = None,
-                           schema=None, state_partitions: int | None = None) -> StreamingQuery:
+                           schema=None, state_partitions: int | None = None,
+                           descriptions_raw: DataFrame | None = None) -> StreamingQuery:
     """Start the upkeep query; ``sink`` receives the full table each trigger.
 
+    Without ``descriptions_raw`` the table is the latest posting rows with
+    their seen dates; with it (a batch table, re-read at every trigger as
+    descriptions land daily) it is the whole silver postings model: the
+    state joined to the ``ok`` descriptions with the same skew-safe fan-out
+    join as the batch model.
+
     ``available_now`` processes everything that has landed and stops (a
     scheduled run); otherwise the query keeps running. ``schema`` defaults
     to the landed files' own schema (checked against the declared columns),
@@ -75,7 +84,10 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
     raw = reader.parquet(raw_dir)
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        sink(with_seen_dates(batch))
+        postings = with_seen_dates(batch)
+        if descriptions_raw is not None:
+            postings = fanout_left_join(postings, ok_descriptions(descriptions_raw), KEY).select(*SILVER_COLS)
+        sink(postings)
 
     writer = (latest_state(raw).writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint).foreachBatch(write))

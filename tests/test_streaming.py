@@ -32,3 +32,16 @@ def test_stream_over_two_landings(spark):
     q.awaitTermination()
     assert len(seen) == 2  # one trigger per landed file
     assert seen[-1] == _rows(plans.postings_with_dates(postings_df(spark)))
+
+
+def test_stream_emits_silver_model_with_descriptions(spark):
+    from tests.fixtures import descriptions_df
+    root = tempfile.mkdtemp(prefix="hs-stream2-")
+    postings_df(spark, POSTINGS[:5]).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    postings_df(spark, POSTINGS[5:]).coalesce(1).write.mode("append").parquet(f"{root}/landing")
+    seen = []
+    q = latest_postings_stream(spark, f"{root}/landing", f"{root}/ckpt", lambda df: seen.append(_rows(df)),
+                               available_now=True, descriptions_raw=descriptions_df(spark),
+                               state_partitions=4)
+    q.awaitTermination()
+    assert seen[-1] == _rows(plans.silver_postings(postings_df(spark), descriptions_df(spark)))
