@@ -10,7 +10,7 @@ from hirescope.sources import bindings
 
 SF = "/root/testdata/sf0.01"
 # Registered queries whose construction writes files first (staging, publishing, streaming).
-_EAGER = {"publish_table", "postings_latest_stream"}
+_EAGER = {"publish_table", "postings_latest_stream", "silver_postings_stream"}
 
 
 def _plan(df) -> str:
