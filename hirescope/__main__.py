@@ -4,6 +4,8 @@
                             [--keyword-snapshots T] [--target-schema S]
                             [--location-root DIR]
   python -m hirescope snapshot --date YYYY-MM-DD [--silver T] [--out T]
+  python -m hirescope stream --landing DIR --checkpoint DIR [--out T]
+                             [--descriptions-raw T] [--state-partitions N] [--continuous]
 
 ``T`` is a catalog table name or a Parquet folder (anything with ``/``).
 Defaults are the catalog names the source project reads and writes. The
@@ -31,8 +33,10 @@ from hirescope.sources.sinks import (
     MODEL_TABLES,
     POSTINGS_RAW_TABLE,
     SILVER_SCHEMA,
+    publish,
     write_snapshot,
 )
+from hirescope.streaming import latest_postings_stream
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -50,9 +54,35 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--date", required=True)
     s.add_argument("--silver", default=".".join(MODEL_TABLES["silver_postings"]))
     s.add_argument("--out", default=f"{SILVER_SCHEMA}.{KEYWORD_SNAPSHOTS_TABLE}")
+    r = sub.add_parser("stream", help="keep silver postings up to date as raw files land")
+    r.add_argument("--landing", required=True, help="folder the raw posting files land in")
+    r.add_argument("--checkpoint", required=True, help="streaming checkpoint folder (shared storage)")
+    r.add_argument("--out", default=".".join(MODEL_TABLES["silver_postings"]))
+    r.add_argument("--descriptions-raw", default=f"{BRONZE_SCHEMA}.{DESCRIPTIONS_RAW_TABLE}",
+                   help="join descriptions to emit the whole silver model; 'none' for postings only")
+    r.add_argument("--state-partitions", type=int, default=None)
+    r.add_argument("--continuous", action="store_true",
+                   help="keep running (default: process what has landed, then stop)")
     return p
 
 
+def _stream(spark, args) -> None:
+    if "/" in args.out:
+        def sink(df):
+            df.write.mode("overwrite").parquet(args.out)
+    else:
+        schema, _, table = args.out.rpartition(".")
+
+        def sink(df):
+            publish(df, schema or "default", table)
+
+    desc = None if args.descriptions_raw == "none" else read_descriptions_raw(spark, args.descriptions_raw)
+    q = latest_postings_stream(spark, args.landing, args.checkpoint, sink,
+                               available_now=not args.continuous,
+                               state_partitions=args.state_partitions, descriptions_raw=desc)
+    q.awaitTermination()
+
+
 def main(argv=None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"hirescope-{args.cmd}").getOrCreate()
@@ -70,9 +100,12 @@ def main(argv=None) -> int:
         )
         for name in tables:
             print(f"built {name}")
-    else:
+    elif args.cmd == "snapshot":
         write_snapshot(keyword_snapshot(read_source(spark, args.silver), args.date), args.out)
         print(f"wrote keyword snapshot {args.date} to {args.out}")
+    else:
+        _stream(spark, args)
+        print(f"stream caught up; stored {args.out}")
     return 0
 
 

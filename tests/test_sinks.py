@@ -95,3 +95,14 @@ def test_build_rejects_unknown_model(spark):
     import pytest
     with pytest.raises(ValueError, match="unknown models"):
         plans.build_all(None, None, snapshots_df(spark), select={"nope"})
+
+
+def test_cli_stream(spark):
+    from hirescope.__main__ import main
+    root = tempfile.mkdtemp(prefix="hs-cli-stream-")
+    postings_df(spark).write.parquet(f"{root}/landing")
+    descriptions_df(spark).write.parquet(f"{root}/desc")
+    assert main(["stream", "--landing", f"{root}/landing", "--checkpoint", f"{root}/ckpt",
+                 "--out", f"{root}/silver", "--descriptions-raw", f"{root}/desc",
+                 "--state-partitions", "4"]) == 0
+    assert spark.read.parquet(f"{root}/silver").count() == 8
