@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A right-side key with more rows than this is split over several tasks.
-HOT_ROWS_PER_TASK = 2_000_000
+# Descriptions run to a few KB each, so this is roughly 0.5 GB of text per
+# task, the same order as AQE's skew threshold for a partition.
+HOT_ROWS_PER_TASK = 100_000
 # At most this many hot keys are split; the list is broadcast, so its size
 # is bounded by this cap whatever the input size. Keys past the cap are
 # still joined exactly, only without the split (AQE skew handling applies).
