@@ -37,6 +37,7 @@ from hirescope.sources.sinks import (
     write_snapshot,
 )
 from hirescope.streaming import latest_postings_stream
+from hirescope.streaming.landing import ROCKSDB_STATE_STORE
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -61,6 +62,8 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--descriptions-raw", default=f"{BRONZE_SCHEMA}.{DESCRIPTIONS_RAW_TABLE}",
                    help="join descriptions to emit the whole silver model; 'none' for postings only")
     r.add_argument("--state-partitions", type=int, default=None)
+    r.add_argument("--heap-state", action="store_true",
+                   help="keep streaming state on the JVM heap instead of RocksDB")
     r.add_argument("--continuous", action="store_true",
                    help="keep running (default: process what has landed, then stop)")
     return p
@@ -79,7 +82,8 @@ def _stream(spark, args) -> None:
     desc = None if args.descriptions_raw == "none" else read_descriptions_raw(spark, args.descriptions_raw)
     q = latest_postings_stream(spark, args.landing, args.checkpoint, sink,
                                available_now=not args.continuous,
-                               state_partitions=args.state_partitions, descriptions_raw=desc)
+                               state_partitions=args.state_partitions, descriptions_raw=desc,
+                               state_store_provider=None if args.heap_state else ROCKSDB_STATE_STORE)
     q.awaitTermination()
 
 

@@ -28,6 +28,8 @@ from hirescope.plans.silver import SILVER_COLS, ok_descriptions
 from hirescope.sources.schemas import POSTINGS_RAW, conform
 
 KEY = "job_url"
+# Spark's built-in RocksDB state store: state on local disk, not the JVM heap.
+ROCKSDB_STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ORDER = ["scraped_at", "title", "company", "location", "posted_date",
           "search_keyword", "search_location"]
 
@@ -58,7 +60,8 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
                            available_now: bool = True,
                            max_files_per_trigger: int | None = None,
                            schema=None, state_partitions: int | None = None,
-                           descriptions_raw: DataFrame | None = None) -> StreamingQuery:
+                           descriptions_raw: DataFrame | None = None,
+                           state_store_provider: str | None = None) -> StreamingQuery:
     """Start the upkeep query; ``sink`` receives the full table each trigger.
 
     Without ``descriptions_raw`` the table is the latest posting rows with
@@ -74,7 +77,9 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
     fixes the number of state-store partitions (default: the session's
     shuffle partitions); it is recorded in the checkpoint on the first run
     and kept on every restart, so size it for the eventual number of
-    postings.
+    postings. ``state_store_provider`` (e.g. ``ROCKSDB_STATE_STORE``, for
+    state far larger than executor memory) is likewise fixed at the first
+    run.
     """
     if schema is None:
         schema = conform(spark.read.parquet(raw_dir), POSTINGS_RAW, "postings_raw").schema
@@ -92,13 +97,21 @@ def latest_postings_stream(spark: SparkSession, raw_dir: str, checkpoint: str,
     writer = (latest_state(raw).writeStream.outputMode("complete")
               .option("checkpointLocation", checkpoint).foreachBatch(write))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
-    if state_partitions is None:
-        return writer.start()
-    # The query copies the session's settings when it starts.
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(state_partitions))
+    # The query copies the session's settings when it starts, so these are
+    # set only around start().
+    overrides = {}
+    if state_partitions is not None:
+        overrides["spark.sql.shuffle.partitions"] = str(state_partitions)
+    if state_store_provider is not None:
+        overrides["spark.sql.streaming.stateStore.providerClass"] = state_store_provider
+    before = {k: spark.conf.get(k, None) for k in overrides}
+    for k, v in overrides.items():
+        spark.conf.set(k, v)
     try:
         return writer.start()
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
