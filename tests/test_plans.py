@@ -86,3 +86,14 @@ def test_hot_key_is_spread_over_tasks(spark):
             spark.conf.set(k, v)
     assert len(spread) > 1
     assert sum(r["count"] for r in spread) == desc.count()
+
+
+def test_latest_date_prunes_snapshot_partitions(spark, tmp_path):
+    from hirescope.sources.readers import read_keyword_snapshots
+    from hirescope.sources.sinks import write_snapshot
+    path = str(tmp_path / "snapshots")
+    write_snapshot(bindings.keyword_snapshots(spark, SF), path)
+    silver = plans.silver_postings(bindings.postings_raw(spark, SF), bindings.descriptions_raw(spark, SF))
+    plan = _plan(plans.keyword_latest(read_keyword_snapshots(spark, path), silver))
+    assert "PartitionFilters: [isnotnull(snapshot_date" in plan
+    assert "(snapshot_date#" in plan.split("PartitionFilters: [isnotnull(snapshot_date")[1].split("]")[0]
