@@ -38,13 +38,16 @@ def signal_keywords(snapshots: DataFrame, noise=NOISE_TERMS) -> DataFrame:
     return snapshots.where(is_signal_keyword("keyword", noise))
 
 
-def _with_share(snapshots: DataFrame, silver: DataFrame) -> DataFrame:
-    total = described_total(silver).scalar()
-    return snapshots.withColumn("pct", share_pct(F.col("posting_count"), total))
+def _with_share(snapshots: DataFrame, silver: DataFrame, total: int | None) -> DataFrame:
+    # A precomputed total is cast to bigint so the share has the same
+    # decimal type (and the same ANSI zero-division) as the subquery form.
+    denominator = (described_total(silver).scalar() if total is None
+                   else F.lit(total).cast("bigint"))
+    return snapshots.withColumn("pct", share_pct(F.col("posting_count"), denominator))
 
 
 def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
-                   ordered: bool = True) -> DataFrame:
+                   ordered: bool = True, total: int | None = None) -> DataFrame:
     """M4: keyword shares on the newest snapshot date.
 
     Sorted by count descending as in the source; ``keyword`` breaks ties.
@@ -58,13 +61,17 @@ def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
     """
     latest = latest_snapshot_date(snapshots).scalar()
     rows = signal_keywords(snapshots.where(F.col("snapshot_date") == latest), noise)
-    out = _with_share(rows, silver).select("keyword", "posting_count", "snapshot_date", "pct")
+    out = _with_share(rows, silver, total).select("keyword", "posting_count", "snapshot_date", "pct")
     return out.orderBy(F.col("posting_count").desc(), "keyword") if ordered else out
 
 
 def keyword_trends(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
-                   ordered: bool = True) -> DataFrame:
-    """M5: keyword shares on every snapshot date (column order differs from M4)."""
+                   ordered: bool = True, total: int | None = None) -> DataFrame:
+    """M5: keyword shares on every snapshot date (column order differs from M4).
+
+    ``total`` (from ``described_total``) may be passed when M4 and M5 are
+    built together, so the stored silver table is scanned for it once.
+    """
     rows = signal_keywords(snapshots, noise)
-    out = _with_share(rows, silver).select("keyword", "snapshot_date", "posting_count", "pct")
+    out = _with_share(rows, silver, total).select("keyword", "snapshot_date", "posting_count", "pct")
     return out.orderBy("snapshot_date", F.col("posting_count").desc(), "keyword") if ordered else out

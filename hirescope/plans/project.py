@@ -9,7 +9,12 @@ deduplicated once per run rather than once per consumer.
 
 from pyspark.sql import DataFrame
 
-from hirescope.plans.gold import experience_distribution, keyword_latest, keyword_trends
+from hirescope.plans.gold import (
+    described_total,
+    experience_distribution,
+    keyword_latest,
+    keyword_trends,
+)
 from hirescope.plans.silver import experience_requirements, silver_postings
 from hirescope.sources.sinks import MODEL_TABLES, publish, schema_name
 
@@ -52,6 +57,15 @@ def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None
 
     silver = lambda: model(
         "silver_postings", lambda: silver_postings(postings_raw, descriptions_raw))
+    totals: list[int] = []
+
+    def total() -> int:
+        # Both keyword reports divide by the same number; reading the stored
+        # silver descriptions for it once (one value reaches the driver).
+        if not totals:
+            totals.append(described_total(silver()).first()[0])
+        return totals[0]
+
     requirements = lambda: model(
         "experience_requirements", lambda: experience_requirements(silver()))
     builders = {
@@ -60,9 +74,9 @@ def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None
         "experience_distribution": lambda: model(
             "experience_distribution", lambda: experience_distribution(requirements())),
         "keyword_latest": lambda: model(
-            "keyword_latest", lambda: keyword_latest(keyword_snapshots, silver())),
+            "keyword_latest", lambda: keyword_latest(keyword_snapshots, silver(), total=total())),
         "keyword_trends": lambda: model(
-            "keyword_trends", lambda: keyword_trends(keyword_snapshots, silver())),
+            "keyword_trends", lambda: keyword_trends(keyword_snapshots, silver(), total=total())),
     }
     for name in MODEL_TABLES:  # dependency order
         if name in wanted:

@@ -179,3 +179,17 @@ def test_q18_duplicate_snapshot_rows_pass_through(spark, silver):
     snaps = snapshots_df(spark, [("rust", 1, d), ("rust", 1, d)])
     assert plans.keyword_trends(snaps, silver).count() == 2
     assert plans.keyword_latest(snaps, silver).count() == 2
+
+
+def test_precomputed_total_gives_identical_reports(spark, silver):
+    snaps = snapshots_df(spark)
+    for fn in (plans.keyword_latest, plans.keyword_trends):
+        a, b = fn(snaps, silver), fn(snaps, silver, total=3)
+        assert a.dtypes == b.dtypes
+        assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()]
+
+
+def test_precomputed_zero_total_still_raises(spark, silver):
+    from pyspark.errors import ArithmeticException
+    with pytest.raises(ArithmeticException, match="DIVIDE_BY_ZERO"):
+        plans.keyword_trends(snapshots_df(spark), silver, total=0).collect()
