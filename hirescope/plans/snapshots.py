@@ -100,9 +100,10 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
         rows = _keyword_rows(tagged, max_n, vocabulary, keep=("__repeated",))
         repeated_row = F.col("__repeated").isNotNull()
         # One pass: rows of single-description postings are plainly counted,
-        # repeated postings are counted distinct. Spark expands each row into
-        # the two aggregate groups, so only repeated postings' pairs survive
-        # the partial aggregate as distinct (keyword, job_url) keys.
+        # repeated postings are counted distinct. Spark keys the partial
+        # aggregate on (keyword, job_url if repeated else NULL), so rows of
+        # single-description postings collapse to one group per keyword and
+        # only repeated postings' pairs are shuffled as pairs.
         counts = rows.groupBy("keyword").agg(
             (F.count(F.when(~repeated_row, F.lit(1)))
              + F.countDistinct(F.when(repeated_row, F.col("job_url")))).alias("posting_count"))
