@@ -86,6 +86,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     from hirescope.session import ensure_checkpoint_dir
 
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{uuid.uuid4().hex}/{name}"
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect hides the context
+        app = "session"
+    # Grouped per application, so a finished run's folders go as one.
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{app}/{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
