@@ -17,13 +17,24 @@ BAND_OPEN = "8+"
 BAND_MISSING = "not_specified"
 
 
+# The pattern above as given to Java's backtracking engine. Written as is,
+# "[ -]*" then "[ ]*" split every run of blanks both ways: a number followed
+# by a long blank run that does not end in "year" costs time quadratic in the
+# run (minutes for one junk description). Making the first run possessive
+# keeps every match: right after a maximal run of blanks and hyphens,
+# "[+]?" and "[ ]*" can still match (the latter empty), so nothing is ever
+# gained by giving characters back. Property tests check Spark's matches
+# against Python's engine running the pattern as written.
+_YEARS_PATTERN_JAVA = YEARS_PATTERN.replace("[ -]*", "[ -]*+", 1)
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def year_strings(text: Column | str) -> Column:
     """Array of every number captured by the years pattern in the whole text."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit(YEARS_PATTERN), F.lit(1))
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(_YEARS_PATTERN_JAVA), F.lit(1))
 
 
 def experience_band(years: Column | str) -> Column:
