@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # task, the same order as AQE's skew threshold for a partition.
 HOT_ROWS_PER_TASK = 100_000
 # At most this many hot keys are split; the list is broadcast, so its size
-# is bounded by this cap whatever the input size. Keys past the cap are
-# still joined exactly, only without the split (AQE skew handling applies).
+# is bounded by this cap whatever the input size. Keys past the cap (only
+# when over 10,000 keys each exceed the per-task budget) are still joined
+# exactly, just not split.
 MAX_HOT_KEYS = 10_000
 
 _SALT, _SPLITS, _MATCHED = "__salt", "__splits", "__matched"
