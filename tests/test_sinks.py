@@ -106,3 +106,14 @@ def test_cli_stream(spark):
                  "--out", f"{root}/silver", "--descriptions-raw", f"{root}/desc",
                  "--state-partitions", "4"]) == 0
     assert spark.read.parquet(f"{root}/silver").count() == 8
+
+
+def test_model_without_custom_schema_goes_to_target_schema(spark):
+    root = tempfile.mkdtemp(prefix="hs-target-")
+    raw, desc, snaps = postings_df(spark), descriptions_df(spark), snapshots_df(spark)
+    plans.build_all(raw, desc, snaps, target_schema="hs_analytics", location_root=root,
+                    custom_schemas={"silver_postings": None, "experience_distribution": "  hs_reports "},
+                    select={"silver_postings", "experience_requirements", "experience_distribution"})
+    assert spark.catalog.tableExists("silver_linkedin_postings", "hs_analytics")
+    assert spark.catalog.tableExists("gold_experience_distribution", "hs_reports")
+    assert spark.catalog.tableExists("silver_experience_requirements", "silver")
