@@ -70,7 +70,13 @@ def min_years_per_posting(silver: DataFrame) -> DataFrame:
 
 
 def experience_requirements(silver: DataFrame) -> DataFrame:
-    """M2: one row per silver row with the posting's minimum years (or NULL)."""
+    """M2: one row per silver row with the posting's minimum years (or NULL).
+
+    ``silver`` is read twice (its keys, and its descriptions for the
+    mentions), so pass the stored table (``build_all`` does, and
+    ``sources.sinks.stage`` makes one): an unstored silver plan would
+    deduplicate the raw scrape twice.
+    """
     return lookup_left_join(silver.select(KEY), min_years_per_posting(silver), KEY).select(
         KEY, "years_min"
     )
