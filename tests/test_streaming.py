@@ -45,3 +45,16 @@ def test_stream_emits_silver_model_with_descriptions(spark):
                                state_partitions=4)
     q.awaitTermination()
     assert seen[-1] == _rows(plans.silver_postings(postings_df(spark), descriptions_df(spark)))
+
+
+def test_state_and_window_break_ties_the_same_way(spark):
+    import datetime as dt
+    ts = dt.datetime(2026, 1, 1, 6)
+    rows = [
+        ("t1", "A", None, ts), ("t1", None, None, ts), ("t1", "B", None, ts),     # title decides
+        ("t2", None, "2026-01-01", ts), ("t2", None, None, ts),                    # posted_date decides
+        ("t3", "Z", None, None), ("t3", "Y", None, ts),                            # NULL time ranks last
+        ("t4", "Q", None, None), ("t4", "R", None, None),                          # all times NULL
+    ]
+    raw = postings_df(spark, rows)
+    assert _rows(with_seen_dates(latest_state(raw))) == _rows(plans.postings_with_dates(raw))
