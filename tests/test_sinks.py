@@ -37,7 +37,7 @@ def test_build_all_reads_back_equal(spark):
     }
     for name, df in want.items():
         assert sorted(map(tuple, out[name].collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr), name
-    assert spark.catalog.tableExists("gold_keyword_trends", "gold")
+    assert spark.catalog.tableExists("gold.gold_keyword_trends")
 
 
 def test_snapshot_rerun_replaces_only_its_date(spark):
@@ -114,6 +114,6 @@ def test_model_without_custom_schema_goes_to_target_schema(spark):
     plans.build_all(raw, desc, snaps, target_schema="hs_analytics", location_root=root,
                     custom_schemas={"silver_postings": None, "experience_distribution": "  hs_reports "},
                     select={"silver_postings", "experience_requirements", "experience_distribution"})
-    assert spark.catalog.tableExists("silver_linkedin_postings", "hs_analytics")
-    assert spark.catalog.tableExists("gold_experience_distribution", "hs_reports")
-    assert spark.catalog.tableExists("silver_experience_requirements", "silver")
+    assert spark.catalog.tableExists("hs_analytics.silver_linkedin_postings")
+    assert spark.catalog.tableExists("hs_reports.gold_experience_distribution")
+    assert spark.catalog.tableExists("silver.silver_experience_requirements")
