@@ -7,7 +7,7 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, minhash, token_counts
+from hirescope.llm import bpe, lines, minhash, token_counts
 from hirescope.llm.common import table
 
 
@@ -34,7 +34,8 @@ def op9_minhash(spark, sf_dir):
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OP9_SQL = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ 	-
+]+') AS w
   FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -54,8 +55,55 @@ JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING
 """
 
 
+def op7_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.without_recurring_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+
+
+# RE2 knows no possessive repeats; it needs none, as it never tracks back.
+OP7_SQL = rf"""
+WITH cut AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (
+  SELECT DISTINCT doc_id, text, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM cut),
+lines AS (
+  SELECT doc_id, text, line_no,
+    trim(regexp_replace(regexp_replace(line, '[^ 	]*[0-9@][^ 	]*', '<*>', 'g'),
+      '[ 	]+', ' ', 'g'), ' ') AS t FROM raw),
+sized AS (
+  SELECT *, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS tokens FROM lines),
+counted AS (
+  SELECT t, string_split(t, ' ') AS w, count(*) AS uses FROM sized
+  WHERE tokens >= {lines.MERGE_TOKENS} GROUP BY t),
+centres AS (
+  SELECT len(w) AS n, w[1:{lines.LEAD_TOKENS}] AS lead, first(t ORDER BY uses DESC, t) AS centre
+  FROM counted GROUP BY 1, 2 HAVING count(*) > 1),
+merged AS (
+  SELECT t, centre FROM counted JOIN centres ON len(w) = n AND w[1:{lines.LEAD_TOKENS}] = lead
+  WHERE t <> centre AND len(list_filter(list_zip(w, string_split(centre, ' ')), lambda p: p[1] = p[2]))
+    >= {lines.SIMILARITY} * n),
+clustered AS (
+  SELECT s.*, coalesce(m.centre, s.t) AS c FROM sized s LEFT JOIN merged m USING (t)
+  WHERE tokens >= {lines.MIN_TOKENS}),
+recurring AS (
+  SELECT c, min(doc_id) AS keeper FROM clustered GROUP BY c
+  HAVING count(DISTINCT doc_id) >= CASE WHEN max(tokens) >= {lines.LONG_TOKENS}
+    THEN {lines.LONG_DOCS} ELSE {lines.SHORT_DOCS} END),
+dropped AS (
+  SELECT doc_id, list(DISTINCT line_no) AS gone FROM clustered JOIN recurring USING (c)
+  WHERE doc_id <> keeper GROUP BY doc_id)
+SELECT doc_id,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+    list_transform(list_filter(range(len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), chr(10))
+  END AS text,
+  coalesce(len(ls), 0)::INT AS n_lines, coalesce(len(gone), 0)::INT AS n_dropped
+FROM cut LEFT JOIN dropped USING (doc_id)
+"""
+
+
 def queries():
     return {
+        "op7_line_dedup": op7_line_dedup,
         "op9_minhash": op9_minhash,
         "op4_byte_bpe": op4_byte_bpe,
         "op8_token_counts": op8_token_counts,
@@ -64,5 +112,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op7_line_dedup": OP7_SQL,
         "op9_minhash": OP9_SQL,
     }
