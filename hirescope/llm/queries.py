@@ -7,7 +7,7 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, token_counts
+from hirescope.llm import bpe, lines, minhash, mixing, token_counts
 from hirescope.llm.common import table
 
 
@@ -68,8 +68,11 @@ raw AS (
   SELECT DISTINCT doc_id, text, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM cut),
 lines AS (
   SELECT doc_id, text, line_no,
-    trim(regexp_replace(regexp_replace(line, '[^ 	]*[0-9@][^ 	]*', '<*>', 'g'),
-      '[ 	]+', ' ', 'g'), ' ') AS t FROM raw),
+    trim(regexp_replace(regexp_replace(line, '[^ 	
+]*[0-9@][^ 	
+]*', '<*>', 'g'),
+      '[ 	
+]+', ' ', 'g'), ' ') AS t FROM raw),
 sized AS (
   SELECT *, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS tokens FROM lines),
 counted AS (
@@ -101,8 +104,15 @@ FROM cut LEFT JOIN dropped USING (doc_id)
 """
 
 
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "source", F.col("_slot").alias("slot"), F.col("_place").alias("place"),
+                                     F.col("_on_target").alias("on_target"))
+
+
 def queries():
     return {
+        "op10_mixing": op10_mixing,
         "op7_line_dedup": op7_line_dedup,
         "op9_minhash": op9_minhash,
         "op4_byte_bpe": op4_byte_bpe,
