@@ -7,7 +7,7 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, mixing, token_counts
+from hirescope.llm import bpe, lines, minhash, mixing, token_counts, toxicity
 from hirescope.llm.common import table
 
 
@@ -110,8 +110,17 @@ def op10_mixing(spark, sf_dir):
                                      F.col("_on_target").alias("on_target"))
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        "n_hits", "n_misspelt")
+
+
 def queries():
     return {
+        "op1_toxicity": op1_toxicity,
         "op10_mixing": op10_mixing,
         "op7_line_dedup": op7_line_dedup,
         "op9_minhash": op9_minhash,
