@@ -1,27 +1,80 @@
-"""A training-corpus pipeline: stages over ``documents``, each stored and reread."""
+"""A training-corpus pipeline: stages over ``documents``, each stored and reread.
+
+1. toxicity: documents that score 0.7 or more go.
+2. line dedup: lines whose template recurs across documents go from all but
+   the first; a document that loses all its words goes with them.
+3. near-dedup: one document of each group of near copies stays.
+4. mixing: documents are written in the order that interleaves their sources
+   by target weight; none is dropped or repeated.
+5. encoding: every text becomes its token ids, checked against the bytes the
+   ids decode to.
+
+Every stage but the last returns the columns of its input. An empty table
+passes through all stages.
+"""
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe
-from hirescope.llm.common import stored, table
+from hirescope.llm import bpe, lines, minhash, mixing, toxicity
+from hirescope.llm.common import row_key, stored, table
+
+
+def drop_toxic(spark, docs, sf_dir):
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def drop_recurring_lines(spark, docs, sf_dir):
+    """Texts that had words and have none left were repeats in whole and go;
+    texts without words before stay as they are."""
+    left = lines.without_recurring_lines(docs)
+    emptied = (F.col("_n_dropped") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\r\n\f\x0B]")
+    if "n_chars" in docs.columns:
+        shorter = F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        left = left.withColumn("n_chars", shorter.otherwise(F.col("n_chars")))
+    return left.where(~emptied).select(*docs.columns)
+
+
+def keep_one_of_near_copies(spark, docs, sf_dir):
+    """The rows of the smallest doc_id of each group; rows equal in doc_id and
+    text are one. Rows without doc_id or words have no copies and stay."""
+    found = minhash.near_duplicates(docs)
+    # One row of each group, should several share its smallest doc_id.
+    single = found.where("kept and component_id is not null").groupBy("component_id").agg(
+        F.min("row_key").alias("_key")).select("_key")
+    unnamed = found.where("doc_id is null").select(F.col("row_key").alias("_key"))
+    keys = single.union(unnamed).distinct()
+    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(keys, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+
+
+def interleave_sources(spark, docs, sf_dir):
+    placed = mixing.mixed(docs).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
+    return placed.select(*docs.columns)
 
 
-def encode_documents(spark, docs, sf_dir):
-    """Encode every text, decode the ids again, and carry both."""
+def encode_texts(spark, docs, sf_dir):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                          F.decode("decoded", "UTF-8").alias("text"))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("encode", encode_documents)]
-# SQL cannot express byte-pair merges; the stages are tested one by one.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_recurring_lines),
+    ("near-dedup", keep_one_of_near_copies),
+    ("mixing", interleave_sources),
+    ("encoding", encode_texts),
+]
+# SQL can express neither the learned scores nor the byte-pair merges; the
+# stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
