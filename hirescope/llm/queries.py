@@ -7,8 +7,8 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, mixing, token_counts, toxicity
-from hirescope.llm.common import table
+from hirescope.llm import bpe, lines, minhash, mixing, token_counts, topk, toxicity, vector_dedup
+from hirescope.llm.common import stored, table
 
 
 def op4_byte_bpe(spark, sf_dir):
@@ -118,8 +118,54 @@ def op1_toxicity(spark, sf_dir):
         "n_hits", "n_misspelt")
 
 
+def op2_vector_dedup(spark, sf_dir):
+    links, unit = vector_dedup.linked(table(spark, sf_dir, "embeddings"))
+    links = stored(links, "vector-dedup")
+    if unit is not None:
+        vector_dedup.audit(links, unit)
+    return links
+
+
+OP2_SQL = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b
+    ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+least AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN counted ON x = vec_id
+"""
+
+
+def op3_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+
 def queries():
     return {
+        "op2_vector_dedup": op2_vector_dedup,
+        "op3_topk": op3_topk,
         "op1_toxicity": op1_toxicity,
         "op10_mixing": op10_mixing,
         "op7_line_dedup": op7_line_dedup,
@@ -131,6 +177,8 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_vector_dedup": OP2_SQL,
+        "op3_topk": OP3_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_minhash": OP9_SQL,
     }
