@@ -168,7 +168,16 @@ def token_counts(docs: DataFrame, tokenizer_json: str, pattern: str, limit_token
     spark = docs.sparkSession
     counts = stored(piece_counts(docs, tokenizer_json, pattern), "pieces")
     short = counts.where((F.octet_length("piece") <= HOT_PIECE_BYTES) & (F.col("docs") > 1))
-    top = short.orderBy(F.desc("docs"), "piece").limit(hot_pieces).select("piece", "n").collect()
+    # The lowest frequency class down to which the table keeps its bound: one
+    # row per class comes to the driver, then at most ``hot_pieces`` entries.
+    classes = short.groupBy(F.floor(8 * F.log2("docs")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    lowest, room = None, hot_pieces
+    for r in sorted(classes.collect(), reverse=True):
+        room -= r["n"]
+        if room < 0:
+            break
+        lowest = r["class"]
+    top = [] if lowest is None else short.where(F.floor(8 * F.log2("docs")) >= lowest).select("piece", "n").collect()
     hot = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in top})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     per_doc = rows.select(row_key("doc_id", "text").alias("key"), "doc_id", "text").mapInArrow(
