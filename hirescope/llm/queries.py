@@ -7,7 +7,7 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, mixing, token_counts, topk, toxicity, vector_dedup
+from hirescope.llm import bpe, lines, minhash, mixing, pii, token_counts, topk, toxicity, vector_dedup
 from hirescope.llm.common import stored, table
 
 
@@ -55,6 +55,17 @@ JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING
 """
 
 
+# A key for the registered query; a real run passes its own secret.
+PSEUDONYM_KEY = "registered-query"
+
+
+def op6_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of_kind = lambda name: F.filter("_found", lambda p: p["kind"] == name)
+    counts = [F.size(of_kind(name)).alias(f"n_{name}") for name in pii.KINDS]
+    return pii.pseudonymised(docs, PSEUDONYM_KEY).select("doc_id", "text", *counts)
+
+
 def op7_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.without_recurring_lines(docs).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
@@ -168,6 +179,7 @@ def queries():
         "op3_topk": op3_topk,
         "op1_toxicity": op1_toxicity,
         "op10_mixing": op10_mixing,
+        "op6_pii": op6_pii,
         "op7_line_dedup": op7_line_dedup,
         "op9_minhash": op9_minhash,
         "op4_byte_bpe": op4_byte_bpe,
