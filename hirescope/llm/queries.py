@@ -7,7 +7,7 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, mixing, pii, token_counts, topk, toxicity, vector_dedup
+from hirescope.llm import bpe, lines, minhash, mixing, pii, quality, token_counts, topk, toxicity, vector_dedup
 from hirescope.llm.common import stored, table
 
 
@@ -55,6 +55,12 @@ JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) r USING
 """
 
 
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 # A key for the registered query; a real run passes its own secret.
 PSEUDONYM_KEY = "registered-query"
 
@@ -179,6 +185,7 @@ def queries():
         "op3_topk": op3_topk,
         "op1_toxicity": op1_toxicity,
         "op10_mixing": op10_mixing,
+        "op5_quality": op5_quality,
         "op6_pii": op6_pii,
         "op7_line_dedup": op7_line_dedup,
         "op9_minhash": op9_minhash,
