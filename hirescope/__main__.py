@@ -4,8 +4,8 @@
                             [--keyword-snapshots T] [--target-schema S]
                             [--location-root DIR]
   python -m hirescope snapshot --date YYYY-MM-DD [--silver T] [--out T]
-  python -m hirescope stream --landing DIR --checkpoint DIR [--out T]
-                             [--descriptions-raw T] [--state-partitions N] [--continuous]
+  python -m hirescope stream --landing DIR --checkpoint DIR --latest DIR [--out T]
+                             [--descriptions-raw T] [--state-partitions N] [--continuous [--interval I]]
 
 ``T`` is a catalog table name or a Parquet folder (anything with ``/``).
 Defaults are the catalog names the source project reads and writes. The
@@ -36,7 +36,7 @@ from hirescope.sources.sinks import (
     publish,
     write_snapshot,
 )
-from hirescope.streaming import latest_postings_stream
+from hirescope.streaming import latest_postings_stream, read_latest, silver_from_latest
 from hirescope.streaming.landing import ROCKSDB_STATE_STORE
 
 
@@ -49,6 +49,7 @@ def _parser() -> argparse.ArgumentParser:
     b.add_argument("--keyword-snapshots", default=f"{SILVER_SCHEMA}.{KEYWORD_SNAPSHOTS_TABLE}")
     b.add_argument("--target-schema", default="default")
     b.add_argument("--location-root", default=None)
+    b.add_argument("--catalog", default=None, help="catalog of the tables written (and of stored models read)")
     b.add_argument("--select", nargs="+", default=None, choices=sorted(MODEL_TABLES),
                    help="build only these models; others are read from their stored tables")
     s = sub.add_parser("snapshot", help="count keywords over silver postings for one date")
@@ -58,6 +59,8 @@ def _parser() -> argparse.ArgumentParser:
     r = sub.add_parser("stream", help="keep silver postings up to date as raw files land")
     r.add_argument("--landing", required=True, help="folder the raw posting files land in")
     r.add_argument("--checkpoint", required=True, help="streaming checkpoint folder (shared storage)")
+    r.add_argument("--latest", required=True, help="folder the latest postings are kept in (shared storage)")
+    r.add_argument("--interval", default="1 minute", help="how often --continuous looks for new files")
     r.add_argument("--out", default=".".join(MODEL_TABLES["silver_postings"]))
     r.add_argument("--descriptions-raw", default=f"{BRONZE_SCHEMA}.{DESCRIPTIONS_RAW_TABLE}",
                    help="join descriptions to emit the whole silver model; 'none' for postings only")
@@ -70,21 +73,25 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _stream(spark, args) -> None:
-    if "/" in args.out:
-        def sink(df):
+    def rebuild():
+        if args.descriptions_raw == "none":
+            df = read_latest(spark, args.latest)
+        else:
+            df = silver_from_latest(spark, args.latest, lambda: read_descriptions_raw(spark, args.descriptions_raw))
+        if "/" in args.out:
             df.write.mode("overwrite").parquet(args.out)
-    else:
-        schema, _, table = args.out.rpartition(".")
-
-        def sink(df):
+        else:
+            schema, _, table = args.out.rpartition(".")
             publish(df, schema or "default", table)
 
-    desc = None if args.descriptions_raw == "none" else read_descriptions_raw(spark, args.descriptions_raw)
-    q = latest_postings_stream(spark, args.landing, args.checkpoint, sink,
-                               available_now=not args.continuous,
-                               state_partitions=args.state_partitions, descriptions_raw=desc,
-                               state_store_provider=None if args.heap_state else ROCKSDB_STATE_STORE)
+    q = latest_postings_stream(spark, args.landing, args.checkpoint, args.latest,
+                               available_now=not args.continuous, trigger_interval=args.interval,
+                               state_partitions=args.state_partitions,
+                               state_store_provider=None if args.heap_state else ROCKSDB_STATE_STORE,
+                               after_merge=rebuild if args.continuous else None)
     q.awaitTermination()
+    # Also without a new posting: descriptions may have landed since.
+    rebuild()
 
 
 def main(argv=None) -> int:
@@ -101,6 +108,8 @@ def main(argv=None) -> int:
             target_schema=args.target_schema,
             location_root=args.location_root,
             select=set(args.select) if args.select else None,
+            catalog=args.catalog,
+            spark=spark,
         )
         for name in tables:
             print(f"built {name}")

@@ -38,17 +38,3 @@ def count_share_by(df: DataFrame, group: Column, group_name: str,
     total = F.sum(count_name).over(Window.partitionBy())
     return counts.withColumn(pct_name, share_pct(F.col(count_name), total))
 
-
-# Broadcast only below this many rows (checked, not estimated).
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` provably has at most ``max_rows`` rows,
-    else ``df`` unchanged (Spark then shuffles both sides).
-
-    The check is a distributed ``count`` (partial counts, one number to the
-    driver). A ``limit(n).count()`` would look cheaper but gathers up to
-    n rows from every partition into a single task.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df

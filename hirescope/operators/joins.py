@@ -3,39 +3,31 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A right-side key with more rows than this is split over several tasks.
-# Descriptions run to a few KB each, so this is roughly 0.5 GB of text per
-# task, the same order as AQE's skew threshold for a partition.
-HOT_ROWS_PER_TASK = 100_000
-# At most this many hot keys are split; the list is broadcast, so its size
-# is bounded by this cap whatever the input size. Keys past the cap (only
-# when over 10,000 keys each exceed the per-task budget) are still joined
-# exactly, just not split.
-MAX_HOT_KEYS = 10_000
+# A right-side key with more bytes than this is split over several tasks; the
+# order of AQE's skew threshold for a partition.
+HOT_BYTES_PER_TASK = 512 * 1024 * 1024
+# Mean bytes of a right-side row (descriptions run to a few KB each).
+ROW_BYTES = 5_000
 
-_SALT, _SPLITS, _MATCHED = "__salt", "__splits", "__matched"
+_SALT, _SPLITS, _MATCHED, _AT = "__salt", "__splits", "__matched", "__at"
 
 
-def hot_keys(right: DataFrame, key: str, rows_per_task: int = HOT_ROWS_PER_TASK,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """``(key, __splits)`` for the heaviest right-side keys.
+def hot_keys(right: DataFrame, key: str, bytes_per_task: int = HOT_BYTES_PER_TASK,
+             row_bytes: int = ROW_BYTES) -> DataFrame:
+    """``(key, __splits)`` for every right-side key of more than
+    ``bytes_per_task``, taken as its rows times ``row_bytes``.
 
-    Counting is a partial-then-final hash aggregate on the key column only,
-    so the hot key itself is reduced map-side. The top-``max_keys`` cut is
-    the size bound that makes the result safe to broadcast.
+    Only the key column is read, and a hot key is reduced map-side. The list
+    has at most one entry per ``bytes_per_task`` of input.
     """
     counts = right.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    return (
-        counts.where(F.col("__n") > rows_per_task)
-        .orderBy(F.col("__n").desc(), F.col(key))
-        .limit(max_keys)
-        .select(key, F.ceil(F.col("__n") / F.lit(rows_per_task)).cast("int").alias(_SPLITS))
-    )
+    size = F.col("__n") * F.lit(row_bytes)
+    return counts.where(size > bytes_per_task).select(
+        key, F.ceil(size / F.lit(bytes_per_task)).cast("int").alias(_SPLITS))
 
 
-def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
-                     rows_per_task: int = HOT_ROWS_PER_TASK,
-                     max_hot_keys: int = MAX_HOT_KEYS) -> DataFrame:
+def fanout_left_join(left: DataFrame, right: DataFrame, key: str, bytes_per_task: int = HOT_BYTES_PER_TASK,
+                     row_bytes: int = ROW_BYTES) -> DataFrame:
     """``left LEFT JOIN right USING (key)`` where ``right`` may repeat a key
     many times and one key may hold a large share of ``right``.
 
@@ -45,10 +37,9 @@ def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
     left row is copied once per bucket, and the join runs on
     ``(key, __salt)``. Every (left, right) pair still meets exactly once.
 
-    The hot-key list is computed first, as one small job over the key
-    column (at most ``max_hot_keys`` rows reach the driver), and becomes a
-    local relation that both sides broadcast; so it is computed once, and
-    when no key is hot the join is planned as a plain left join.
+    The hot-key list stays a DataFrame that both sides left-join; Spark sees
+    its size at run time, broadcasts it while it is small, and drops both
+    joins when no key is hot. No job runs while the plan is built.
 
     A copied left row whose bucket happens to be empty would come back
     NULL-extended; since a hot key always has right rows, such rows are
@@ -62,24 +53,15 @@ def fanout_left_join(left: DataFrame, right: DataFrame, key: str,
     are), so a retried task deals the same buckets; a ``right`` that comes
     straight out of a shuffle should be ``sortWithinPartitions``-ed first.
     """
-    hot_df = hot_keys(right, key, rows_per_task, max_hot_keys)
-    hot_rows = hot_df.collect()  # bounded by max_hot_keys
-    if not hot_rows:
-        return left.join(right, key, "left")
-    spark = right.sparkSession
-    hot = F.broadcast(spark.createDataFrame(hot_rows, hot_df.schema))
+    hot = hot_keys(right, key, bytes_per_task, row_bytes)
     right_cols = [c for c in right.columns if c != key]
-
     salted_right = (
-        right.where(F.col(key).isNotNull())
+        right.withColumn(_AT, F.monotonically_increasing_id())
+        .where(F.col(key).isNotNull())
         .join(hot, key, "left")
-        .withColumn(
-            _SALT,
-            F.when(F.col(_SPLITS).isNull(), F.lit(0))
-            .otherwise(F.pmod(F.monotonically_increasing_id(), F.col(_SPLITS)).cast("int")),
-        )
+        .withColumn(_SALT, F.pmod(F.col(_AT), F.coalesce(F.col(_SPLITS), F.lit(1))).cast("int"))
         .withColumn(_MATCHED, F.lit(True))
-        .drop(_SPLITS)
+        .drop(_SPLITS, _AT)
     )
     copied_left = left.join(hot, key, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SPLITS), F.lit(1)) - 1))

@@ -39,25 +39,26 @@ _CTES = {
     "postings_raw": """
   SELECT CASE WHEN user_id % 20 = 7 THEN NULL ELSE 'job/' || CAST(user_id AS VARCHAR) END AS job_url,
          event_type AS title,
-         CAST(NULL AS VARCHAR) AS company,
-         CAST(NULL AS VARCHAR) AS location,
+         'company ' || CAST(event_id % 13 AS VARCHAR) AS company,
+         'city ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS location,
          CASE event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%d')
                          WHEN 'click' THEN '3 days ago'
                          WHEN 'error' THEN '2024-02-31'
                          WHEN 'purchase' THEN '2024-1-5' END AS posted_date,
-         CAST(NULL AS VARCHAR) AS search_keyword,
-         CAST(NULL AS VARCHAR) AS search_location,
+         props AS search_keyword,
+         'area ' || CAST(event_id % 5 AS VARCHAR) AS search_location,
          ts AS scraped_at
   FROM events""",
+    # The newest row of each key, as the value that goes with the largest order
+    # (blanks stand for NULLs, which come first; no text here is blank).
     "postings_latest": f"""
-  SELECT {_POSTING_COLS}, scraped_at FROM (
-    SELECT *, row_number() OVER (
-      PARTITION BY job_url
-      ORDER BY scraped_at DESC NULLS LAST, title DESC NULLS LAST, company DESC NULLS LAST,
-               location DESC NULLS LAST, posted_date DESC NULLS LAST,
-               search_keyword DESC NULLS LAST, search_location DESC NULLS LAST) AS rn
-    FROM postings_raw) ranked
-  WHERE rn = 1""",
+  SELECT job_url, newest.* FROM (
+    SELECT job_url, arg_max(
+      {{'title': title, 'company': company, 'location': location, 'posted_date': posted_date,
+        'search_keyword': search_keyword, 'search_location': search_location, 'scraped_at': scraped_at}},
+      [strftime(scraped_at, '%Y-%m-%d %H:%M:%S.%f'), coalesce(title, ''), coalesce(company, ''), coalesce(location, ''),
+       coalesce(posted_date, ''), coalesce(search_keyword, ''), coalesce(search_location, '')]) AS newest
+    FROM postings_raw GROUP BY job_url)""",
     "posting_seen_dates": """
   SELECT job_url, title, company, location, TRY_CAST(posted_date AS DATE) AS posted_date,
          search_keyword, search_location,
@@ -65,7 +66,7 @@ _CTES = {
          max(scraped_at) OVER (PARTITION BY job_url) AS last_seen_at
   FROM postings_latest""",
     "descriptions_raw": """
-  SELECT 'job/' || CAST(p_partkey % 130 AS VARCHAR) AS job_url,
+  SELECT 'job/' || CAST(p_partkey // 16 AS VARCHAR) AS job_url,
          CASE p_partkey % 6
            WHEN 0 THEN 'Needs ' || CAST(p_size % 25 AS VARCHAR) || '+ Years with ' || p_name
            WHEN 1 THEN CAST(p_size % 9 AS VARCHAR) || '-' || CAST(p_size % 9 + 2 AS VARCHAR) || ' years of ' || p_name
@@ -79,10 +80,12 @@ _CTES = {
   FROM part""",
     "descriptions_ok": """
   SELECT job_url, description_text FROM descriptions_raw WHERE fetch_status = 'ok'""",
+    # A left join as the postings that meet a description and those that meet none.
     "silver_postings": """
-  SELECT posting.*, fetched.description_text
-  FROM posting_seen_dates AS posting
-  LEFT OUTER JOIN descriptions_ok AS fetched ON fetched.job_url = posting.job_url""",
+  SELECT s.*, d.description_text FROM posting_seen_dates s, descriptions_ok d WHERE s.job_url = d.job_url
+  UNION ALL
+  SELECT *, NULL FROM posting_seen_dates
+  WHERE job_url IS NULL OR job_url NOT IN (SELECT job_url FROM descriptions_ok WHERE job_url IS NOT NULL)""",
     "year_mentions": f"""
   SELECT job_url, CAST(years_str AS INTEGER) AS years_val FROM (
     SELECT job_url,
@@ -93,17 +96,15 @@ _CTES = {
   SELECT job_url, min(years_val) AS years_min FROM year_mentions
   WHERE years_val BETWEEN 0 AND 20 GROUP BY job_url""",
     "experience_requirements": """
-  SELECT posting.job_url, lowest.years_min
-  FROM silver_postings AS posting
-  LEFT OUTER JOIN min_years_per_posting AS lowest ON lowest.job_url = posting.job_url""",
+  SELECT s.job_url, (
+    SELECT min(m.years_val) FROM year_mentions m
+    WHERE m.job_url = s.job_url AND m.years_val >= 0 AND m.years_val <= 20) AS years_min
+  FROM silver_postings s""",
     "experience_bands": """
-  SELECT job_url,
-         CASE WHEN years_min IS NULL THEN 'not_specified'
-              WHEN years_min <= 2 THEN '0-2'
-              WHEN years_min <= 5 THEN '3-5'
-              WHEN years_min <= 8 THEN '5-8'
-              ELSE '8+' END AS experience_band
-  FROM experience_requirements""",
+  SELECT r.job_url, coalesce(b.label, 'not_specified') AS experience_band
+  FROM experience_requirements r
+  LEFT JOIN (VALUES (0, 2, '0-2'), (3, 5, '3-5'), (6, 8, '5-8'), (9, 20, '8+')) b(low, high, label)
+    ON r.years_min BETWEEN b.low AND b.high""",
     "experience_distribution": """
   SELECT experience_band, count(*) AS posting_count,
          CAST(round(100.0 * count(*) / (SELECT count(*) FROM experience_bands), 1) AS DOUBLE) AS pct
@@ -117,7 +118,7 @@ _CTES = {
                          WHEN 'view' THEN 'View' ELSE event_type END AS keyword,
          count(DISTINCT user_id) AS posting_count,
          CAST(ts AS DATE) AS snapshot_date
-  FROM events WHERE event_id % 97 <> 0
+  FROM events
   GROUP BY 1, 3""",
     "latest_snapshot_date": """
   SELECT max(snapshot_date) AS max_date FROM keyword_snapshots""",
@@ -135,6 +136,27 @@ _CTES = {
          CAST(round(100.0 * posting_count / (SELECT total_postings FROM described_total), 1)
               AS DOUBLE) AS pct
   FROM keyword_denoised""",
+    "descriptions_hot": """
+  SELECT job_url, description_text FROM (
+    WITH part AS (
+      SELECT * REPLACE (16 + CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 16 ELSE p_partkey END AS p_partkey) FROM part)
+    {descriptions_raw})
+  WHERE fetch_status = 'ok'""",
+    "silver_postings_hot_key": """
+  SELECT s.*, d.description_text
+  FROM posting_seen_dates s LEFT JOIN descriptions_hot d ON s.job_url = d.job_url""",
+    # Terms and texts as tokens between blanks: a term occurs where its run of
+    # tokens does.
+    "keyword_snapshot_vocabulary": f"""
+  SELECT keyword, count(DISTINCT job_url) AS posting_count, DATE '{{snapshot_date}}' AS snapshot_date
+  FROM (
+    SELECT DISTINCT trim(regexp_replace(lower(unnest([p_name, 'The ' || p_name || ' Team, no'])),
+                                        '{TOKEN_SPLIT}', ' ', 'g')) AS keyword FROM part) terms
+  JOIN (
+    SELECT DISTINCT job_url, ' ' || regexp_replace(lower(description_text), '{TOKEN_SPLIT}', ' ', 'g') || ' ' AS t
+    FROM silver_postings WHERE description_text IS NOT NULL AND job_url IS NOT NULL) texts
+  ON contains(t, ' ' || keyword || ' ')
+  GROUP BY keyword""",
     "documents_described": """
   SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS job_url, text AS description_text, 'ok' AS fetch_status
   FROM documents""",
@@ -142,6 +164,8 @@ _CTES = {
     "keyword_snapshot_postings": _keyword_snapshot_sql("silver_postings"),
 }
 
+_CTES["descriptions_hot"] = _CTES["descriptions_hot"].replace("{descriptions_raw}", _CTES["descriptions_raw"])
+
 # Which named steps each step reads (CTEs are emitted in dependency order).
 _DEPS = {
     "postings_raw": [],
@@ -162,6 +186,9 @@ _DEPS = {
     "keyword_latest": ["keyword_snapshots", "keyword_denoised", "described_total",
                        "latest_snapshot_date"],
     "keyword_trends": ["keyword_snapshots", "keyword_denoised", "described_total"],
+    "descriptions_hot": [],
+    "silver_postings_hot_key": ["posting_seen_dates", "descriptions_hot"],
+    "keyword_snapshot_vocabulary": ["silver_postings"],
     "documents_described": [],
     "keyword_snapshot": ["documents_described"],
     "keyword_snapshot_postings": ["silver_postings"],
@@ -189,6 +216,6 @@ def statement(name: str, final: str | None = None) -> str:
 
 def model_statements(snapshot_date: str = "2024-01-31") -> dict[str, str]:
     """One statement per model step, excluding the raw bindings."""
-    skip = {"postings_raw", "descriptions_raw", "keyword_snapshots", "documents_described"}
+    skip = {"postings_raw", "descriptions_raw", "descriptions_hot", "documents_described"}
     return {name: statement(name).replace("{snapshot_date}", snapshot_date)
             for name in _CTES if name not in skip}

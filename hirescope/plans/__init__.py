@@ -1,6 +1,7 @@
 """The models: silver (clean) and gold (report) tables, the keyword snapshot job."""
 
 from hirescope.plans.gold import (
+    described_postings,
     described_total,
     experience_distribution,
     keyword_latest,
@@ -16,12 +17,14 @@ from hirescope.plans.silver import (
     postings_latest,
     postings_with_dates,
     silver_postings,
+    with_descriptions,
     year_mentions,
     min_years_per_posting,
 )
 
 __all__ = [
     "build_all",
+    "described_postings",
     "described_total",
     "experience_distribution",
     "experience_requirements",
@@ -35,5 +38,6 @@ __all__ = [
     "postings_with_dates",
     "signal_keywords",
     "silver_postings",
+    "with_descriptions",
     "year_mentions",
 ]

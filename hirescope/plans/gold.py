@@ -32,6 +32,16 @@ def described_total(silver: DataFrame) -> DataFrame:
     )
 
 
+def described_postings(postings_raw: DataFrame, descriptions_raw: DataFrame) -> DataFrame:
+    """``described_total`` from the raw tables: distinct postings that have an
+    ``ok`` description with a text. Neither the newest scrape of a posting nor
+    the fan-out of its descriptions changes that number, so no window runs and
+    no text is joined."""
+    described = descriptions_raw.where((F.col("fetch_status") == "ok") & F.col("description_text").isNotNull()).select("job_url")
+    keys = postings_raw.select("job_url").distinct()
+    return keys.join(described, "job_url", "left_semi").agg(F.count(F.lit(1)).alias("total_postings"))
+
+
 def latest_snapshot_date(snapshots: DataFrame) -> DataFrame:
     """One row: the newest snapshot date over all keywords, noise included."""
     return max_value(snapshots, "snapshot_date", "max_date")
@@ -42,16 +52,18 @@ def signal_keywords(snapshots: DataFrame, noise=NOISE_TERMS) -> DataFrame:
     return snapshots.where(is_signal_keyword("keyword", noise))
 
 
-def _with_share(snapshots: DataFrame, silver: DataFrame, total: int | None) -> DataFrame:
+def _with_share(snapshots: DataFrame, silver: DataFrame | None, total: int | DataFrame | None) -> DataFrame:
     # A precomputed total is cast to bigint so the share has the same
     # decimal type (and the same ANSI zero-division) as the subquery form.
-    denominator = (described_total(silver).scalar() if total is None
-                   else F.lit(total).cast("bigint"))
+    if isinstance(total, int):
+        denominator = F.lit(total).cast("bigint")
+    else:
+        denominator = (described_total(silver) if total is None else total).scalar()
     return snapshots.withColumn("pct", share_pct(F.col("posting_count"), denominator))
 
 
-def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
-                   ordered: bool = True, total: int | None = None) -> DataFrame:
+def keyword_latest(snapshots: DataFrame, silver: DataFrame | None, noise=NOISE_TERMS,
+                   ordered: bool = True, total: int | DataFrame | None = None) -> DataFrame:
     """M4: keyword shares on the newest snapshot date.
 
     Sorted by count descending as in the source; ``keyword`` breaks ties.
@@ -69,12 +81,13 @@ def keyword_latest(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
     return out.orderBy(F.col("posting_count").desc(), "keyword") if ordered else out
 
 
-def keyword_trends(snapshots: DataFrame, silver: DataFrame, noise=NOISE_TERMS,
-                   ordered: bool = True, total: int | None = None) -> DataFrame:
+def keyword_trends(snapshots: DataFrame, silver: DataFrame | None, noise=NOISE_TERMS,
+                   ordered: bool = True, total: int | DataFrame | None = None) -> DataFrame:
     """M5: keyword shares on every snapshot date (column order differs from M4).
 
-    ``total`` (from ``described_total``) may be passed when M4 and M5 are
-    built together, so the stored silver table is scanned for it once.
+    ``total`` may be passed: the number itself, when M4 and M5 are built
+    together, or the one-row frame of ``described_postings``, which needs no
+    silver table.
     """
     rows = signal_keywords(snapshots, noise)
     out = _with_share(rows, silver, total).select("keyword", "snapshot_date", "posting_count", "pct")

@@ -7,7 +7,7 @@ from the stored table, as the source project does, so the raw scrape is
 deduplicated once per run rather than once per consumer.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from hirescope.plans.gold import (
     described_total,
@@ -16,14 +16,15 @@ from hirescope.plans.gold import (
     keyword_trends,
 )
 from hirescope.plans.silver import experience_requirements, silver_postings
-from hirescope.sources.sinks import MODEL_TABLES, publish, schema_name
+from hirescope.sources.sinks import MODEL_TABLES, publish, quoted, schema_name
 
 
 def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None,
               keyword_snapshots: DataFrame | None, target_schema: str = "default",
               location_root: str | None = None,
               custom_schemas: dict[str, str | None] | None = None,
-              select: set[str] | None = None) -> dict[str, DataFrame]:
+              select: set[str] | None = None, catalog: str | None = None,
+              spark: SparkSession | None = None) -> dict[str, DataFrame]:
     """Run the models (all, or those in ``select``); returns each stored
     table as a DataFrame.
 
@@ -32,7 +33,9 @@ def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None
     only needs the snapshots and the stored silver postings; the raw
     inputs may then be ``None``. ``custom_schemas`` overrides the per-model
     schema (``None`` means use ``target_schema``); ``location_root`` stores
-    tables as external tables under ``<root>/<schema>/<table>``.
+    tables as external tables under ``<root>/<schema>/<table>``; ``catalog``
+    is put before every schema. ``spark`` is needed when no input is given
+    (a model built from stored tables alone).
     """
     custom = {k: v[0] for k, v in MODEL_TABLES.items()}
     custom.update(custom_schemas or {})
@@ -40,9 +43,10 @@ def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None
     unknown = wanted - set(MODEL_TABLES)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}; known: {sorted(MODEL_TABLES)}")
-    spark = next(df for df in (postings_raw, descriptions_raw, keyword_snapshots)
-                 if df is not None).sparkSession
+    spark = spark or next((df.sparkSession for df in (postings_raw, descriptions_raw, keyword_snapshots)
+                           if df is not None), None) or SparkSession.active()
     out: dict[str, DataFrame] = {}
+    full = lambda schema: schema if catalog is None else f"{catalog}.{schema}"
 
     def model(name: str, build) -> DataFrame:
         if name in out:
@@ -51,9 +55,9 @@ def build_all(postings_raw: DataFrame | None, descriptions_raw: DataFrame | None
         table = MODEL_TABLES[name][1]
         if name in wanted:
             path = None if location_root is None else f"{location_root.rstrip('/')}/{schema}/{table}"
-            out[name] = publish(build(), schema, table, path)
+            out[name] = publish(build(), full(schema), table, path)
             return out[name]
-        return spark.read.table(f"`{schema}`.`{table}`")
+        return spark.read.table(f"{quoted(full(schema))}.{quoted(table)}")
 
     silver = lambda: model(
         "silver_postings", lambda: silver_postings(postings_raw, descriptions_raw))

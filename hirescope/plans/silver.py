@@ -44,10 +44,18 @@ def ok_descriptions(descriptions_raw: DataFrame) -> DataFrame:
     return descriptions_raw.where(F.col("fetch_status") == "ok").select(KEY, "description_text")
 
 
-def silver_postings(postings_raw: DataFrame, descriptions_raw: DataFrame) -> DataFrame:
-    """M1: one row per posting, more when several ``ok`` descriptions match."""
-    postings = postings_with_dates(postings_raw)
-    joined = fanout_left_join(postings, ok_descriptions(descriptions_raw), KEY)
+def silver_postings(postings_raw: DataFrame, descriptions_raw: DataFrame, **split) -> DataFrame:
+    """M1: one row per posting, more when several ``ok`` descriptions match.
+
+    ``split`` (``bytes_per_task``, ``row_bytes``) sets from which size the
+    descriptions of one posting are joined by several tasks.
+    """
+    return with_descriptions(postings_with_dates(postings_raw), descriptions_raw, **split)
+
+
+def with_descriptions(postings: DataFrame, descriptions_raw: DataFrame, **split) -> DataFrame:
+    """Latest postings joined to their ``ok`` descriptions."""
+    joined = fanout_left_join(postings, ok_descriptions(descriptions_raw), KEY, **split)
     return joined.select(*SILVER_COLS)
 
 

@@ -12,45 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.functions.text import MAX_NGRAM, ngrams_of_normalized, normalized
-from hirescope.operators.aggregates import bounded_broadcast
 
 
-# Tokenizing is CPU-heavy per row and text lengths vary by orders of
-# magnitude, so the job wants several tasks per core.
-TASKS_PER_CORE = 4
+def vocabulary_terms(vocabulary: DataFrame) -> DataFrame:
+    """Distinct terms of a ``keyword`` column, written as texts are (lower case,
+    one blank between tokens); empty ones fall away."""
+    terms = vocabulary.select(normalized(F.col("keyword")).alias("keyword"))
+    return terms.where(F.col("keyword") != "").distinct()
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin the input over ``TASKS_PER_CORE`` x cores partitions when
-    it arrives in fewer splits than that (a small table, or a file written
-    as one row group). Large inputs already have more splits and are left
-    as they are, so at scale this adds no shuffle."""
-    try:
-        target = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # Spark Connect exposes neither; keep the input's splits
-        return df
-    return df.repartition(target) if splits < target else df
-
-
-# Postings with several description rows are counted through the exact
-# distinct path; up to this many such keys are listed on the driver.
-MAX_REPEATED_KEYS = 100_000
-
-
-def _keyword_rows(described: DataFrame, max_n: int, vocabulary: DataFrame | None,
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(job_url, keyword, *keep)`` for each distinct n-gram of each description row."""
-    norm = _spread(described).select(
-        "job_url", *keep, normalized(F.col("description_text")).alias("norm"))
-    grams = norm.select(
-        "job_url", *keep,
-        F.explode(F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword"),
-    )
-    if vocabulary is not None:
-        vocab = vocabulary.select("keyword").where(F.col("keyword").isNotNull()).distinct()
-        grams = grams.join(bounded_broadcast(vocab), "keyword", "left_semi")
-    return grams
+def longest_term(terms: DataFrame) -> int:
+    """Tokens of the longest term (one number reaches the driver); 1 for none."""
+    return terms.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
 
 
 def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
@@ -63,50 +36,34 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     postings per keyword.
 
     Descriptions are meant to be one per posting, but one posting may have
-    several. A key-only aggregate first lists the postings with more than
-    one description row (bounded by ``MAX_REPEATED_KEYS``). Rows of all
-    other postings already give each (keyword, posting) pair once, so they
-    are counted with a plain ``count`` whose partial aggregate ships one row
-    per keyword and task. Only the repeated postings go through
-    ``count(DISTINCT job_url)`` (dedupe the pairs, then count, both with
-    map-side partial aggregation, so a hot posting or keyword is reduced
-    before it is shuffled); both counts come from one scan and one
-    tokenization. When too many postings repeat, every row takes the
-    distinct path.
-
-    ``vocabulary`` (a ``keyword`` column) keeps only listed keywords; it is
-    broadcast when its size is proven small, else shuffle-joined.
+    several. A posting of one row gives each (keyword, posting) pair once, so
+    it is counted plainly, and the partial aggregate ships one row per
+    keyword and task. Only postings of several rows need
+    ``count(DISTINCT job_url)``: they are marked by a left join to the keys
+    that repeat (counted over the key column alone, no text is read for it).
+    Both counts come from one aggregate, one scan of the texts and one
+    tokenization, whatever the number of repeated keys. ``silver`` is read
+    twice (its keys, its texts), so pass the stored table.
+
+    ``vocabulary`` (a ``keyword`` column) keeps only listed keywords. Terms
+    are normalized as texts are, and n-grams go up to the longest term.
     """
-    described = silver.where(
-        F.col("description_text").isNotNull() & F.col("job_url").isNotNull()
-    ).select("job_url", "description_text")
-    repeated_df = (described.groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
-                   .where(F.col("__rows") > 1).select("job_url"))
-    # Count first (one number reaches the driver); list the keys only when
-    # the count proves the list small.
-    n_repeated = repeated_df.count()
-    repeated = repeated_df.collect() if 0 < n_repeated <= MAX_REPEATED_KEYS else []
-    if n_repeated > MAX_REPEATED_KEYS:
-        counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
-            F.countDistinct("job_url").alias("posting_count"))
-    elif n_repeated == 0:
-        counts = _keyword_rows(described, max_n, vocabulary).groupBy("keyword").agg(
-            F.count(F.lit(1)).alias("posting_count"))
-    else:
-        keys = F.broadcast(
-            described.sparkSession.createDataFrame(repeated, repeated_df.schema)
-            .withColumn("__repeated", F.lit(True)))
-        tagged = described.join(keys, "job_url", "left")  # map-side: the key list is broadcast
-        rows = _keyword_rows(tagged, max_n, vocabulary, keep=("__repeated",))
-        repeated_row = F.col("__repeated").isNotNull()
-        # One pass: rows of single-description postings are plainly counted,
-        # repeated postings are counted distinct. Spark keys the partial
-        # aggregate on (keyword, job_url if repeated else NULL), so rows of
-        # single-description postings collapse to one group per keyword and
-        # only repeated postings' pairs are shuffled as pairs.
-        counts = rows.groupBy("keyword").agg(
-            (F.count(F.when(~repeated_row, F.lit(1)))
-             + F.countDistinct(F.when(repeated_row, F.col("job_url")))).alias("posting_count"))
+    rows = silver.where(F.col("job_url").isNotNull()).select("job_url", "description_text")
+    repeated = (rows.groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
+                .where(F.col("__rows") > 1).select("job_url", F.lit(True).alias("__repeated")))
+    terms = None if vocabulary is None else vocabulary_terms(vocabulary)
+    longest = max_n if terms is None else longest_term(terms)
+    described = rows.where(F.col("description_text").isNotNull()).join(repeated, "job_url", "left")
+    norm = described.select("job_url", "__repeated", normalized(F.col("description_text")).alias("norm"))
+    grams = norm.select("job_url", "__repeated", F.explode(
+        F.array_distinct(ngrams_of_normalized(F.col("norm"), longest))).alias("keyword"))
+    if terms is not None:
+        grams = grams.join(terms, "keyword", "left_semi")
+    once = F.col("__repeated").isNull()
+    # Spark keys the partial aggregate on (keyword, job_url if repeated else
+    # NULL), so only repeated postings' pairs are shuffled as pairs.
+    counts = grams.groupBy("keyword").agg(
+        (F.count(F.when(once, F.lit(1))) + F.countDistinct(F.when(~once, F.col("job_url")))).alias("posting_count"))
     if min_postings > 1:
         counts = counts.where(F.col("posting_count") >= min_postings)
     return counts.select(

@@ -36,18 +36,19 @@ def postings_raw_from_events(events: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit("job/"), F.col("user_id").cast("string")))
         .alias("job_url"),
         et.alias("title"),
-        F.lit(None).cast("string").alias("company"),
-        F.lit(None).cast("string").alias("location"),
+        F.concat(F.lit("company "), (F.col("event_id") % 13).cast("string")).alias("company"),
+        F.concat(F.lit("city "), F.floor("value").cast("string")).alias("location"),
         posted.alias("posted_date"),
-        F.lit(None).cast("string").alias("search_keyword"),
-        F.lit(None).cast("string").alias("search_location"),
+        F.col("props").alias("search_keyword"),
+        F.concat(F.lit("area "), (F.col("event_id") % 5).cast("string")).alias("search_location"),
         F.col("ts").alias("scraped_at"),
     )
     return conform(df, POSTINGS_RAW, "postings_raw")
 
 
 def descriptions_raw_from_part(part: DataFrame) -> DataFrame:
-    """B2: descriptions keyed by ``p_partkey % 130`` so keys fan out."""
+    """B2: descriptions keyed by ``p_partkey div 16``, so keys fan out and their
+    number grows with the table."""
     size, name, key = F.col("p_size"), F.col("p_name"), F.col("p_partkey")
     variant = key % 6
     s = lambda c: c.cast("string")
@@ -64,7 +65,7 @@ def descriptions_raw_from_part(part: DataFrame) -> DataFrame:
         .otherwise(F.lit("ok"))
     )
     df = part.select(
-        F.concat(F.lit("job/"), s(key % 130)).alias("job_url"),
+        F.concat(F.lit("job/"), s(F.expr("p_partkey div 16"))).alias("job_url"),
         text.alias("description_text"),
         status.alias("fetch_status"),
     )
@@ -81,8 +82,7 @@ def keyword_snapshots_from_events(events: DataFrame) -> DataFrame:
         .otherwise(et)
     )
     df = (
-        events.where(F.col("event_id") % 97 != 0)
-        .groupBy(keyword.alias("keyword"), F.to_date(F.col("ts")).alias("snapshot_date"))
+        events.groupBy(keyword.alias("keyword"), F.to_date(F.col("ts")).alias("snapshot_date"))
         .agg(F.countDistinct("user_id").alias("posting_count"))
     )
     return conform(df, KEYWORD_SNAPSHOTS, "keyword_snapshots")
@@ -96,13 +96,34 @@ def descriptions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descriptions_raw_from_part(_table(spark, sf_dir, "part"))
 
 
+def hot_descriptions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2 with every third description moved to one posting."""
+    part = _table(spark, sf_dir, "part")
+    return descriptions_raw_from_part(part.withColumn(
+        "p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 16).otherwise(F.col("p_partkey")) + 16))
+
+
 def keyword_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword_snapshots_from_events(_table(spark, sf_dir, "events"))
 
 
-def documents_as_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` seen as fetched descriptions, one posting per doc."""
+def keyword_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms to look for, from the names in ``part``: each name capitalized, and
+    a longer phrase around it."""
+    name = F.initcap("p_name")
+    terms = F.array(name, F.concat(F.lit("The "), name, F.lit(" Team, no")))
+    return _table(spark, sf_dir, "part").select(F.explode(terms).alias("keyword"))
+
+
+def documents_as_descriptions(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """``documents`` seen as fetched descriptions, one posting per doc.
+
+    ``partitions`` deals the rows out first, for a table stored as one row
+    group (as the test table is), which a scan cannot split.
+    """
     docs = _table(spark, sf_dir, "documents")
+    if partitions is not None:
+        docs = docs.repartition(partitions)
     df = docs.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("job_url"),
         F.col("text").alias("description_text"),

@@ -31,40 +31,57 @@ KEYWORD_SNAPSHOTS = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
 ])
 
-# Types that may stand in for a declared type without a cast.
-_COMPATIBLE = {
-    T.TimestampType(): (T.TimestampType(), T.TimestampNTZType()),
-    T.LongType(): (T.LongType(), T.IntegerType(), T.ShortType(), T.ByteType()),
-}
+_NUMBERS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
 
 
 class SchemaMismatch(ValueError):
     pass
 
 
+def _as_declared(column, actual: T.DataType, declared: T.DataType):
+    """``column`` in its declared type, or None if ``actual`` cannot stand in.
+
+    Integer widths are widened. Dates and timestamps may stand for strings
+    (``posted_date`` is parsed as a date later) and strings or dates for
+    timestamps; a string that is no timestamp becomes NULL, like a
+    ``posted_date`` that is no date. Timestamps keep their own flavour (NTZ or
+    LTZ), so dates never shift with the session time zone.
+    """
+    if actual == declared or isinstance(actual, T.NullType):
+        return column.cast(declared)
+    if declared == T.TimestampType():
+        if isinstance(actual, T.TimestampNTZType):
+            return column
+        return column.try_cast("timestamp_ntz") if isinstance(actual, (T.StringType, T.DateType)) else None
+    if declared == T.LongType() and actual in _NUMBERS:
+        return column.cast(declared)
+    if declared == T.StringType() and isinstance(actual, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return column.cast(declared)
+    return None
+
+
 def conform(df: DataFrame, schema: T.StructType, name: str = "source") -> DataFrame:
     """Select the declared columns in declared order, checking names and types.
 
     Narrowing here (instead of ``SELECT *``) lets Catalyst prune every other
-    column from the Parquet scan. Integer widths are widened with a cast;
-    timestamps keep their own flavour (NTZ or LTZ) so dates never shift
-    with the session time zone.
+    column from the Parquet scan. Names match in any case, as they do in SQL;
+    an exact match goes before one in another case.
     """
-    have = {f.name: f.dataType for f in df.schema.fields}
+    have = {}
+    for f in df.schema.fields:
+        have.setdefault(f.name.lower(), f)
+    have.update({f.name: f for f in df.schema.fields if f.name == f.name.lower()})
     missing = [f.name for f in schema.fields if f.name not in have]
     if missing:
         raise SchemaMismatch(f"{name}: missing columns {missing}")
     cols = []
     for field in schema.fields:
         actual = have[field.name]
-        ok = _COMPATIBLE.get(field.dataType, (field.dataType,))
-        if actual not in ok and not isinstance(actual, T.NullType):
+        column = _as_declared(df[actual.name], actual.dataType, field.dataType)
+        if column is None:
             raise SchemaMismatch(
                 f"{name}.{field.name}: expected {field.dataType.simpleString()}, "
-                f"found {actual.simpleString()}"
+                f"found {actual.dataType.simpleString()}"
             )
-        if actual == field.dataType or field.dataType == T.TimestampType():
-            cols.append(df[field.name])
-        else:
-            cols.append(df[field.name].cast(field.dataType).alias(field.name))
+        cols.append(column.alias(field.name))
     return df.select(*cols)

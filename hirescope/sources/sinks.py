@@ -1,6 +1,10 @@
 """Sinks: publish a model as a table, and append keyword snapshots per date."""
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from hirescope.session import ensure_checkpoint_dir
 
 # The catalog names the source project reads and writes.
 BRONZE_SCHEMA = "bronze"
@@ -24,20 +28,83 @@ def schema_name(custom_schema: str | None, target_schema: str) -> str:
     return target_schema if custom_schema is None else custom_schema.strip()
 
 
+def quoted(name: str) -> str:
+    """A dotted table or schema name with each part quoted (``job_market.silver``
+    names a schema of a catalog)."""
+    parts = [part.strip(" `") for part in name.split(".")]
+    if not all(parts) or len(parts) > 3:
+        raise ValueError(f"not a table or schema name: {name!r}")
+    return ".".join(f"`{part}`" for part in parts)
+
+
+def _session_catalog(name: str) -> bool:
+    """Whether a table name is one of the session catalog's."""
+    parts = name.replace("`", "").split(".")
+    return len(parts) < 3 or parts[0] == "spark_catalog"
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever the cluster's file systems have it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def publish(df: DataFrame, schema: str, table: str, path: str | None = None) -> DataFrame:
     """Replace ``schema.table`` with ``df`` as a whole and return the stored
     table, so downstream models read the written data (lineage is cut).
 
+    ``schema`` may name a catalog as well. Another catalog than the session's
+    replaces the table itself. In the session catalog the rows are written to
+    a new version folder first and the table is then pointed at it: a run that
+    fails while writing leaves the old table as it was, and readers see either
+    version whole. The version before stays for readers that began on it; the
+    one before that goes.
+
     Sort order inside ``df`` only fixes write order; readers must sort again.
-    With ``path`` the table is external, stored under that folder.
+    With ``path`` the versions are kept under that folder.
     """
     spark = df.sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{schema}`")
-    writer = df.write.mode("overwrite").format("parquet")
-    if path is not None:
-        writer = writer.option("path", path)
-    writer.saveAsTable(f"`{schema}`.`{table}`")
-    return spark.read.table(f"`{schema}`.`{table}`")
+    name = f"{quoted(schema)}.{quoted(table)}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
+    if not _session_catalog(name):
+        df.writeTo(name).createOrReplace()
+        return spark.read.table(name)
+    if path is None:
+        described = spark.sql(f"DESCRIBE DATABASE {quoted(schema)}").collect()
+        root = next(r[1] for r in described if r[0] == "Location")
+        path = f"{root.rstrip('/')}/{table}__versions"
+    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(version)
+    stored = spark.read.parquet(version).schema
+    before = _table_properties(spark, name)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.fields)
+    same = before is not None and before["external"] and spark.read.table(name).schema.simpleString() == stored.simpleString()
+    if same:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('previous_version' = '{before['location']}')")
+        if before["previous"]:
+            delete_folder(spark, before["previous"])
+    else:
+        # Another shape (or a table Spark stores itself): made anew, now that
+        # its rows are stored.
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet LOCATION '{version}'")
+    spark.catalog.refreshTable(name)
+    return spark.read.table(name)
+
+
+def _table_properties(spark: SparkSession, name: str) -> dict | None:
+    """Location, kind and previous version of a table; None if there is none."""
+    if not spark.catalog.tableExists(name):
+        return None
+    about = {r[0]: r[1] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    previous = {r[0]: r[1] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}.get("previous_version")
+    return {"location": about.get("Location"), "external": about.get("Type") == "EXTERNAL", "previous": previous}
+
+
+class SnapshotLayout(ValueError):
+    pass
 
 
 def write_snapshot(df: DataFrame, target: str) -> None:
@@ -46,7 +113,9 @@ def write_snapshot(df: DataFrame, target: str) -> None:
     ``target`` is a Parquet folder (contains ``/``) or a catalog table.
     Dynamic partition overwrite replaces only the dates present in ``df``,
     so re-running a day does not duplicate its rows and leaves other days
-    untouched.
+    untouched. A table that is not partitioned by ``snapshot_date`` alone is
+    refused: overwriting a day there would delete all others. Columns go by
+    their names, whatever their order in the table.
     """
     cols = ["keyword", "posting_count", "snapshot_date"]
     df = df.select(*cols)
@@ -57,40 +126,67 @@ def write_snapshot(df: DataFrame, target: str) -> None:
            .parquet(target))
         return
     spark = df.sparkSession
-    if not spark.catalog.tableExists(target):
-        df.write.format("parquet").partitionBy("snapshot_date").saveAsTable(target)
+    name = quoted(target)
+    if not spark.catalog.tableExists(name):
+        df.write.format("parquet").partitionBy("snapshot_date").saveAsTable(name)
         return
-    # insertInto ignores the per-write option; the session setting is
-    # switched for this one statement and restored.
+    columns = spark.catalog.listColumns(name)
+    parts = [c.name for c in columns if c.isPartition]
+    if [p.lower() for p in parts] != ["snapshot_date"]:
+        raise SnapshotLayout(f"{target} is partitioned by {parts or 'nothing'}, not by snapshot_date; "
+                             "writing one day would delete the others")
+    names = {c.name.lower(): c.name for c in columns}
+    if sorted(names) != sorted(cols):
+        raise SnapshotLayout(f"{target} has columns {sorted(names)}, not {sorted(cols)}")
+    # insertInto goes by position and ignores the per-write option; the
+    # session setting is switched for this one statement and restored.
     key = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(key)
     spark.conf.set(key, "dynamic")
     try:
-        df.write.mode("overwrite").insertInto(target)
+        df.select(*[c.name for c in columns]).write.mode("overwrite").insertInto(name)
     finally:
         spark.conf.set(key, before)
 
 
+# Folders that ``stage`` wrote, by application, for ``release_staged``.
+_STAGED: dict[str, list[str]] = {}
+
+
+def _application(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect hides the context
+        return "session"
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """A new folder for intermediate rows under the session's checkpoint folder
+    (shared storage on a cluster; a local one is made only when the session
+    names none). Grouped per application, so a finished run's folders go as one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{_application(spark)}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under the session's checkpoint folder and
-    return the stored copy.
+    """Write ``df`` once as Parquet under a staging folder and return the
+    stored copy.
 
     For a model read by several consumers (silver postings feeds the
     requirements twice): it is computed once, its lineage is cut, and each
-    reader prunes the stored columns it does not need. The folder comes from
-    ``spark.checkpoint.dir`` (shared storage on a cluster); a local one is
-    made only when the session names none.
+    reader prunes the stored columns it does not need. ``release_staged``
+    deletes the folder.
     """
-    import uuid
+    spark = df.sparkSession
+    folder = staging_folder(spark)
+    df.write.parquet(f"{folder}/{name}")
+    _STAGED.setdefault(_application(spark), []).append(folder)
+    return spark.read.parquet(f"{folder}/{name}")
 
-    from hirescope.session import ensure_checkpoint_dir
 
-    spark = df.sparkSession
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # Spark Connect hides the context
-        app = "session"
-    # Grouped per application, so a finished run's folders go as one.
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage/{app}/{uuid.uuid4().hex}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def release_staged(spark: SparkSession) -> int:
+    """Delete what this application staged (its readers must be done); how many
+    folders that were."""
+    folders = _STAGED.pop(_application(spark), [])
+    for folder in folders:
+        delete_folder(spark, folder)
+    return len(folders)

@@ -45,7 +45,8 @@ SNAPSHOTS = [
 
 
 def postings_df(spark, rows=POSTINGS):
-    full = [(u, t, None, None, p, None, None, s) for (u, t, p, s) in rows]
+    # Each text column names itself, so two that change places are noticed.
+    full = [(u, t, f"company of {t}", f"location of {t}", p, f"keyword of {t}", f"area of {t}", s) for (u, t, p, s) in rows]
     return spark.createDataFrame(full, POSTINGS_RAW)
 
 

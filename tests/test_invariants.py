@@ -49,6 +49,18 @@ def test_latest_equals_trends_at_latest_date(models):
     assert a == b
 
 
+def test_described_total_needs_no_silver(spark, models):
+    raw, silver, _, _ = models
+    got = plans.described_postings(raw, bindings.descriptions_raw(spark, SF)).first()[0]
+    assert got == plans.described_total(silver).first()[0]
+
+
+def test_text_columns_hold_distinct_values(models):
+    _, silver, _, _ = models
+    r = silver.agg(*[F.countDistinct(c).alias(c) for c in ("company", "location", "search_keyword", "search_location")]).first()
+    assert r.company > 1 and r.location > 1 and r.search_keyword > 1 and r.search_location > 1
+
+
 def test_no_noise_in_output(models):
     _, silver, _, snaps = models
     out = plans.keyword_trends(snaps, silver)
@@ -61,6 +73,6 @@ def test_salted_join_equals_plain_join_on_bound_tables(spark, models):
     posts = plans.postings_with_dates(raw)
     desc = plans.ok_descriptions(bindings.descriptions_raw(spark, SF))
     # a tiny per-task budget forces every key with more than 3 rows to be split
-    got = fanout_left_join(posts, desc, "job_url", rows_per_task=3)
+    got = fanout_left_join(posts, desc, "job_url", bytes_per_task=3, row_bytes=1)
     want = posts.join(desc, "job_url", "left")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -34,7 +34,15 @@ def _duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+# The training-data queries are compared in tests/llm.
+OWN = sorted(n for n in E.oracle_sql() if E.llm_queries is None or n not in {*E.llm_queries.queries(), "pipeline"})
+
+# Spark types and the DuckDB types that hold the same values.
+SAME_TYPES = {"string": {"VARCHAR"}, "bigint": {"BIGINT"}, "int": {"INTEGER"}, "double": {"DOUBLE"}, "date": {"DATE"},
+              "timestamp_ntz": {"TIMESTAMP"}, "timestamp": {"TIMESTAMP"}}
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_matches_oracle(spark, name):
     sf_dir = SF.get(name, DEFAULT_SF)
     df = E.queries()[name](spark, sf_dir)
@@ -43,12 +51,34 @@ def test_query_matches_oracle(spark, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    for column, kind in df.dtypes:
+        assert dtypes[column] in SAME_TYPES[kind], (column, kind, dtypes[column])
     assert len(srows) == len(drows)
     assert _digest(srows, df.columns) == _digest(drows, dcols)
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    extra = set() if E.llm_queries is None else {*E.llm_queries.queries(), "pipeline"}
+    assert set(E.queries()) - extra == set(OWN)
+
+
+def test_fixed_values():
+    """The pattern and list that queries and statements share, as literals."""
+    from hirescope.functions.experience import BAND_ORDER, YEARS_PATTERN
+    from hirescope.functions.noise import NOISE_TERMS
+    from hirescope.functions.text import TOKEN_SPLIT
+    assert YEARS_PATTERN == r"([0-9]{1,2})[ -]*[+]?[ ]*years?"
+    assert TOKEN_SPLIT == r"[^\p{L}\p{N}+#]+"
+    assert BAND_ORDER == ("0-2", "3-5", "5-8", "8+", "not_specified")
+    assert sorted(NOISE_TERMS) == sorted("""access, analytics, applicants, bachelor, basis, benefits, best practices,
+        bonus, build, business, code, compensation, compliance, computer, computer science, customers, data, dental,
+        design, development, employee, employees, employer, end, engineer, engineering, engineers, equal,
+        equal opportunity employer, equity, factors, familiarity, future, health, impact, infrastructure, k, life,
+        location, medical, office, our customers, our mission, our team, partner, performance, person, platform,
+        policy, preferred, privacy, production, pto, range, reliability, salary, scale, science, security, senior,
+        software, strong, systems, technology, time, tools, training, vision, world,
+        your work""".replace("\n        ", " ").split(", "))
 
 
 def test_entry_runs(spark):

@@ -102,7 +102,7 @@ def test_cli_stream(spark):
     root = tempfile.mkdtemp(prefix="hs-cli-stream-")
     postings_df(spark).write.parquet(f"{root}/landing")
     descriptions_df(spark).write.parquet(f"{root}/desc")
-    assert main(["stream", "--landing", f"{root}/landing", "--checkpoint", f"{root}/ckpt",
+    assert main(["stream", "--landing", f"{root}/landing", "--checkpoint", f"{root}/ckpt", "--latest", f"{root}/latest",
                  "--out", f"{root}/silver", "--descriptions-raw", f"{root}/desc",
                  "--state-partitions", "4"]) == 0
     assert spark.read.parquet(f"{root}/silver").count() == 8
@@ -117,3 +117,90 @@ def test_model_without_custom_schema_goes_to_target_schema(spark):
     assert spark.catalog.tableExists("hs_analytics.silver_linkedin_postings")
     assert spark.catalog.tableExists("hs_reports.gold_experience_distribution")
     assert spark.catalog.tableExists("silver.silver_experience_requirements")
+
+
+def test_snapshot_refuses_a_table_it_would_empty(spark):
+    import pytest
+
+    from hirescope.sources.sinks import SnapshotLayout
+    schema = snapshots_df(spark).schema
+    day = lambda n: spark.createDataFrame([("python", n, dt.date(2026, 1, n))], schema)
+    spark.sql("CREATE DATABASE IF NOT EXISTS hs_silver")
+    spark.sql("DROP TABLE IF EXISTS hs_silver.kw_flat")
+    day(1).write.saveAsTable("hs_silver.kw_flat")
+    with pytest.raises(SnapshotLayout, match="partitioned by"):
+        write_snapshot(day(2), "hs_silver.kw_flat")
+    assert [r.posting_count for r in spark.read.table("hs_silver.kw_flat").collect()] == [1]
+
+
+def test_snapshot_goes_by_column_names(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS hs_silver")
+    spark.sql("DROP TABLE IF EXISTS hs_silver.kw_shuffled")
+    spark.sql("CREATE TABLE hs_silver.kw_shuffled (posting_count BIGINT, keyword STRING, snapshot_date DATE) "
+              "USING parquet PARTITIONED BY (snapshot_date)")
+    schema = snapshots_df(spark).schema
+    for n in (1, 2):
+        write_snapshot(spark.createDataFrame([("python", n, dt.date(2026, 1, n))], schema), "hs_silver.kw_shuffled")
+    rows = sorted((r.keyword, r.posting_count, r.snapshot_date.day) for r in spark.read.table("hs_silver.kw_shuffled").collect())
+    assert rows == [("python", 1, 1), ("python", 2, 2)]
+
+
+def test_failed_publish_leaves_the_old_table(spark):
+    import pytest
+    from pyspark.sql import functions as F
+    root = tempfile.mkdtemp(prefix="hs-fail-")
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    for path in (None, f"{root}/t"):
+        table = "kept" if path is None else "kept_external"
+        publish(df, "hs_test", table, path=path)
+        with pytest.raises(Exception, match="broken"):
+            publish(df.withColumn("v", F.raise_error(F.lit("broken")).cast("string")), "hs_test", table, path=path)
+        assert [tuple(r) for r in spark.read.table(f"hs_test.{table}").collect()] == [(1, "a")]
+
+
+def test_publish_keeps_one_version_back_and_follows_a_new_shape(spark):
+    import os
+    root = tempfile.mkdtemp(prefix="hs-versions-")
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    for _ in range(4):
+        publish(df, "hs_test", "versions", path=f"{root}/t")
+    assert len([x for x in os.listdir(f"{root}/t") if x.startswith("v-")]) == 2
+    stored = publish(df.select("v"), "hs_test", "versions", path=f"{root}/t")
+    assert stored.columns == ["v"] and stored.count() == 1
+
+
+def test_names_may_have_a_catalog_part(spark):
+    import pytest
+
+    from hirescope.sources.sinks import quoted
+    assert quoted("job_market.silver") == "`job_market`.`silver`"
+    with pytest.raises(ValueError, match="not a table"):
+        quoted("a..b")
+    df = spark.createDataFrame([(1,)], "id int")
+    assert publish(df, "spark_catalog.hs_test", "three_parts").count() == 1
+    out = plans.build_all(postings_df(spark), descriptions_df(spark), None, catalog="spark_catalog",
+                          custom_schemas={"silver_postings": "hs_cat"}, select={"silver_postings"})
+    assert out["silver_postings"].count() == 8
+    assert spark.catalog.tableExists("spark_catalog.hs_cat.silver_linkedin_postings")
+
+
+def test_each_model_can_be_built_alone(spark):
+    from hirescope.__main__ import main
+    root = tempfile.mkdtemp(prefix="hs-alone-")
+    postings_df(spark).write.parquet(f"{root}/raw")
+    descriptions_df(spark).write.parquet(f"{root}/desc")
+    snapshots_df(spark).write.parquet(f"{root}/snaps")
+    for model, (schema, table) in MODEL_TABLES.items():
+        assert main(["build", "--postings-raw", f"{root}/raw", "--descriptions-raw", f"{root}/desc", "--keyword-snapshots",
+                     f"{root}/snaps", "--location-root", f"{root}/tables", "--select", model]) == 0
+        assert spark.read.table(f"{schema}.{table}").count() > 0, model
+
+
+def test_staged_folders_go(spark):
+    import os
+
+    from hirescope.sources.sinks import release_staged, stage
+    folder = stage(spark.range(3), "rows").inputFiles()[0].replace("file://", "").rpartition("/")[0]
+    assert os.path.isdir(folder)
+    assert release_staged(spark) >= 1
+    assert not os.path.exists(os.path.dirname(folder))

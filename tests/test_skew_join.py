@@ -23,10 +23,11 @@ def sides(spark):
     return left, right
 
 
-@pytest.mark.parametrize("rows_per_task,max_hot", [(1_000_000, 10), (3, 10), (7, 1), (1, 100)])
-def test_matches_plain_left_join(sides, rows_per_task, max_hot):
+# Rows are counted as one byte each, so sizes read as rows.
+@pytest.mark.parametrize("rows", [1_000_000, 3, 7, 1])
+def test_matches_plain_left_join(sides, rows):
     left, right = sides
-    got = fanout_left_join(left, right, "k", rows_per_task=rows_per_task, max_hot_keys=max_hot)
+    got = fanout_left_join(left, right, "k", bytes_per_task=rows, row_bytes=1)
     want = left.join(right, "k", "left")
     assert got.columns == ["k", "lv", "rv"]
     assert _sorted(got) == _sorted(want)
@@ -34,13 +35,25 @@ def test_matches_plain_left_join(sides, rows_per_task, max_hot):
 
 def test_hot_key_is_split(sides):
     left, right = sides
-    hot = {r["k"]: r["__splits"] for r in hot_keys(right, "k", rows_per_task=10, max_keys=5).collect()}
+    hot = {r["k"]: r["__splits"] for r in hot_keys(right, "k", bytes_per_task=10, row_bytes=1).collect()}
     assert hot == {"hot": 5}
     # the hot key's right rows spread over all its buckets
-    joined = fanout_left_join(left, right, "k", rows_per_task=10)
+    joined = fanout_left_join(left, right, "k", bytes_per_task=10, row_bytes=1)
     assert joined.where(F.col("k") == "hot").count() == 50
 
 
-def test_hot_key_cap_is_bounded(sides):
+def test_every_hot_key_is_split_by_its_bytes(sides):
     _, right = sides
-    assert hot_keys(right, "k", rows_per_task=1, max_keys=1).count() == 1
+    few = {r["k"]: r["__splits"] for r in hot_keys(right, "k", bytes_per_task=100, row_bytes=50).collect()}
+    assert few == {"hot": 25, "warm": 3}
+
+
+def test_no_job_runs_while_the_join_is_built(spark, sides):
+    left, right = sides
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("skew-build", "building only")
+    try:
+        fanout_left_join(left, right, "k")
+        assert not tracker.getJobIdsForGroup("skew-build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

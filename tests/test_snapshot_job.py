@@ -57,22 +57,36 @@ def test_daily_append_feeds_gold_reports(spark):
     assert "data" not in latest
 
 
-def test_all_counting_paths_agree(spark, monkeypatch):
-    """Fast path (no repeated posting), mixed path and all-distinct fallback."""
-    import hirescope.plans.snapshots as snap
+def test_mixed_count_equals_plain_distinct_count(spark):
+    """Postings of one and of several descriptions, against one distinct count."""
+    from pyspark.sql import functions as F
+
+    from hirescope.functions.text import ngrams
     from hirescope.sources import bindings
     sf = "/root/testdata/sf0.001"
     silver = plans.silver_postings(bindings.postings_raw(spark, sf), bindings.descriptions_raw(spark, sf))
+    plain = (silver.where("job_url is not null and description_text is not null")
+             .select("job_url", F.explode(ngrams(F.col("description_text"))).alias("keyword"))
+             .groupBy("keyword").agg(F.countDistinct("job_url").alias("n")))
+    want = sorted(map(tuple, plain.collect()))
+    got = sorted((r.keyword, r.posting_count) for r in plans.keyword_snapshot(silver, "2026-01-02").collect())
+    assert got == want and len(got) > 0
+
+
+def test_vocabulary_terms_are_normalized_and_may_be_long(spark):
+    silver = _silver(spark, [("u1", "An Amazon Web Services, certified! engineer", "ok"), ("u3", "python; amazon web", "ok")])
+    vocab = spark.createDataFrame([("amazon web services certified",), ("Python",), ("  AMAZON  web ",), ("",), ("!",)],
+                                  "keyword string")
+    out = sorted((r.keyword, r.posting_count) for r in
+                 plans.keyword_snapshot(silver, "2026-01-02", vocabulary=vocab).collect())
+    assert out == [("amazon web", 2), ("amazon web services certified", 1), ("python", 1)]
+
 
-    def run(limit):
-        monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", limit)
-        return sorted(map(tuple, snap.keyword_snapshot(silver, "2026-01-02").collect()))
-
-    mixed = run(100_000)
-    fallback = run(0)
-    assert mixed == fallback and len(mixed) > 0
-    unique = _silver(spark, [("u1", "Python and SQL", "ok"), ("u3", "python", "ok")])
-    monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", 100_000)
-    fast = sorted(map(tuple, snap.keyword_snapshot(unique, "2026-01-02").collect()))
-    monkeypatch.setattr(snap, "MAX_REPEATED_KEYS", -1)
-    assert fast == sorted(map(tuple, snap.keyword_snapshot(unique, "2026-01-02").collect()))
+def test_no_job_runs_while_the_snapshot_is_built(spark):
+    silver = _silver(spark, [("u1", "Python and SQL", "ok")])
+    spark.sparkContext.setJobGroup("snapshot-build", "building only")
+    try:
+        plans.keyword_snapshot(silver, "2026-01-02")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("snapshot-build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

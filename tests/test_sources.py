@@ -58,3 +58,27 @@ def test_int_counts_are_widened(spark):
     root = tempfile.mkdtemp(prefix="hs-int-")
     df.write.parquet(f"{root}/k")
     assert dict(read_keyword_snapshots(spark, f"{root}/k").dtypes)["posting_count"] == "bigint"
+
+
+def test_names_match_in_any_case(spark):
+    from hirescope.sources import POSTINGS_RAW, conform
+    df = postings_df(spark).withColumnsRenamed({"title": "Title", "job_url": "JOB_URL"})
+    out = conform(df, POSTINGS_RAW)
+    assert out.columns == [f.name for f in POSTINGS_RAW.fields]
+    assert sorted(r.title for r in out.collect()) == sorted(r.title for r in postings_df(spark).collect())
+
+
+def test_dates_and_text_timestamps_are_taken(spark):
+    from pyspark.sql import functions as F
+
+    from hirescope import plans
+    from hirescope.sources import POSTINGS_RAW, conform
+    plain = postings_df(spark)
+    dated = conform(plain.withColumn("posted_date", F.col("posted_date").try_cast("date")), POSTINGS_RAW)
+    want = [r.posted_date for r in plans.postings_with_dates(plain).orderBy("job_url").collect()]
+    assert [r.posted_date for r in plans.postings_with_dates(dated).orderBy("job_url").collect()] == want
+    texts = conform(plain.withColumn("scraped_at", F.col("scraped_at").cast("string")), POSTINGS_RAW)
+    want = [r.last_seen_at for r in plans.postings_with_dates(plain).orderBy("job_url").collect()]
+    assert [r.last_seen_at for r in plans.postings_with_dates(texts).orderBy("job_url").collect()] == want
+    odd = conform(plain.withColumn("scraped_at", F.lit("yesterday")), POSTINGS_RAW)
+    assert odd.where("scraped_at is not null").count() == 0
