@@ -9,12 +9,15 @@
    rarest so many postings. Values of frequent passages are the commonest and
    so are the first to go.
 4. Within a posting list collisions are counted over whole signatures, and
-   pairs at or above ``MATCHES`` are confirmed on the full shingle sets. No
-   list is expanded into all its pairs: first each member meets one leader of
-   its list (twice, with different leaders) and what is confirmed is merged;
-   then only members of different components are still compared, in blocks
-   inside tasks, skipping members whose set sizes alone rule a link out, and
-   only pairs at or above the threshold leave the task.
+   pairs at or above ``MATCHES`` are retained. What they connect is a family.
+   No list is expanded into all its pairs: each member first meets one leader
+   of its list; then only members of different families are compared, in
+   blocks inside tasks, skipping those whose set sizes alone rule a link out,
+   and tasks hand on what they joined, not the pairs.
+5. Links are confirmed on the full shingle sets. Each set goes to its family
+   once; inside the tasks of a family, the most central texts are compared
+   first and texts already joined by confirmed links are skipped, so what
+   leaves a task is a spanning tree of its links.
 
 A pair at exactly the similarity 0.75 misses the threshold of 32 of 64
 coordinates with a probability of about 1e-5; pairs above it less often. No
@@ -122,9 +125,9 @@ def _sets(words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"),
+                    [part.column("id"), part.column("family"),
                      pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
-                    ["id", "shingles"])
+                    ["id", "family", "shingles"])
     return run
 
 
@@ -143,69 +146,118 @@ def _agreeing(matches: int):
     return run
 
 
-def _similar(numerator: int, denominator: int):
-    """Pairs confirmed on their full shingle sets."""
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
-
-
-def _pairs_in_group(sig, ids, labels, sizes, own, i, j, matches, numerator, denominator):
+def _groups(batches, *key: str):
+    """Tables of whole groups; rows come sorted by the key."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        if rest.num_rows < 2048:
+            continue
+        columns = np.stack([rest.column(c).to_numpy() for c in key])
+        before = np.flatnonzero((columns != columns[:, -1:]).any(axis=0))
+        if len(before):
+            yield rest.slice(0, int(before[-1]) + 1)
+            rest = rest.slice(int(before[-1]) + 1)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _starts(table: pa.Table, *key: str) -> np.ndarray:
+    columns = np.stack([table.column(c).to_numpy() for c in key])
+    return np.flatnonzero(np.r_[True, (columns[:, 1:] != columns[:, :-1]).any(axis=0)])
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node of the pairs with the smallest node it is joined to."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, low = at[:len(a)], at[len(a):], np.arange(len(nodes))
+    while True:
+        before = low.copy()
+        np.minimum.at(low, x, before[y])
+        np.minimum.at(low, y, before[x])
+        low = low[low]
+        if (low == before).all():
+            break
+    other = nodes[low] != nodes
+    return nodes[other], nodes[low][other]
+
+
+def _labels_met(sig, labels, sizes, own, i, j, matches, numerator, denominator):
+    """Pairs of labels of which some members agree."""
     left = np.flatnonzero(own == i)
     right = left if i == j else np.flatnonzero(own == j)
-    out_a, out_b = [], []
+    found = [np.empty((0, 2), np.int64)]
     for at in range(0, len(left), 64):
         rows = left[at:at + 64]
         small, large = np.minimum.outer(sizes[rows], sizes[right]), np.maximum.outer(sizes[rows], sizes[right])
-        may = (labels[rows][:, None] != labels[right][None, :]) & (denominator * small >= numerator * large)
-        if i == j:
-            may &= ids[rows][:, None] < ids[right][None, :]
-        r, c = np.nonzero(may)
+        r, c = np.nonzero((labels[rows][:, None] < labels[right][None, :] if i == j else
+                           labels[rows][:, None] != labels[right][None, :]) & (denominator * small >= numerator * large))
         for k in range(0, len(r), 65_536):
             x, y = rows[r[k:k + 65_536]], right[c[k:k + 65_536]]
             hit = (sig[x] == sig[y]).sum(axis=1) >= matches
-            out_a.append(ids[x[hit]])
-            out_b.append(ids[y[hit]])
-    return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (ids[:0], ids[:0])
+            found.append(np.unique(np.stack([labels[x[hit]], labels[y[hit]]], axis=1), axis=0))
+    return np.concatenate(found)
 
 
-def _compare_blocks(matches: int, numerator: int, denominator: int):
-    """Count collisions between members of different components of one posting
+def _compare_lists(matches: int, numerator: int, denominator: int):
+    """Count collisions between members of different families of a posting
     list; rows come sorted by (value, i, j), a pair of blocks of that list."""
-    def groups(batches):
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            rest = t if rest is None else pa.concat_tables([rest, t])
-            if rest.num_rows < 4096:
-                continue
-            last = tuple(rest.column(c)[-1].as_py() for c in ("value", "i", "j"))
-            if last == tuple(rest.column(c)[0].as_py() for c in ("value", "i", "j")):
-                continue
-            key = np.stack([rest.column(c).to_numpy() for c in ("value", "i", "j")])
-            cut = int(np.flatnonzero((key != np.array(last)[:, None]).any(axis=0))[-1]) + 1
-            yield rest.slice(0, cut)
-            rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield rest
-
     def run(batches):
-        for t in groups(batches):
-            t = t.combine_chunks()
-            value, i, j, own, ids, labels, sizes = (t.column(c).to_numpy() for c in ("value", "i", "j", "own", "id", "label", "n"))
+        for t in _groups(batches, "value", "i", "j"):
+            i, j, own, labels, sizes = (t.column(c).to_numpy() for c in ("i", "j", "own", "label", "n"))
             sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            starts = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-            for s, e in zip(starts, np.r_[starts[1:], len(value)]):
-                a, b = _pairs_in_group(sig[s:e], ids[s:e], labels[s:e], sizes[s:e], own[s:e], i[s], j[s],
-                                       matches, numerator, denominator)
-                if len(a):
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            starts = _starts(t, "value", "i", "j")
+            met = [np.empty((0, 2), np.int64)]
+            for s, e in zip(starts, np.r_[starts[1:], len(own)]):
+                if e - s > 1:
+                    met.append(_labels_met(sig[s:e], labels[s:e], sizes[s:e], own[s:e], i[s], j[s],
+                                           matches, numerator, denominator))
+            met = np.concatenate(met)
+            if len(met):
+                a, b = _joined(met[:, 0], met[:, 1])
+                yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+    return run
+
+
+def spanning_links(sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links between positions of ``sets`` that join whatever all links would."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    shingles, local = np.unique(np.concatenate(sets), return_inverse=True)
+    uses = np.bincount(local)
+    component = np.arange(len(sets))
+    out = []
+    # A text made of what many others hold is likely to link most of them.
+    for x in np.argsort(-np.add.reduceat(uses[local], starts) / sizes, kind="stable"):
+        apart = component != component[x]
+        if not apart.any():
+            break
+        mark = np.zeros(len(shingles), np.int64)
+        mark[local[starts[x]:starts[x] + sizes[x]]] = 1
+        both = np.add.reduceat(mark[local], starts)
+        linked = np.flatnonzero(apart & (denominator * both >= numerator * (sizes[x] + sizes - both)))
+        if len(linked):
+            joined, first = np.unique(component[linked], return_index=True)
+            out += [(int(x), int(y)) for y in linked[first]]
+            component[np.isin(component, joined)] = component[x]
+    return out
+
+
+def _confirm(numerator: int, denominator: int):
+    """Confirmed links, as spanning trees, of each pair of blocks of a family;
+    rows come sorted by (family, i, j)."""
+    def run(batches):
+        for t in _groups(batches, "family", "i", "j"):
+            ids, values = t.column("id").to_numpy(), t.column("shingles")
+            starts = _starts(t, "family", "i", "j")
+            links = []
+            for s, e in zip(starts, np.r_[starts[1:], len(ids)]):
+                if e - s > 1:
+                    sets = [np.frombuffer(values[k].as_py(), np.uint64) for k in range(s, e)]
+                    links += [(ids[s + x], ids[s + y]) for x, y in spanning_links(sets, numerator, denominator)]
+            a, b = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
     return run
 
 
@@ -234,10 +286,36 @@ def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     return kept.select(F.col("p.value").alias("value"), "id", "n")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The given ``(a, b)`` whose full sets are similar enough."""
-    return (pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-            .mapInArrow(_similar(numerator, denominator), "a long, b long"))
+def _blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """Deal the rows of each group into blocks; each row comes once for every
+    pair of blocks ``i <= j`` that holds its ``own``."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id", group), F.col("blocks")).cast("int")
+    placed = rows.join(sizes, group).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
+
+
+def _families(postings: DataFrame, signatures: DataFrame, matches: int, numerator: int, denominator: int,
+              block: int) -> DataFrame:
+    """``(id, family)`` of classes joined by pairs with enough matches."""
+    fits = f"{denominator} * least(n, m) >= {numerator} * greatest(n, m)"
+    leaders = postings.groupBy("value").agg(F.min(F.struct("id", "n")).alias("lead"), F.count(F.lit(1)).alias("members"))
+    leaders = leaders.where("members > 1").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
+    met = postings.join(leaders, "value").where(f"id != lead and {fits}")
+    pairs = met.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    counted = (pairs.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b")
+               .mapInArrow(_agreeing(matches), "a long, b long"))
+    edges = stored(counted, "agreeing")
+    labels = components(edges, name="led").withColumnRenamed("node", "id").withColumnRenamed("component", "label")
+    labelled = postings.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = labelled.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    still = labelled.join(mixed.select("value"), "value", "left_semi").join(signatures, "id")
+    placed = _blocks(still, "value", block).select("value", "i", "j", "own", "label", "n", "signature")
+    more = (placed.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+            .mapInArrow(_compare_lists(matches, numerator, denominator), "a long, b long"))
+    edges = stored(edges.union(more), "family-edges")
+    return components(edges, name="families").withColumnRenamed("node", "id").withColumnRenamed("component", "family")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR,
@@ -258,44 +336,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     classes = stored(named.select(F.col("first.row_key").alias("id"), F.col("first.doc_id").alias("doc_id"),
                                   "class", "n", "signature"), "classes")
     postings = stored(prefix_postings(classes, matches), "postings")
-    # Only members of lists with company are ever compared: their sets are made
-    # once more, from the texts, and kept.
-    company = postings.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    wanted = postings.join(company, "value", "left_semi").select("id").distinct()
-    texts = docs.select(row_key("doc_id", "text").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = stored(texts.dropDuplicates(["id"]).mapInArrow(_sets(words), "id long, shingles binary"), "sets")
-    signatures = classes.select("id", "signature")
-
-    fits = f"{denominator} * least(n, m) >= {numerator} * greatest(n, m)"
-    links, labels = None, None
-    for turn in range(2):
-        open_lists = postings if labels is None else _open(postings, labels)
-        # Turn 0: the smallest id leads its list; turn 1: the largest.
-        pick = (F.min if turn == 0 else F.max)(F.struct("id", "n"))
-        leaders = open_lists.groupBy("value").agg(pick.alias("lead"), F.count(F.lit(1)).alias("members")).where(
-            "members > 1").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("m"))
-        met = open_lists.join(leaders, "value").where(f"id != lead and {fits}")
-        pairs = met.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-        counted = (pairs.join(signatures.toDF("a", "sig_a"), "a").join(signatures.toDF("b", "sig_b"), "b")
-                   .mapInArrow(_agreeing(matches), "a long, b long"))
-        found = _confirmed(counted, sets, numerator, denominator)
-        links = stored(found if links is None else links.union(found), f"links{turn}")
-        labels = components(links, name=f"turn{turn}")
-    mixed = _open(postings, labels).join(signatures, "id")
-    sizes = mixed.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id", "value"), F.col("blocks")).cast("int")
-    placed = mixed.join(sizes, "value").withColumn("own", own).select(
-        "value", "id", "label", "n", "signature", "own",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                           "own", "id", "label", "n", "signature")
-    compared = (placed.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-                .mapInArrow(_compare_blocks(matches, numerator, denominator), "a long, b long").distinct())
-    found = _confirmed(compared, sets, numerator, denominator)
+    families = stored(_families(postings, classes.select("id", "signature"), matches, numerator, denominator, block),
+                      "families")
+    texts = docs.select(row_key("doc_id", "text").alias("id"), "text").join(families, "id")
+    sets = texts.dropDuplicates(["id"]).select("id", "family", "text").mapInArrow(
+        _sets(words), "id long, family long, shingles binary")
+    placed = _blocks(stored(sets, "sets"), "family", block).select("family", "i", "j", "id", "shingles")
+    links = (placed.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+             .mapInArrow(_confirm(numerator, denominator), "a long, b long"))
     # A doc_id shared by several classes is one document: it links them.
     one = classes.groupBy("doc_id").agg(F.min("id").alias("a"))
     same = classes.join(one, "doc_id").where("id != a").select("a", F.col("id").alias("b"))
-    labels = components(links.union(found).union(same), name="last")
+    labels = components(links.union(same), name="confirmed")
     grouped = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id"))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -307,11 +359,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     return joined.select("doc_id", "row_key", "n_shingles", component.alias("component_id"),
                          F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
-
-def _open(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Postings, with labels, of the lists whose members are not yet all in one
-    component."""
-    with_labels = postings.join(labels.select(F.col("node").alias("id"), F.col("component").alias("label")),
-                                "id", "left").withColumn("label", F.coalesce("label", "id"))
-    lists = with_labels.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return with_labels.join(lists.where("low != high").select("value"), "value", "left_semi")
