@@ -2,10 +2,13 @@
 
 A line is read as tokens; tokens that hold a digit or ``@`` are variable
 fields and become ``<*>``. The tree has a fixed depth: the number of tokens,
-then the leading tokens, then the template. Within a leaf, templates that
-agree with the leaf's commonest one in most positions are merged into it (the
-differing positions generalise to ``<*>`` as well). A template that recurs
-across documents is dropped from all of them but the first (smallest doc_id).
+then the leading tokens, then the rest. What follows the leading tokens is
+cut into ``BANDS`` runs of tokens, and a leaf stands for a template in which
+one run, whichever, is a variable field as well; so a line belongs to one
+leaf per run. Short lines have one leaf, their own template. Leaves are named
+by hashes, so no text is shuffled to count them. A line goes from a document
+if one of its leaves recurs across documents, unless the document is the
+first (smallest doc_id) to hold that leaf.
 
 Long lines recur by copying only, so two documents are enough; short ones also
 recur by chance and need more. Lines under ``MIN_TOKENS`` tokens always stay.
@@ -28,75 +31,59 @@ SHORT_DOCS = 10
 LONG_TOKENS = 16
 LONG_DOCS = 2
 LEAD_TOKENS = 3
-SIMILARITY = 0.8
-# Templates shorter than this are merged by their variable fields only.
-MERGE_TOKENS = 8
+BANDS = 4
+# Lines shorter than this have no variable run.
+BAND_TOKENS = 8
 
 FIELD = "<*>"
-# Tried at the start of a token only, and possessive, so that a line of one
+# Tried at the start of a token only, and possessive, so that a text of one
 # long word costs one pass.
-_FIELD_PATTERN = r"(?<![^ \t\r\f\x0B])[^ \t\r\f\x0B0-9@]*+[0-9@][^ \t\r\f\x0B]*+"
+_FIELD_PATTERN = r"(?<![^ \t\r\f\x0B\n])[^ \t\r\f\x0B\n0-9@]*+[0-9@][^ \t\r\f\x0B\n]*+"
 _BLANKS = r"[ \t\r\f\x0B]++"
 
 
-def template(line: Column) -> Column:
-    """The line's tokens, one blank between them, with variable fields marked."""
-    fields = F.regexp_replace(line, _FIELD_PATTERN, FIELD)
-    return F.trim(F.regexp_replace(fields, _BLANKS, " "))
+def templates(text: Column) -> Column:
+    """The text with variable fields marked and one blank between the tokens of
+    a line. Texts that need neither are passed by."""
+    fields = F.when(text.rlike("[0-9@]"), F.regexp_replace(text, _FIELD_PATTERN, FIELD)).otherwise(text)
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.regexp_replace(fields, _BLANKS, " ")).otherwise(fields)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``(row_key, doc_id, line_no, template)`` for every line long enough."""
-    rows = docs.select(row_key("doc_id", "text").alias("row_key"), F.col("doc_id"),
-                       F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    found = rows.select("row_key", "doc_id", "line_no", template(F.col("line")).alias("template"))
-    return found.where(_tokens(F.col("template")) >= MIN_TOKENS)
+def _leaves(words: str) -> Column:
+    """Names of the leaves a line (an array of tokens) belongs to."""
+    w, n = F.col(words), F.size(words)
 
+    def band(i: int) -> Column:
+        start, stop = (F.lit(LEAD_TOKENS) + F.floor((n - LEAD_TOKENS) * k / BANDS).cast("int") for k in (i, i + 1))
+        return F.xxhash64(F.lit(i), F.slice(w, F.lit(1), start), n, F.slice(w, stop + 1, n - stop))
+    return F.when(n < BAND_TOKENS, F.array(F.xxhash64(w))).otherwise(F.array(*map(band, range(BANDS))))
 
-def _tokens(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1)
 
-
-def merged_templates(lines: DataFrame, lead_tokens: int = LEAD_TOKENS, similarity: float = SIMILARITY,
-                     merge_tokens: int = MERGE_TOKENS) -> DataFrame:
-    """``(template_id, cluster_id, cluster)``: templates merged into the
-    commonest one of their leaf (ties: the smallest text)."""
-    counted = lines.where(_tokens(F.col("template")) >= merge_tokens).groupBy("template").agg(
-        F.count(F.lit(1)).alias("uses"))
-    tokens = F.split("template", " ")
-    leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, lead_tokens))
-    leaves = counted.withColumn("leaf", leaf)
-    centres = leaves.groupBy("leaf").agg(
-        F.min(F.struct((-F.col("uses")).alias("less"), "template")).alias("c"), F.count(F.lit(1)).alias("templates"))
-    centres = centres.where("templates > 1").select("leaf", F.col("c.template").alias("centre"))
-    pairs = leaves.join(centres, "leaf").where("template != centre")
-    agree = F.zip_with(F.split("template", " "), F.split("centre", " "), lambda a, b: a == b)
-    same = F.size(F.filter(agree, lambda x: x))
-    near = pairs.where(same >= F.lit(similarity) * F.size(agree))
-    return near.select(F.xxhash64("template").alias("template_id"), F.xxhash64("centre").alias("cluster_id"))
+def _placed_lines(docs: DataFrame) -> DataFrame:
+    """``(row_key, doc_id, line_no, long, leaf)`` for every leaf of every line."""
+    rows = docs.select(row_key("doc_id", "text").alias("row_key"), "doc_id",
+                       F.posexplode(F.split(templates(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    words = rows.select("row_key", "doc_id", "line_no", F.split(F.trim("line"), " ").alias("words"))
+    words = words.where(F.size("words") >= MIN_TOKENS)
+    return words.select("row_key", "doc_id", "line_no", (F.size("words") >= LONG_TOKENS).alias("long"),
+                        F.explode(_leaves("words")).alias("leaf"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """``(row_key, dropped)``: the numbers (from 0) of the lines to drop from
     each document that has any."""
-    lines = _lines(docs)
-    merged = stored(merged_templates(lines), "merged-templates")
-    keyed = lines.select("row_key", "doc_id", "line_no", F.xxhash64("template").alias("template_id"),
-                         _tokens(F.col("template")).alias("tokens"))
-    # A centre's own lines keep its id; hot templates are split by the join.
-    clustered = keyed.join(merged, "template_id", "left").select(
-        "row_key", "doc_id", "line_no", "tokens", F.coalesce("cluster_id", "template_id").alias("cluster"))
-    clustered = stored(clustered, "clustered-lines")
-    # One row per document and template first: a frequent line is spread over
-    # the documents that hold it before the counts meet.
-    held = clustered.groupBy("cluster", "row_key").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
+    lines = _placed_lines(docs)
+    # One row per leaf and document first: a frequent line is spread over the
+    # documents that hold it before the counts meet.
+    held = lines.groupBy("leaf", "row_key").agg(F.min("doc_id").alias("doc_id"), F.max("long").alias("long"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key"))
-    recurring = held.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("docs"), F.max("tokens").alias("tokens"), first.alias("first"))
-    recurring = recurring.where(
-        f"docs >= if(tokens >= {LONG_TOKENS}, {LONG_DOCS}, {SHORT_DOCS})").select(
-        "cluster", F.col("first.row_key").alias("keeper"))
-    dropped = clustered.join(recurring, "cluster").where("row_key != keeper")
+    recurring = held.groupBy("leaf").agg(F.count(F.lit(1)).alias("docs"), F.max("long").alias("long"), first.alias("first"))
+    recurring = stored(recurring.where(f"docs >= if(long, {LONG_DOCS}, {SHORT_DOCS})").select(
+        "leaf", F.col("first.row_key").alias("keeper")), "recurring-leaves")
+    dropped = lines.select("row_key", "line_no", "leaf").join(recurring, "leaf").where("row_key != keeper")
     return dropped.groupBy("row_key").agg(F.collect_set("line_no").alias("dropped"))
 
 

@@ -82,35 +82,27 @@ OP7_SQL = rf"""
 WITH cut AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 raw AS (
-  SELECT DISTINCT doc_id, text, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM cut),
+  SELECT DISTINCT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM cut),
 lines AS (
-  SELECT doc_id, text, line_no,
-    trim(regexp_replace(regexp_replace(line, '[^ 	
-]*[0-9@][^ 	
-]*', '<*>', 'g'),
-      '[ 	
-]+', ' ', 'g'), ' ') AS t FROM raw),
-sized AS (
-  SELECT *, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS tokens FROM lines),
-counted AS (
-  SELECT t, string_split(t, ' ') AS w, count(*) AS uses FROM sized
-  WHERE tokens >= {lines.MERGE_TOKENS} GROUP BY t),
-centres AS (
-  SELECT len(w) AS n, w[1:{lines.LEAD_TOKENS}] AS lead, first(t ORDER BY uses DESC, t) AS centre
-  FROM counted GROUP BY 1, 2 HAVING count(*) > 1),
-merged AS (
-  SELECT t, centre FROM counted JOIN centres ON len(w) = n AND w[1:{lines.LEAD_TOKENS}] = lead
-  WHERE t <> centre AND len(list_filter(list_zip(w, string_split(centre, ' ')), lambda p: p[1] = p[2]))
-    >= {lines.SIMILARITY} * n),
-clustered AS (
-  SELECT s.*, coalesce(m.centre, s.t) AS c FROM sized s LEFT JOIN merged m USING (t)
-  WHERE tokens >= {lines.MIN_TOKENS}),
+  SELECT doc_id, line_no,
+    string_split(trim(regexp_replace(regexp_replace(line, '[^ \t\r\f\x0B]*[0-9@][^ \t\r\f\x0B]*', '<*>', 'g'),
+      '[ \t\r\f\x0B]+', ' ', 'g'), ' '), ' ') AS w FROM raw),
+bands AS (
+  SELECT i, {lines.LEAD_TOKENS} AS lead FROM range({lines.BANDS}) t(i)),
+placed AS (
+  SELECT doc_id, line_no, len(w) AS n, w AS leaf FROM lines
+  WHERE len(w) >= {lines.MIN_TOKENS} AND len(w) < {lines.BAND_TOKENS}
+  UNION ALL
+  SELECT doc_id, line_no, len(w),
+    [i::VARCHAR] || w[1:lead + (len(w) - lead) * i // {lines.BANDS}] || ['', len(w)::VARCHAR]
+      || w[lead + (len(w) - lead) * (i + 1) // {lines.BANDS} + 1:]
+  FROM lines, bands WHERE len(w) >= {lines.BAND_TOKENS}),
 recurring AS (
-  SELECT c, min(doc_id) AS keeper FROM clustered GROUP BY c
-  HAVING count(DISTINCT doc_id) >= CASE WHEN max(tokens) >= {lines.LONG_TOKENS}
+  SELECT leaf, min(doc_id) AS keeper FROM placed GROUP BY leaf
+  HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= {lines.LONG_TOKENS}
     THEN {lines.LONG_DOCS} ELSE {lines.SHORT_DOCS} END),
 dropped AS (
-  SELECT doc_id, list(DISTINCT line_no) AS gone FROM clustered JOIN recurring USING (c)
+  SELECT doc_id, list(DISTINCT line_no) AS gone FROM placed JOIN recurring USING (leaf)
   WHERE doc_id <> keeper GROUP BY doc_id)
 SELECT doc_id,
   CASE WHEN gone IS NULL THEN text ELSE array_to_string(
