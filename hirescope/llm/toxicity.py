@@ -254,6 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None)
     sizes = np.zeros((FOLDS, 2))
     for r in train.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["fold"], r["y"]] = r["n"]
+    if not sizes.sum(axis=0).all():  # the labelled documents are not among these
+        return Model([], np.zeros(0), None, prior)
     partial = train.mapInArrow(_entry_counts(), "entry string, n array<bigint>")
     sums = partial.groupBy("entry").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(2 * FOLDS)])
     toxic, other = (sum(F.col(f"n{2 * f + y}") for f in range(FOLDS)) for y in (1, 0))
@@ -295,17 +297,20 @@ def _loaded(data: bytes) -> tuple[Model, _Hits]:
     return model, _Hits(Matcher(model.entries))
 
 
+def _scores(m: Model, hits: _Hits, texts: list) -> tuple[np.ndarray, list]:
+    found = [document_features(t, hits, m.weights) for t in texts]
+    if m.coefficients is None:
+        return np.full(len(found), m.prior), found
+    x = np.array([f[0] for f in found]).reshape(len(found), FEATURES)
+    return 1 / (1 + np.exp(-np.clip(x @ m.coefficients[:-1] + m.coefficients[-1], -30, 30))), found
+
+
 def _score(model):
     def run(batches):
         m, hits = _loaded(model.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [document_features(t, hits, m.weights) for t in part.column("text").to_pylist()]
-                x = np.array([f[0] for f in found]).reshape(len(found), FEATURES)
-                if m.coefficients is None:
-                    score = np.full(len(found), m.prior)
-                else:
-                    score = 1 / (1 + np.exp(-np.clip(x @ m.coefficients[:-1] + m.coefficients[-1], -30, 30)))
+                score, found = _scores(m, hits, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(score), pa.array([f[1] for f in found], pa.int32()),
                      pa.array([f[2] for f in found], pa.int32())],
@@ -326,8 +331,9 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     def run(batches):
+        m, hits = _loaded(sent.value)
         for batch in batches:
-            for out in _score(sent)([batch]):
-                keep = np.asarray(out.column("score")) < threshold
-                yield out.select(batch.schema.names).filter(pa.array(keep))
+            for part in slices(batch, "text"):
+                score, _ = _scores(m, hits, part.column("text").to_pylist())
+                yield part.filter(pa.array(score < threshold))
     return docs.mapInArrow(run, docs.schema)

@@ -1,0 +1,127 @@
+"""Vector dedup and top-k search against brute force."""
+
+import numpy as np
+import pytest
+
+from hirescope.llm import topk, vector_dedup
+
+SCHEMA = "vec_id long, embedding array<float>, v string, shard int"
+
+
+def frame(spark, vectors):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], "clash", 1)
+                                  for i, v in vectors], SCHEMA)
+
+
+def clusters(rng, n, dim):
+    out = [rng.normal(size=dim) for _ in range(n)]
+    for size, noise in [(60, 0.02), (15, 0.05), (8, 0.08), (2, 0.01)]:
+        base = rng.normal(size=dim)
+        out += [base * rng.uniform(0.1, 5) + rng.normal(size=dim) * noise * np.linalg.norm(base) for _ in range(size)]
+    return [np.float32(v) for v in out]
+
+
+def brute_links(vectors, threshold=0.95):
+    ids = [i for i, _ in vectors]
+    ok = [v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in vectors]
+    links = {i: set() for i in ids}
+    for a in range(len(vectors)):
+        for b in range(a):
+            if ok[a] and ok[b]:
+                x, y = np.float64(vectors[a][1]), np.float64(vectors[b][1])
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
+                    links[ids[a]].add(ids[b])
+                    links[ids[b]].add(ids[a])
+    out = {}
+    for i in ids:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (len(links[i]), min(seen))
+    return out
+
+
+@pytest.mark.parametrize("shard,block", [(600, 1500), (40, 30)])
+def test_links_match_brute_force(spark, monkeypatch, shard, block):
+    monkeypatch.setattr(vector_dedup, "SHARD_VECTORS", shard)
+    monkeypatch.setattr(vector_dedup, "BLOCK_VECTORS", block)
+    rng = np.random.default_rng(shard)
+    vectors = list(enumerate(clusters(rng, 250, 16)))
+    rng.shuffle(vectors)
+    vectors = [(int(i) * 3, v) for i, v in vectors]
+    vectors += [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] * 16), (9004, [float("inf")] * 16),
+                (9005, []), (9006, [1e30] * 16), (9007, [2e-30] * 16)]
+    links, unit = vector_dedup.linked(frame(spark, vectors))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in links.collect()}
+    want = brute_links(vectors)
+    found, there = sum(x[0] for x in got.values()), sum(x[0] for x in want.values())
+    assert found >= 0.98 * there and all(got[i][0] <= want[i][0] for i in want)
+    if shard == 600:
+        assert got == want
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in links.collect())
+    audited = vector_dedup.audit(links, unit)
+    assert audited[0] >= 0.9 * audited[1]
+
+
+def test_dedup_edge_rows(spark):
+    v = [1.0, 2.0]
+    rows = [(1, v), (1, v), (2, v), (None, v), (3, [1.0, 2.0, 3.0])]
+    links, _ = vector_dedup.linked(frame(spark, rows))
+    got = sorted((tuple(r) for r in links.collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (None, 0, None, True)], key=str)
+    links, unit = vector_dedup.linked(frame(spark, []))
+    assert unit is None and links.count() == 0
+    assert vector_dedup.linked(frame(spark, [(1, None)]))[0].collect()[0]["n_links"] == 0
+
+
+def test_graph_search_finds_what_is_in_range():
+    rng = np.random.default_rng(7)
+    v = np.array(clusters(rng, 400, 24), np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    lists = vector_dedup.robust_graph(v)
+    graph = vector_dedup._packed(np.arange(len(v)), lists)
+    found = vector_dedup.range_search(graph, v, vector_dedup._medoid(v), v, 0.95)
+    there = v @ v.T >= 0.95
+    assert not (found & ~there).any()
+    assert found.sum() >= 0.99 * there.sum()
+
+
+def brute_top(vectors, k, every):
+    usable = [(i, v) for i, v in vectors if v is not None and len(v) and all(x is not None and np.isfinite(x) for x in v)]
+    ints = {i: np.floor(64 * np.float64(np.float32(v))).astype(np.int64) for i, v in usable}
+    out = []
+    for q in ints:
+        if q % every == 0:
+            best = sorted(((-int(ints[q] @ ints[c]), c) for c in ints if c != q))[:k]
+            out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_top_k_matches_brute_force(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 64)
+        monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+        monkeypatch.setattr(topk, "SEED_VECTORS", 25)
+        monkeypatch.setattr(topk, "CHUNK", 16)
+    rng = np.random.default_rng(3)
+    vectors = list(enumerate(clusters(rng, 300, 40)))
+    # Ties: many equal vectors, and some of them queries.
+    vectors += [(1000 + i, np.float32([0.25] * 40)) for i in range(60)]
+    vectors += [(2000, None), (2020, [float("nan")] * 40), (2040, [None] * 40), (2060, [0.0] * 40)]
+    df = frame(spark, vectors)
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 20 = 0"), 20).collect()))
+    assert got == brute_top(vectors, 20, 20)
+
+
+def test_top_k_edge_rows(spark):
+    assert topk.top_k(frame(spark, []), frame(spark, [])).count() == 0
+    few = frame(spark, [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [0.5, 1.0]), (None, [9.0, 9.0]), (4, [1.0, 1.0, 1.0])])
+    assert list(map(tuple, topk.top_k(few, few.where("vec_id % 20 = 0")).collect())) == [(20, 1, 3, 64 * 32 * 2)]
+    large = frame(spark, [(0, [3e6, -2e6]), (1, [3e6, 1e6]), (2, [-3e6, 2e6])])
+    assert [r["score"] for r in topk.top_k(large, large.where("vec_id = 0")).orderBy("rank").collect()] == [
+        (192 * 10**6) ** 2 - 128 * 64 * 10**12, -(192 * 10**6) ** 2 - (128 * 10**6) ** 2]
+    with pytest.raises(Exception, match="too large"):
+        topk.top_k(frame(spark, [(0, [1e30, 1.0])]), frame(spark, [(0, [1e30, 1.0])])).count()
