@@ -34,6 +34,7 @@ from hirescope.sources.sinks import (
     POSTINGS_RAW_TABLE,
     SILVER_SCHEMA,
     publish,
+    release_staged,
     write_snapshot,
 )
 from hirescope.streaming import latest_postings_stream, read_latest, silver_from_latest
@@ -119,6 +120,7 @@ def main(argv=None) -> int:
     else:
         _stream(spark, args)
         print(f"stream caught up; stored {args.out}")
+    release_staged(spark)
     return 0
 
 

@@ -66,7 +66,7 @@ _CTES = {
          max(scraped_at) OVER (PARTITION BY job_url) AS last_seen_at
   FROM postings_latest""",
     "descriptions_raw": """
-  SELECT 'job/' || CAST(p_partkey // 16 AS VARCHAR) AS job_url,
+  SELECT 'job/' || CAST(p_partkey // 24 * 6 + p_partkey % 6 AS VARCHAR) AS job_url,
          CASE p_partkey % 6
            WHEN 0 THEN 'Needs ' || CAST(p_size % 25 AS VARCHAR) || '+ Years with ' || p_name
            WHEN 1 THEN CAST(p_size % 9 AS VARCHAR) || '-' || CAST(p_size % 9 + 2 AS VARCHAR) || ' years of ' || p_name
@@ -137,11 +137,8 @@ _CTES = {
               AS DOUBLE) AS pct
   FROM keyword_denoised""",
     "descriptions_hot": """
-  SELECT job_url, description_text FROM (
-    WITH part AS (
-      SELECT * REPLACE (16 + CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 16 ELSE p_partkey END AS p_partkey) FROM part)
-    {descriptions_raw})
-  WHERE fetch_status = 'ok'""",
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'job/8' ELSE job_url END AS job_url, description_text
+  FROM ({descriptions_raw}, p_partkey FROM part) WHERE fetch_status = 'ok'""",
     "silver_postings_hot_key": """
   SELECT s.*, d.description_text
   FROM posting_seen_dates s LEFT JOIN descriptions_hot d ON s.job_url = d.job_url""",
@@ -164,7 +161,8 @@ _CTES = {
     "keyword_snapshot_postings": _keyword_snapshot_sql("silver_postings"),
 }
 
-_CTES["descriptions_hot"] = _CTES["descriptions_hot"].replace("{descriptions_raw}", _CTES["descriptions_raw"])
+_CTES["descriptions_hot"] = _CTES["descriptions_hot"].replace(
+    "{descriptions_raw}", _CTES["descriptions_raw"].replace("\n  FROM part", ""))
 
 # Which named steps each step reads (CTEs are emitted in dependency order).
 _DEPS = {

@@ -46,9 +46,13 @@ def postings_raw_from_events(events: DataFrame) -> DataFrame:
     return conform(df, POSTINGS_RAW, "postings_raw")
 
 
-def descriptions_raw_from_part(part: DataFrame) -> DataFrame:
-    """B2: descriptions keyed by ``p_partkey div 16``, so keys fan out and their
-    number grows with the table."""
+# The posting that ``hot_descriptions_raw`` gives every third description.
+HOT_POSTING = "job/8"
+
+
+def descriptions_raw_from_part(part: DataFrame, hot: bool = False) -> DataFrame:
+    """B2: four descriptions of one variant to a key, so keys fan out and their
+    number grows with the table; ``hot`` moves every third to one posting."""
     size, name, key = F.col("p_size"), F.col("p_name"), F.col("p_partkey")
     variant = key % 6
     s = lambda c: c.cast("string")
@@ -65,7 +69,8 @@ def descriptions_raw_from_part(part: DataFrame) -> DataFrame:
         .otherwise(F.lit("ok"))
     )
     df = part.select(
-        F.concat(F.lit("job/"), s(F.expr("p_partkey div 16"))).alias("job_url"),
+        F.when(F.lit(hot) & (key % 3 == 0), F.lit(HOT_POSTING))
+        .otherwise(F.concat(F.lit("job/"), s(F.expr("p_partkey div 24 * 6 + p_partkey % 6")))).alias("job_url"),
         text.alias("description_text"),
         status.alias("fetch_status"),
     )
@@ -98,9 +103,7 @@ def descriptions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hot_descriptions_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2 with every third description moved to one posting."""
-    part = _table(spark, sf_dir, "part")
-    return descriptions_raw_from_part(part.withColumn(
-        "p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 16).otherwise(F.col("p_partkey")) + 16))
+    return descriptions_raw_from_part(_table(spark, sf_dir, "part"), hot=True)
 
 
 def keyword_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
