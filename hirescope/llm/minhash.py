@@ -338,7 +338,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     postings = stored(prefix_postings(classes, matches), "postings")
     families = stored(_families(postings, classes.select("id", "signature"), matches, numerator, denominator, block),
                       "families")
-    texts = docs.select(row_key("doc_id", "text").alias("id"), "text").join(families, "id")
+    # The families grow with the texts, so they are never broadcast: the plan is
+    # the same at every size.
+    texts = docs.select(row_key("doc_id", "text").alias("id"), "text").join(families.hint("merge"), "id")
     sets = texts.dropDuplicates(["id"]).select("id", "family", "text").mapInArrow(
         _sets(words), "id long, family long, shingles binary")
     placed = _blocks(stored(sets, "sets"), "family", block).select("family", "i", "j", "id", "shingles")
