@@ -34,8 +34,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
 # The pattern reads at most this far past the end of a match.
 LOOKAHEAD = 4
-# Distinct pre-tokens whose ids a worker keeps at a time.
-CACHE_PIECES = 200_000
+# Distinct pre-tokens whose ids a task remembers at a time.
+CACHE_PIECES = 100_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -141,6 +141,7 @@ def _encode_between(data: bytes, pattern: str):
                 names = [c for c in part.schema.names if c not in ("chunk", "a", "b")]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), ids], [*names, "ids"])
+        encoder.ids.clear()  # idle workers outlive their tasks
     return run
 
 

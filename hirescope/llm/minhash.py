@@ -46,7 +46,8 @@ MATCHES = 32
 # Members of a posting list that are compared with each other in one task.
 BLOCK = 1024
 
-CACHE_WORDS = 300_000
+# Words whose hash a task remembers at a time.
+CACHE_WORDS = 100_000
 _M1, _M2, _BASE = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,6 +118,7 @@ def _sign(words: int):
                     [part.column("doc_id"), part.column("row_key"), pa.array(sizes, pa.int64()),
                      pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
                     ["doc_id", "row_key", "n_shingles", "class", "signature"])
+        _words().clear()  # idle workers outlive their tasks
     return run
 
 
@@ -128,6 +130,7 @@ def _sets(words: int):
                     [part.column("id"), part.column("family"),
                      pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
                     ["id", "family", "shingles"])
+        _words().clear()
     return run
 
 

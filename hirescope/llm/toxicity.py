@@ -24,7 +24,7 @@ kinds every score is the smoothed share of toxic labels.
 import functools
 import pickle
 import re
-from collections import defaultdict
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -55,7 +55,8 @@ REPORTING = frozenset("said says wrote called quote quoted reported dit écrit a
                       "zitiert dijo escribió llamó citó".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _QUOTES = re.compile("[\"“”«»„]")
-_STATES, _WORDS = 200_000, 400_000
+# Bounds of what a task remembers; it starts anew beyond them.
+_STATES, _WORDS, _ENTRIES = 100_000, 100_000, 50_000
 
 
 @dataclass
@@ -85,7 +86,13 @@ class Matcher:
         self.length = [len(e) for e, _ in entries]
         for i, (letters, is_stem) in enumerate(entries):
             self.trie.add(letters, i, is_stem)
-        self.steps: dict = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the states met so far but the first and the dead one."""
+        self.states: list[tuple] = [((0, 0),), ()]
+        self.numbers = {s: i for i, s in enumerate(self.states)}
+        self.steps: dict[tuple[int, str], int] = {}
 
     def _close(self, spent: dict[int, int]) -> tuple:
         """Nodes reached by leaving out letters, and the set in a fixed form."""
@@ -117,22 +124,25 @@ class Matcher:
         return self._close(spent)
 
     def match(self, word: str) -> tuple[int, int]:
-        state, stem = ((0, 0),), -1
+        if len(self.steps) >= _STATES:
+            self.clear()
+        number, stem = 0, -1
         for c in word:
-            key = (state, c)
-            nxt = self.steps.get(key)
+            nxt = self.steps.get((number, c))
             if nxt is None:
-                if len(self.steps) >= _STATES:
-                    self.steps.clear()
-                nxt = self.steps[key] = self._step(state, c)
-            state = nxt
-            if not state:
+                state = self._step(self.states[number], c)
+                nxt = self.numbers.setdefault(state, len(self.states))
+                if nxt == len(self.states):
+                    self.states.append(state)
+                self.steps[number, c] = nxt
+            number = nxt
+            if number == 1:
                 break
-            for node, e in state:
+            for node, e in self.states[number]:
                 if e == 0 and self.trie.stem[node] >= 0:
                     stem = self.trie.stem[node]
-        found = [(e, self.trie.word[node]) for node, e in state if self.trie.word[node] >= 0
-                 and (e == 0 or min(self.length[self.trie.word[node]], len(word)) >= self.fuzzy)] if state else []
+        found = [(e, self.trie.word[node]) for node, e in self.states[number] if self.trie.word[node] >= 0
+                 and (e == 0 or min(self.length[self.trie.word[node]], len(word)) >= self.fuzzy)]
         if found and min(found)[0] == 0:
             return min(found)[1], 0
         if stem >= 0:
@@ -154,6 +164,11 @@ class _Hits(dict):
         code = self[word] = -1 if entry < 0 else 2 * entry + (edits > 0)
         return code
 
+    def forget(self) -> None:
+        """Give back what was remembered: idle workers outlive their tasks."""
+        self.clear()
+        self.matcher.clear()
+
 
 FEATURES = 6
 
@@ -192,18 +207,26 @@ def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tup
 
 
 def _entry_counts():
-    """Documents of the sample that hold each word or stem, by fold and label."""
+    """Documents of the sample that hold each word or stem, by fold and label
+    (``kind``). An entry may be handed on more than once; Spark adds them up."""
     def run(batches):
-        counts = defaultdict(lambda: np.zeros((FOLDS, 2), np.int64))
+        counts: Counter = Counter()
+
+        def out():
+            keys = list(counts)
+            done = pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+                                    pa.array([counts[k] for k in keys], pa.int64())], ["entry", "kind", "n"])
+            counts.clear()
+            return done
+
         for batch in batches:
-            for fold, y, text in zip(*(batch.column(c).to_pylist() for c in ("fold", "y", "text"))):
-                words = set(_WORD.findall(text.lower()))
-                stems = {w[:n] + "*" for w in words for n in STEM_LETTERS if len(w) > n}
-                for entry in words | stems:
-                    counts[entry][fold, y] += 1
-        keys = list(counts)
-        flat = [counts[k].ravel() for k in keys]
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array(flat, pa.list_(pa.int64()))], ["entry", "n"])
+            for fold, y, text in zip(*(batch.column(c) for c in ("fold", "y", "text"))):
+                words, kind = set(_WORD.findall(text.as_py().lower())), 2 * fold.as_py() + y.as_py()
+                counts.update((w, kind) for w in words)
+                counts.update((s, kind) for s in {w[:n] + "*" for w in words for n in STEM_LETTERS if len(w) > n})
+                if len(counts) >= _ENTRIES:
+                    yield out()
+        yield out()
     return run
 
 
@@ -256,8 +279,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None)
         sizes[r["fold"], r["y"]] = r["n"]
     if not sizes.sum(axis=0).all():  # the labelled documents are not among these
         return Model([], np.zeros(0), None, prior)
-    partial = train.mapInArrow(_entry_counts(), "entry string, n array<bigint>")
-    sums = partial.groupBy("entry").agg(*[F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(2 * FOLDS)])
+    partial = train.mapInArrow(_entry_counts(), "entry string, kind int, n bigint")
+    of_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0))
+    sums = partial.groupBy("entry").agg(*[of_kind(k).alias(f"n{k}") for k in range(2 * FOLDS)])
     toxic, other = (sum(F.col(f"n{2 * f + y}") for f in range(FOLDS)) for y in (1, 0))
     n_other, n_toxic = sizes.sum(axis=0)
     likely = sums.where(toxic >= MIN_DOCS).where(
@@ -285,8 +309,8 @@ def _train_features(entries, apart):
     def run(batches):
         lexicons = [_only(entries, w) for w in apart]
         for batch in batches:
-            rows = [document_features(text, *lexicons[fold])[0].tolist() for fold, text in
-                    zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist())]
+            rows = [document_features(text.as_py(), *lexicons[fold.as_py()])[0].tolist() for fold, text in
+                    zip(batch.column("fold"), batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
     return run
 
@@ -315,6 +339,7 @@ def _score(model):
                     [*part.columns, pa.array(score), pa.array([f[1] for f in found], pa.int32()),
                      pa.array([f[2] for f in found], pa.int32())],
                     [*part.schema.names, "score", "n_hits", "n_misspelt"])
+        hits.forget()
     return run
 
 
@@ -336,4 +361,5 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
             for part in slices(batch, "text"):
                 score, _ = _scores(m, hits, part.column("text").to_pylist())
                 yield part.filter(pa.array(score < threshold))
+        hits.forget()
     return docs.mapInArrow(run, docs.schema)
