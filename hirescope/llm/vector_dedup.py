@@ -1,6 +1,8 @@
 """Near-duplicate vectors by a flat graph, built in shards and searched greedily.
 
-1. Cluster centres are fitted on a bounded sample; every vector joins the
+1. Equal unit vectors form a class; what follows sees one of them, the one
+   with the smallest vec_id, and links count the members of its class.
+   Cluster centres are fitted on a bounded sample; every vector joins the
    shards of its nearest centres, so shards overlap. A shard larger than a
    block is dealt into blocks.
 2. In each block a graph is built: each vector keeps, of its nearest, those
@@ -60,6 +62,7 @@ def _unit(dim: int):
             # Scaled first, so that squares neither overflow nor vanish.
             x = x / np.abs(x).max(axis=1, initial=0, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x += 0.0  # one zero only, so that equal vectors are equal bytes
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in x], pa.binary())],
                                              ["vec_id", "v"])
     return run
@@ -90,8 +93,9 @@ def _assign(sent, dim: int, overlap: int):
             rows = np.repeat(np.arange(len(v)), k)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id").take(pa.array(rows)), batch.column("v").take(pa.array(rows)),
+                 batch.column("size").take(pa.array(rows)),
                  pa.array(near.ravel()), pa.array(list(near[rows]), pa.list_(pa.int32()))],
-                ["vec_id", "v", "shard", "shards"])
+                ["vec_id", "v", "size", "shard", "shards"])
     return run
 
 
@@ -200,7 +204,7 @@ def _search(dim: int, threshold: float):
     def side(rows: pd.DataFrame):
         rows = rows.sort_values("vec_id")
         ids, v = rows["vec_id"].to_numpy(), _vectors(rows["v"].tolist(), dim)
-        return ids, v, _packed(ids, rows["neighbours"]), np.stack(rows["shards"].tolist()), _medoid(v)
+        return ids, v, _packed(ids, rows["neighbours"]), np.stack(rows["shards"].tolist()), _medoid(v), rows["size"].to_numpy()
 
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         shard, i, j = key
@@ -217,7 +221,8 @@ def _search(dim: int, threshold: float):
         first = np.where(shared.any(axis=2), a[3][q], np.iinfo(np.int32).max).min(axis=1)
         own = first == shard
         q, c = q[own], c[own]
-        links_a, links_b = np.bincount(q, minlength=len(a[0])), np.bincount(c, minlength=len(b[0]))
+        links_a = np.bincount(q, b[5][c], len(a[0])).astype(np.int64)
+        links_b = np.bincount(c, a[5][q], len(b[0])).astype(np.int64)
         ids = np.unique(np.concatenate([a[0], b[0]]))
         qa, cb = np.searchsorted(ids, a[0][q]), np.searchsorted(ids, b[0][c])
         label = np.arange(len(ids))
@@ -262,14 +267,19 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
                        F.lit(True).alias("kept"))
     if not most:
         return alone, None
-    dim, n = most[0]["d"], most[0]["n"]
+    dim = most[0]["d"]
     unit = stored(good.where(F.size("embedding") == dim).mapInArrow(_unit(dim), "vec_id long, v binary"), "unit-vectors")
+    of_class = F.sha2("v", 256).alias("class")
+    classes = stored(unit.groupBy(of_class).agg(
+        F.min("vec_id").alias("vec_id"), F.min("v").alias("v"), F.count(F.lit(1)).alias("size")), "vector-classes")
+    n = classes.count()
 
-    sample = unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).collect()
+    sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_VECTORS).collect()
     points = _vectors([r["v"] for r in sample], dim)
     k = max(1, min(MAX_CENTRES, -(-n // SHARD_VECTORS), len(points)))
     sent = spark.sparkContext.broadcast(centres(points, k))
-    members = unit.mapInArrow(_assign(sent, dim, OVERLAP), "vec_id long, v binary, shard int, shards array<int>")
+    members = classes.select("vec_id", "v", "size").mapInArrow(
+        _assign(sent, dim, OVERLAP), "vec_id long, v binary, size long, shard int, shards array<int>")
     # One row per centre, of which there are at most MAX_CENTRES.
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_VECTORS)).cast("int").alias("blocks"))
     members = stored(members.join(sizes, "shard").withColumn(
@@ -279,13 +289,16 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame,
     union = lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
     pairs = members.join(union, "vec_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                         "vec_id", "v", "shards", "neighbours")
+                         "vec_id", "v", "size", "shards", "neighbours")
     found = stored(pairs.groupBy("shard", "i", "j").applyInPandas(
         _search(dim, threshold), "vec_id long, links long, label long"), "vector-links")
     edges = found.where("vec_id != label").select(F.col("vec_id").alias("a"), F.col("label").alias("b"))
     labels = components(edges, name="vectors")
     counted = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    out = ids.join(counted, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    per_class = classes.join(counted, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left").select(
+        "class", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component"))
+    out = ids.join(unit.select("vec_id", of_class).join(per_class, "class"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"),

@@ -65,6 +65,19 @@ def test_links_match_brute_force(spark, monkeypatch, shard, block):
     assert audited[0] >= 0.9 * audited[1]
 
 
+def test_links_among_many_exact_copies_are_all_found(spark):
+    rng = np.random.default_rng(11)
+    copy = np.float32(rng.normal(size=64))
+    ids = [int(i) for i in rng.permutation(14_000)[:1400]]
+    vectors = [(i, copy if k < 600 else np.float32(rng.normal(size=64))) for k, i in enumerate(ids)]
+    near = 20_000  # within range of the copies, but none of them
+    vectors.append((near, copy + np.float32(0.01) * np.float32(rng.normal(size=64))))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_dedup.linked(frame(spark, vectors))[0].collect()}
+    least = min(ids[:600])
+    assert all(got[i] == (600, least) for i in [*ids[:600], near])
+    assert all(got[i] == (0, i) for i in ids[600:])
+
+
 def test_dedup_edge_rows(spark):
     v = [1.0, 2.0]
     rows = [(1, v), (1, v), (2, v), (None, v), (3, [1.0, 2.0, 3.0])]
