@@ -6,44 +6,121 @@ of the blocks that may run, the one with the earliest deadline takes the next
 slot. With weights that add up to one, every deadline is met, and at no slot
 has a source run a whole block more or less than its weight asks.
 
-Weights are rounded to multiples of ``1 / period``. The schedule then repeats
-with that period: each period holds ``weight * period`` blocks of a source at
-the same places. So one period is worked out (a table of ``period`` rows,
-whatever the input), and the slot of every block follows from its number.
+Weights are taken as they are, in whole numbers without rounding. Time is cut
+into segments that tasks schedule on their own: which blocks have run at a
+cut follows from the blocks released shortly before it (``run_before``), such
+that the segments on both sides can meet their deadlines. A segment is at
+least as long as the smallest weight needs for one block. At the slot where
+the first source has no full block left (``_on_target`` marks the slots
+before) proportions can no longer hold; all blocks left follow by deadline.
 
-No document is dropped or repeated: a slot whose source has run out stays
-empty, so the sources left keep their proportions to each other. The slots
-before the first empty one are marked (``_on_target``).
+With ``period`` given, weights are rounded to multiples of ``1 / period``
+instead, one period of slots repeats, and a slot whose source has run out
+stays empty. The deviation is then under a block from the rounded weights
+only, and the sources are as many as the period has slots at most.
+
+No document is dropped or repeated.
 
 Defined results: rows without source form a source of their own; a source
-without a target weight gets one block a period; rows equal in all columns
-take neighbouring places; NULL or empty texts are placed like others; an
-empty table gives an empty result; other columns are kept. Weights that are
-negative, not finite or all zero, or more sources than a period has slots,
-raise a ValueError.
+without a target weight, or of weight 0, comes after all others (with
+``period``: gets one block a period); without a weight for any source all are
+equal; rows equal in all columns take neighbouring places; NULL or empty texts
+are placed like others; an empty table gives an empty result; other columns
+are kept. Weights that are negative, not finite or all zero, or more sources
+than a given period has slots, raise a ValueError.
 """
 
 import heapq
 import math
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirescope.llm.common import stored
+
 BLOCK_DOCS = 16
 PERIOD = 1000
+# Slots that one task schedules at a time, at least.
+SEGMENT_SLOTS = 20_000
 # Rows ranked by one task at a time.
 RANK_ROWS = 1000
 # Default targets: sizes to this power, between equal shares (0) and as is (1).
 TEMPERATURE = 0.5
 
 
+def _check(weights: dict) -> None:
+    if not all(w >= 0 and math.isfinite(w) for w in weights.values()) or not sum(weights.values()) > 0:
+        raise ValueError("weights must be finite, not negative and not all zero")
+
+
+def whole_rates(weights: list) -> list[int]:
+    """Whole numbers in the exact proportions of the weights."""
+    exact = [Fraction(w) for w in weights]
+    unit = math.lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
+
+
+def scheduled(rates: list[int], done: list[int], start: int, stop: int, limit: list[int] | None = None):
+    """``(source, block, slot)`` for the slots from ``start`` to ``stop``, by
+    earliest deadline among the blocks released. ``done`` (updated) blocks of
+    each source have run, and no more than ``limit`` will."""
+    total = sum(rates)
+    waiting = [(max(start, d * total // a), s) for s, (a, d) in enumerate(zip(rates, done)) if limit is None or d < limit[s]]
+    heapq.heapify(waiting)
+    ready: list[tuple] = []
+    for slot in range(start, stop):
+        while waiting and waiting[0][0] <= slot:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // rates[s]), s))
+        if ready:
+            _, s = heapq.heappop(ready)
+            yield s, done[s], slot
+            done[s] += 1
+            if limit is None or done[s] < limit[s]:
+                heapq.heappush(waiting, (done[s] * total // rates[s], s))
+
+
+def _longest(rates: list[int]) -> int:
+    """Slots in which every source is due for a block."""
+    return -(-sum(rates) // min(rates)) + 1
+
+
+def run_before(rates: list[int], at: int) -> list[int]:
+    """Blocks of each source that run before slot ``at``.
+
+    A source has run its share rounded down or up. Those rounded up must have
+    had slots since their release (or what lies before fails), and should be
+    those due first (or what follows does). Releases make the sets that had
+    slots a matroid, whose best set for the order of deadlines is what earliest
+    deadline first runs; looking back as far as the longest time between a
+    release and its deadline is enough."""
+    total, since = sum(rates), max(0, at - _longest(rates))
+    done = [-(-a * since // total) for a in rates]
+    for _ in scheduled(rates, done, since, at):
+        pass
+    out = [a * at // total for a in rates]
+    ahead = sorted((-(-(n + 1) * total // a), s) for s, (a, n, d) in enumerate(zip(rates, out, done)) if d > n)
+    for _, s in ahead[:at - sum(out)]:
+        out[s] += 1
+    return out
+
+
+def segment(rates: list[int], k: int, slots: int, stop: int):
+    """``(source, block, slot)`` in the k-th segment of ``slots`` slots."""
+    start, end = k * slots, (k + 1) * slots
+    limit = run_before(rates, end) if end < stop else None
+    return scheduled(rates, run_before(rates, start), start, min(end, stop), limit)
+
+
 def shares(weights: dict, period: int = PERIOD) -> dict:
     """Blocks per period of each source: largest remainders, one at least."""
     if len(weights) > period:
         raise ValueError(f"{len(weights)} sources do not fit a period of {period} slots")
+    _check(weights)
     total = sum(weights.values())
-    if not all(w >= 0 and math.isfinite(w) for w in weights.values()) or not total > 0:
-        raise ValueError("weights must be finite, not negative and not all zero")
     exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
     out = {s: 1 + math.floor(x) for s, x in exact.items()}
     left = period - sum(out.values())
@@ -71,49 +148,129 @@ def one_period(blocks: dict, period: int = PERIOD) -> list[tuple]:
     return out
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD,
+def _one_batch(rows: list, *types) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["_k", "_block", "_slot"])
+
+
+def _exact_slots(spark, sizes: list[int], weights: list, block_docs: int) -> tuple[DataFrame, int]:
+    """``(_k, _block, _slot)`` of every block of the sources (by number), and
+    the first slot that no full block takes."""
+    own = [k for k, w in enumerate(weights) if w > 0]
+    rates = whole_rates([weights[k] for k in own])
+    total = sum(rates)
+    # Every source up to its first block that is not full; the first such
+    # block to be scheduled ends the target proportions.
+    full = [sizes[k] // block_docs for k in own]
+    stop = min(-(-(f + 1) * total // a) for f, a in zip(full, rates))
+    slots = max(SEGMENT_SLOTS, _longest(rates))
+    segments = -(-stop // slots)
+    sent = spark.sparkContext.broadcast((rates, own))
+
+    def schedule(batches):
+        r, names = sent.value
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield _one_batch([(names[s], block, slot) for s, block, slot in segment(r, k, slots, stop)],
+                                 pa.int32(), pa.int64(), pa.int64())
+
+    kinds = "_k int, _block long, _slot long"
+    dealt = stored(spark.range(0, segments, 1, segments).mapInArrow(schedule, kinds), "mixing-slots")
+    fulls = F.broadcast(spark.createDataFrame(list(zip(own, full)), "_k int, _block long"))
+    first = dealt.join(fulls, ["_k", "_block"]).agg(F.min("_slot")).first()[0]
+    dealt = dealt.where(F.col("_slot") < first)
+    done = {r["_k"]: r["n"] for r in dealt.groupBy("_k").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    # What is left: block numbers from a running number, then by deadline.
+    begin = np.array([done.get(k, 0) for k in range(len(sizes))], np.int64)
+    ends = np.cumsum([-(-n // block_docs) - d for n, d in zip(sizes, begin.tolist())])
+    if not ends[-1]:
+        return dealt, first
+    speed = np.array([float(Fraction(w)) if w > 0 else 1.0 for w in weights])
+    left = spark.sparkContext.broadcast((begin, ends, speed, np.array([not w > 0 for w in weights])))
+
+    def numbered(batches):
+        begin, ends, speed, late = left.value
+        for batch in batches:
+            i = batch.column("id").to_numpy()
+            k = np.searchsorted(ends, i, "right")
+            block = begin[k] + i - np.concatenate([[0], ends[:-1]])[k]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k.astype(np.int32)), pa.array(block), pa.array(late[k]), pa.array((block + 1) / speed[k])],
+                ["_k", "_block", "_late", "_due"])
+
+    order = ["_late", "_due", "_k", "_block"]
+    rest = spark.range(int(ends[-1])).mapInArrow(numbered, "_k int, _block long, _late boolean, _due double")
+    rest = stored(rest.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "_k", "_block", F.monotonically_increasing_id().alias("_at")), "mixing-rest")
+    part = F.shiftright("_at", 33).alias("_range")
+    before, offsets = first, []
+    for r in rest.groupBy(part).agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        offsets.append((r["_range"], before))
+        before += r["n"]
+    offsets = F.broadcast(spark.createDataFrame(offsets, "_range long, _before long"))
+    rest = rest.withColumn("_range", part).join(offsets, "_range").select(
+        "_k", "_block", (F.col("_before") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))).alias("_slot"))
+    return dealt.union(rest), first
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_DOCS, period: int | None = None,
           temperature: float = TEMPERATURE, seed: int = 0) -> DataFrame:
     """``docs`` (all columns; needs ``doc_id``, ``text``, ``source``) with
     ``_slot`` (of its block), ``_place`` (in the block) and ``_on_target``."""
     spark = docs.sparkSession
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()
-    n = {r["source"]: r["n"] for r in sizes}
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    n = {r["source"]: r["n"] for r in (sizes if period is None else sizes.limit(period + 1)).collect()}
     if weights is None:
         weights = {s: k**temperature for s, k in n.items()}
     names = docs.columns
     if not n:
         return docs.select("*", F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("int").alias("_place"),
                            F.lit(True).alias("_on_target"))
-    if len(n) > period:
+    if period is not None and len(n) > period:
         raise ValueError(f"more sources than a period has slots ({period})")
-    if any(s in weights for s in n):
-        blocks = shares({s: weights.get(s, 0) for s in n}, period)
-    else:
-        blocks = shares({s: 1 for s in n}, period)
-    slots = one_period(blocks, period)
-    at = {(s, i): slot for s, i, slot in slots}
-    first_empty = min((k // block_docs) // blocks[s] * period + at[s, (k // block_docs) % blocks[s]]
-                      for s, k in n.items())
-    # Bounded by the number of slots of a period, whatever the input.
+    asked = {s: weights.get(s, 0) for s in n} if any(s in weights for s in n) else {s: 1 for s in n}
+    _check(asked)
     named = lambda s: "" if s is None else f"={s}"  # noqa: E731  rows without source have a name as well
+    sources = sorted(n, key=lambda s: (s is None, s or ""))
+    # One row per source.
     per_source = F.broadcast(spark.createDataFrame(
-        [(named(s), blocks[s], -(-n[s] // RANK_ROWS)) for s in n], "_s string, _blocks int, _parts int"))
-    per_block = F.broadcast(spark.createDataFrame([(named(s), i, slot) for s, i, slot in slots],
-                                                  "_s string, _i int, _at int"))
+        [(named(s), k, -(-n[s] // RANK_ROWS)) for k, s in enumerate(sources)], "_s string, _k int, _parts int"))
 
     # A random but repeatable order: parts of a source by one hash, rows of a
     # part by another. The number of parts grows with the source.
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     keyed = docs.withColumn("_s", name).join(per_source, "_s").withColumn(
         "_h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_part", F.pmod("_h", F.col("_parts")).cast("int"))
-    counts = keyed.groupBy("_s", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_s", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    in_part = Window.partitionBy("_s", "_part").orderBy(F.xxhash64("_h"), "doc_id")
-    ranked = keyed.withColumn("_rank", F.row_number().over(in_part) - 1).join(offsets, ["_s", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_offset")).withColumn(
-        "_block", F.expr(f"_rank div {block_docs}"))
-    placed = ranked.withColumn("_i", (F.col("_block") % F.col("_blocks")).cast("int")).join(per_block, ["_s", "_i"])
-    slot = F.expr(f"(_block div _blocks) * {period} + _at")
-    return placed.select(*names, slot.alias("_slot"), (F.col("_rank") % block_docs).cast("int").alias("_place"),
+    counts = keyed.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_k", "_part", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    in_part = Window.partitionBy("_k", "_part").orderBy(F.xxhash64("_h"), "doc_id")
+    ranked = keyed.withColumn("_rank", F.row_number().over(in_part) - 1)
+    rank = F.col("_rank") + F.col("_offset")
+    block = F.expr(f"(_rank + _offset) div {block_docs}")
+    if period is None:
+        slots, first_empty = _exact_slots(spark, [n[s] for s in sources], [asked[s] for s in sources], block_docs)
+        # The slots of a part's blocks come as one list, so that the rows
+        # themselves are dealt out no second time.
+        held = offsets.withColumn("_first", F.expr(f"_offset div {block_docs}")).withColumn(
+            "_block", F.explode(F.sequence("_first", F.expr(f"(_offset + _n - 1) div {block_docs}"))))
+        lists = held.join(slots, ["_k", "_block"]).groupBy("_k", "_part").agg(
+            F.first("_offset").alias("_offset"), F.first("_first").alias("_first"),
+            F.sort_array(F.collect_list(F.struct("_block", "_slot"))).alias("_slots"))
+        placed = ranked.join(lists, ["_k", "_part"])
+        slot = F.get("_slots", (block - F.col("_first")).cast("int"))["_slot"]
+    else:
+        blocks = shares(asked, period)
+        at = {(s, i): x for s, i, x in one_period(blocks, period)}
+        first_empty = min((k // block_docs) // blocks[s] * period + at[s, (k // block_docs) % blocks[s]]
+                          for s, k in n.items())
+        # Bounded by the number of slots of a period, whatever the input.
+        per_block = F.broadcast(spark.createDataFrame([(k, i, at[s, i]) for k, s in enumerate(sources)
+                                                       for i in range(blocks[s])], "_k int, _i int, _at int"))
+        counted = F.broadcast(spark.createDataFrame([(k, blocks[s]) for k, s in enumerate(sources)], "_k int, _blocks int"))
+        placed = ranked.join(offsets, ["_k", "_part"]).join(counted, "_k").withColumn(
+            "_i", F.pmod(block, "_blocks").cast("int")).join(per_block, ["_k", "_i"])
+        slot = F.expr(f"((_rank + _offset) div {block_docs} div _blocks) * {period} + _at")
+    return placed.select(*names, slot.alias("_slot"), (rank % block_docs).cast("int").alias("_place"),
                          (slot < first_empty).alias("_on_target"))

@@ -83,3 +83,46 @@ def test_edge_rows(spark):
             mixing.mixed(spark.createDataFrame(rows, schema), bad)
     with pytest.raises(ValueError, match="sources"):
         mixing.mixed(spark.createDataFrame([(i, "", f"s{i}") for i in range(12)], schema), period=10)
+
+
+def _weights(kind, rng):
+    if kind == "twenty":
+        return [1 / 3] + [2 / 57] * 19
+    if kind == "many":
+        return [(i + 1) ** -0.5 for i in range(900)]
+    return [rng.random() ** 3 + 1e-3 for _ in range(rng.randint(1, 25))]
+
+
+@pytest.mark.parametrize("kind", ["twenty", "many", *range(12)])
+def test_segments_keep_to_the_weights_given(kind):
+    weights = _weights(kind, random.Random(str(kind)))
+    rates = mixing.whole_rates(weights)
+    assert all(Fraction(a, sum(rates)) == Fraction(w) / sum(map(Fraction, weights)) for a, w in zip(rates, weights))
+    slots, total = mixing._longest(rates), sum(rates)
+    stop = slots * 5 + 7
+    out = [x for k in range(6) for x in mixing.segment(rates, k, slots, stop)]
+    assert [slot for _, _, slot in out] == list(range(stop))
+    run = [0] * len(rates)
+    for s, block, slot in out:
+        assert block == run[s] and block * total // rates[s] <= slot < -(-(block + 1) * total // rates[s])
+        run[s] += 1
+    # Deadlines met and none early: less than one block at every slot.
+    assert all(abs(r * total - a * stop) < total for r, a in zip(run, rates))
+
+
+def test_deviation_from_the_weights_given_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SEGMENT_SLOTS", 100)
+    n = {"large": 4000} | {f"s{i:02}": 420 for i in range(19)}
+    rows = [(k * 10_000 + i, "", s) for k, (s, size) in enumerate(n.items()) for i in range(size)]
+    weights = dict.fromkeys(n, Fraction(2, 57)) | {"large": Fraction(1, 3)}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df, weights, block_docs=1).collect()
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    assert sorted(r["_slot"] for r in got) == list(range(len(rows)))
+    order = sorted((r["_slot"], r["source"], r["_on_target"]) for r in got)
+    run = dict.fromkeys(n, 0)
+    for slot, source, on_target in order:
+        run[source] += 1
+        if on_target:
+            assert all(abs(run[s] - w * (slot + 1)) < 1 for s, w in weights.items())
+    assert sum(x[2] for x in order) > 11_000
