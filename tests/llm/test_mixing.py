@@ -126,3 +126,14 @@ def test_deviation_from_the_weights_given_does_not_grow(spark, monkeypatch):
         if on_target:
             assert all(abs(run[s] - w * (slot + 1)) < 1 for s, w in weights.items())
     assert sum(x[2] for x in order) > 11_000
+
+
+def test_more_sources_than_a_thousand_and_sources_of_weight_zero(spark):
+    rows = [(i, "", f"s{i % 1500}") for i in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df, block_docs=2).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(4500))
+    assert sorted({r["_slot"] for r in got}) == list(range(3000))
+    got = mixing.mixed(df, {"s0": 2, "s1": 1, "s2": 0}).collect()
+    last = max(r["_slot"] for r in got if r["source"] in ("s0", "s1"))
+    assert len(got) == 4500 and all(r["_slot"] > last for r in got if r["source"] not in ("s0", "s1"))
