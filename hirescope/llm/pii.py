@@ -31,7 +31,7 @@ _WALK = 12
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
-              r"|(?:password|passwd|secret|token|api_key)[ ]{0,3}[=:][ ]{0,3}[\x22']?[A-Za-z0-9_/+.-]{8,128}+)",
+              r"|(?i:password|passwd|secret|token|api_key)[ ]{0,3}[=:][ ]{0,3}[\x22']?[A-Za-z0-9_/+.-]{8,}+)",
     "ip": r"(?<![0-9A-Za-z.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9A-Za-z]|[./-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])",
@@ -73,14 +73,13 @@ def _shifted(text: Column, stream: Column) -> Column:
 
 
 def _moved(text: Column, stream: Column) -> Column:
-    def one(i: Column) -> Column:
-        c = F.substr(text, i, F.lit(1))
-        by = _number(stream, ((i - 1) % 32) * 4 + 1)
+    def one(c: Column, i: Column) -> Column:
+        by = _number(stream, (i % 32) * 4 + 1)
         code = F.ascii(c)
         move = lambda low, size: F.char(low + (code - low + by) % size)
         return (F.when(c.between("0", "9"), move(48, 10)).when(c.between("a", "z"), move(97, 26))
                 .when(c.between("A", "Z"), move(65, 26)).otherwise(c))
-    return F.array_join(F.transform(_upto(F.length(text)), one), "")
+    return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
 def permuted_text(s: Column, key: str, tweak: str) -> Column:
@@ -130,11 +129,10 @@ def luhn_sum(digits: Column, from_right: int) -> Column:
 
 def _refilled(match: Column, value: Column, kept: str = "0-9") -> Column:
     """``match`` with its characters of a class replaced, in order, by ``value``."""
-    def one(i: Column, known: Column) -> Column:
-        c = F.substr(match, i, F.lit(1))
-        at = F.length(F.regexp_replace(F.substr(match, F.lit(1), i), f"[^{kept}]", ""))
-        return F.when(c.rlike(f"[{kept}]"), F.substr(known, at, F.lit(1))).otherwise(c)
-    return _let(value, lambda known: F.array_join(F.transform(_upto(F.length(match)), lambda i: one(i, known)), ""))
+    # What stands between those characters, each piece followed by a new one:
+    # the cost grows with the length, not with its square.
+    return _let(F.split(match, f"[{kept}]", -1), lambda cut: F.concat(F.array_join(F.zip_with(
+        F.slice(cut, F.lit(1), F.size(cut) - 1), F.split(value, ""), lambda g, c: F.concat(g, c)), ""), F.element_at(cut, -1)))
 
 
 def _card(m: Column, key: str) -> Column:
@@ -204,7 +202,7 @@ def _kind(m: Column) -> Column:
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """Pseudonym of one match, NULL where it fails validation."""
-    secret = r"^(?:AKIA|[a-z_]+[ ]*[=:][ ]*[\x22']?)"
+    secret = r"^(?:AKIA|[A-Za-z_]+[ ]*[=:][ ]*[\x22']?)"
     made = {"email": _email(m, key), "secret": _letters(m, key, "secret", secret), "ip": _ip(m, key),
             "date": _date(m, key), "phone": _phone(m, key), "card": _card(m, key),
             "ssn": _refilled(m, permuted_text(_digits(m), key, "ssn"))}

@@ -89,6 +89,16 @@ def test_formats_are_kept(spark):
     assert [r["text"] for r in run(spark, texts, "other")] != out
 
 
+def test_long_secrets_and_key_words_in_any_case(spark):
+    rng = random.Random(4)
+    long = "".join(rng.choice("abcdefghXYZ0123456789") for _ in range(300))
+    keys = ["token=", "API_KEY=", "Password: ", "PASSWD = '"]
+    out = run(spark, [f"{k}{long} end" for k in keys])
+    for k, r in zip(keys, out):
+        assert r["text"] == f"{k}{brute_text(long, 'secret')} end"
+        assert [(p["kind"], p["value"]) for p in r["_found"]] == [("secret", k + long)]
+
+
 def test_what_fails_validation_stays(spark):
     texts = ["4041894974608796", "2024-02-31 and 31.02.2024", "300.1.1.1", "version 1.2.3.4.5", "a@b", "user@host.42", "1234567890123",
              "abc4041894974608795", "12-34", "plain words", "", None, "x" * 100_000, "1 " * 30_000, "a." * 50_000 + "@"]
