@@ -5,7 +5,8 @@
    the first; a document that loses all its words goes with them.
 3. near-dedup: one document of each group of near copies stays.
 4. mixing: documents are written in the order that interleaves their sources
-   by target weight; none is dropped or repeated.
+   by target weight; none is dropped or repeated. Scans need not keep that
+   order, so ``run`` returns it as ``position``.
 5. encoding: every text becomes its token ids, checked against the bytes the
    ids decode to.
 
@@ -54,11 +55,27 @@ def interleave_sources(spark, docs, sf_dir):
     return placed.select(*docs.columns)
 
 
-def encode_texts(spark, docs, sf_dir):
+def written_order(docs):
+    """``docs``, a table just read, with ``position``: it grows with the number
+    of the file, as its writer counted, and with the row in the file."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-([0-9]+)", 1).cast("long")
+    more = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"-c([0-9]+)[.]", 1).try_cast("long"), F.lit(0))
+    return docs.withColumn("position", F.shiftleft(part, 43) + F.shiftleft(more.cast("long"), 33)
+                           + F.col("_metadata.row_index"))
+
+
+def encode_placed_texts(docs):
+    """The encoded rows of ``docs`` with their ``position``."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    decoded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+    # The position travels with the id through the shuffles of long texts.
+    named = docs.select(F.struct("doc_id", "position").alias("doc_id"), "text")
+    decoded = bpe.decode(bpe.encode(named, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                          F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.position")
+
+
+def encode_texts(spark, docs, sf_dir):
+    return encode_placed_texts(docs.withColumn("position", F.lit(0).cast("long"))).drop("position")
 
 
 STAGES = [
@@ -77,4 +94,4 @@ def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return encode_placed_texts(written_order(docs))

@@ -55,6 +55,16 @@ def test_run_equals_the_stages(spark, outputs):
     assert got == {r["doc_id"]: r["decoded_sha256"] for r in outputs[-1].collect()}
 
 
+def test_run_carries_the_order_of_the_mixing_stage(spark, monkeypatch):
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[3:])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    placed = cp.mixing.mixed(docs).select("doc_id", "_slot", "_place").collect()
+    want = [r["doc_id"] for r in sorted(placed, key=lambda r: (r["_slot"], r["_place"]))]
+    got = cp.run(spark, SF).select("doc_id", "position").collect()
+    assert len({r["position"] for r in got}) == len(got)
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, class int"
 
 
