@@ -50,6 +50,29 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
 
 
+HOT_KEYS = 1000
+
+
+def hot_key_join(rows: DataFrame, lookup: DataFrame, keys: list[str], counts: DataFrame,
+                 total: int | None = None) -> DataFrame:
+    """``rows`` inner-joined to ``lookup`` (one row per key), balanced however
+    the rows are spread over the keys.
+
+    ``counts`` has the keys and ``rows``, at most how many of ``rows`` each of
+    them holds. Keys with more than a ``HOT_KEYS``-th of the total are at most
+    ``HOT_KEYS`` by that, whatever the size of the input, so they are
+    broadcast; the rows of all other keys meet in a shuffle. ``rows`` and
+    ``lookup`` are read twice and should be stored. NULL keys match nothing.
+    """
+    if total is None:
+        total = rows.count()
+    hot = counts.where(F.col("rows") * HOT_KEYS > total).select(*keys)
+    few = lookup.join(F.broadcast(hot), keys, "left_semi")
+    apart = rows.join(F.broadcast(hot), keys, "left_anti").join(lookup, keys)
+    names = [*rows.columns, *[c for c in lookup.columns if c not in keys]]
+    return rows.join(F.broadcast(few), keys).select(*names).union(apart.select(*names))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """``(node, component)``: the smallest node each node reaches.
 

@@ -7,7 +7,21 @@ table and derives the contract's columns from the operator's real output.
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from hirescope.llm import bpe, lines, minhash, mixing, pii, quality, token_counts, topk, toxicity, vector_dedup
+from hirescope.llm import (
+    bpe,
+    fill_middle,
+    host_lines,
+    lines,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    token_counts,
+    topk,
+    toxicity,
+    vector_codes,
+    vector_dedup,
+)
 from hirescope.llm.common import stored, table
 
 
@@ -171,6 +185,127 @@ WHERE rank <= 20
 """
 
 
+def op11_host_lines(spark, sf_dir):
+    return host_lines.figures(table(spark, sf_dir, "documents")).drop("host")
+
+
+OP11_SQL = rf"""
+WITH given AS (SELECT DISTINCT doc_id, source, text FROM documents),
+t AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM given),
+raw_lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM t),
+dup AS (
+  SELECT doc_id, host, text, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw_lines
+  WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]') GROUP BY ALL),
+windows AS (
+  SELECT doc_id, host, text, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1),
+    lambda k: array_to_string(w[k:k + 2], ' '))) AS win FROM t WHERE len(w) >= 3),
+repeated AS (
+  SELECT doc_id, host, text, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, host, text, win) > 1),
+covered AS (
+  SELECT doc_id, host, text, count(DISTINCT i + k) AS n_repeat_words
+  FROM repeated, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL),
+norm AS (
+  SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'),
+    '[ \t\r\f\x0B]+', ' ', 'g'), ' ') AS line FROM raw_lines),
+worded AS (SELECT *, len(string_split(line, ' ')) AS words FROM norm WHERE line <> ''),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS host_docs FROM worded GROUP BY host),
+frequent AS (
+  SELECT host, line FROM worded JOIN hosts USING (host) GROUP BY host, line, host_docs
+  HAVING count(DISTINCT doc_id) > {host_lines.LINE_DOCS}
+    AND 100 * count(DISTINCT doc_id) > {host_lines.LINE_PERCENT} * host_docs),
+gone AS (
+  SELECT doc_id, host, text, count(*) AS n_lines_removed, sum(words)::BIGINT AS n_words_removed
+  FROM worded JOIN frequent USING (host, line) GROUP BY ALL),
+figures AS (
+  SELECT doc_id, host, text, len(w)::BIGINT AS n_words,
+    length(translate(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(w) < {host_lines.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {host_lines.REPEAT_PERCENT} * len(w) AS base_failed,
+    coalesce(n_lines_removed, 0) AS n_lines_removed, coalesce(n_words_removed, 0) AS n_words_removed
+  FROM t LEFT JOIN dup USING (doc_id, host, text) LEFT JOIN covered USING (doc_id, host, text)
+    LEFT JOIN gone USING (doc_id, host, text))
+SELECT f.* EXCLUDE (host, text),
+  NOT base_failed AND 100 * (n_words - n_words_removed) >= {host_lines.LEFT_PERCENT} * n_words AS kept
+FROM documents d JOIN figures f
+  ON d.doc_id = f.doc_id AND coalesce(d.source, '') = f.host AND coalesce(d.text, '') = f.text
+"""
+
+
+def op12_fill_middle(spark, sf_dir):
+    return fill_middle.digests(fill_middle.assembled(table(spark, sf_dir, "documents")))
+
+
+OP12_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+    sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM cut),
+placed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+    array_to_string(u[b + 1:n], '') AS s FROM placed)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    return vector_codes.with_label_errors(coded).select(
+        "vec_id", F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "").alias("code"),
+        "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = vector_codes.PARTS, rounds: int = vector_codes.ROUNDS) -> str:
+    """One pair of tables (assignment, codebook) a round."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, label, p, e[p * (len(e) // {parts}) + 1:(p + 1) * (len(e) // {parts})] AS c
+  FROM v, (SELECT unnest(range({parts})) AS p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT {vector_codes.ENTRIES}),
+b0 AS MATERIALIZED (SELECT p, k, c FROM x JOIN firsts USING (vec_id))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, c, min_by(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT x.vec_id, x.label, x.p, x.c, b.k,
+      list_sum(list_transform(list_zip(x.c, b.c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d
+    FROM x JOIN b{r} b ON x.p = b.p) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (
+  SELECT p, k, j, sum(y) AS total, count(*) AS n FROM (
+    SELECT p, k, unnest(range(len(c))) AS j, unnest(c) AS y FROM a{r}) GROUP BY p, k, j),
+m{r} AS (SELECT p, k, list(((total - ((total % n) + n) % n) // n)::BIGINT ORDER BY j) AS c FROM s{r} GROUP BY p, k),
+b{r + 1} AS MATERIALIZED (SELECT p, k, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, k))""")
+    return f"""
+WITH {','.join(steps)},
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY ALL),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries():
     return {
         "op2_vector_dedup": op2_vector_dedup,
@@ -183,6 +318,9 @@ def queries():
         "op9_minhash": op9_minhash,
         "op4_byte_bpe": op4_byte_bpe,
         "op8_token_counts": op8_token_counts,
+        "op11_host_lines": op11_host_lines,
+        "op12_fill_middle": op12_fill_middle,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -192,4 +330,7 @@ def oracle_sql():
         "op3_topk": OP3_SQL,
         "op7_line_dedup": OP7_SQL,
         "op9_minhash": OP9_SQL,
+        "op11_host_lines": OP11_SQL,
+        "op12_fill_middle": OP12_SQL,
+        "op13_vector_codes": OP13_SQL,
     }

@@ -1,0 +1,129 @@
+"""Vector codes against plain k-means in Python integers."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hirescope.llm import queries as Q
+from hirescope.llm import vector_codes as V
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+
+
+def _sound(e):
+    return e is not None and len(e) > 0 and all(x is not None and math.isfinite(x) for x in e)
+
+
+def _brute(rows, dim, parts=8, entries=16, rounds=6, scale=4096):
+    kept = [(i, [math.floor(scale * x) for x in e], lab) for i, e, lab in rows if _sound(e) and len(e) == dim]
+    first = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[2] is not None, r[2] or 0, np.array(r[1], np.int64).tobytes()))[:entries]
+    spans = [(dim * p // parts, dim * (p + 1) // parts) for p in range(parts)]
+    books = [[f[1][a:b] for f in first] for a, b in spans]
+
+    def assign(p, v):
+        a, b = spans[p]
+        d = [sum((x - y) ** 2 for x, y in zip(v[a:b], e)) for e in books[p]]
+        return min(range(len(d)), key=d.__getitem__), min(d)
+    for _ in range(rounds):
+        for p, (a, b) in enumerate(spans):
+            to = [assign(p, v)[0] for _, v, _ in kept]
+            books[p] = [[sum(v[k] for (_, v, _), t in zip(kept, to) if t == e) // to.count(e) for k in range(a, b)]
+                        if e in to else old for e, old in enumerate(books[p])]
+    out = []
+    for i, v, lab in kept:
+        got = [assign(p, v) for p in range(parts)]
+        out.append((i, lab, [c for c, _ in got], sum(d for _, d in got)))
+    return out, books
+
+
+def _rows(n=300, dim=16):
+    rng = random.Random(2)
+    rows = [(i * 3, [rng.gauss(0, 0.3) + (i % 5) for _ in range(dim)], i % 4 if i % 7 else None) for i in range(n)]
+    rows += [(1, rows[0][1], 3)] + [(2000 + k, [0.25] * dim, 1) for k in range(150)]
+    rows += [(5000, None, 1), (5001, [], 1), (5002, [None] * dim, 2), (5003, [math.nan] * dim, 2),
+             (5004, [math.inf] * dim, 2), (5005, [1.0] * 3, 2), (None, [0.5] * dim, 2), (3, rows[1][1], rows[1][2]),
+             rows[5], rows[5], (15, [9.0] * dim, None)]
+    return rows
+
+
+def test_matches_plain_rounds(spark):
+    rows = _rows()
+    want, books = _brute(rows, 16)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5).select(
+        "*", *[F.lit("x").alias(c) for c in ("v", "row", "row2", "copies", "part", "codes", "error", "of")])
+    got, learned = V.compressed(df, block=8)
+    assert [b.tolist() for b in learned] == books
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    per_label = {}
+    for _, lab, _, error in want:
+        per_label[lab] = per_label.get(lab, 0) + error
+    with_sums = V.with_label_errors(got).collect()
+    assert len(with_sums) == len(want) and all(r.label_error == per_label[r.label] for r in with_sums)
+
+
+@pytest.mark.parametrize("dim,n", [(8, 40), (11, 30), (3, 25), (16, 5)])
+def test_other_shapes(spark, dim, n):
+    rng = random.Random(dim)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(dim)], 0) for i in range(n)]
+    want, books = _brute(rows, dim)
+    got, learned = V.compressed(spark.createDataFrame(rows, SCHEMA), block=4)
+    assert [b.tolist() for b in learned] == books
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_short_lists_keep_every_nearest_entry_and_save_work():
+    rng = np.random.default_rng(0)
+    entries = rng.integers(-3000, 3000, (16, 8))
+    entries[7] = entries[3]  # a tie
+    x = np.concatenate([e + rng.integers(-40, 40, (64, 8)) for e in entries])
+    x = x[np.argsort(V.hilbert((x + 4000) >> 6, 7))]
+    block = np.arange(len(x)) // 64
+    low = np.stack([x[block == b].min(axis=0) for b in range(16)])
+    high = np.stack([x[block == b].max(axis=0) for b in range(16)])
+    listed = V.shortlists(low, high, entries)
+    d = ((x[:, None] - entries[None]) ** 2).sum(axis=2)
+    code, best = V.nearest(x, block, listed, entries)
+    assert (code == d.argmin(axis=1)).all() and (best == d.min(axis=1)).all()
+    assert listed.mean() < 0.6
+
+
+def test_hilbert_visits_neighbours():
+    for dims, bits in ((2, 4), (3, 3)):
+        grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), axis=-1).reshape(-1, dims)
+        key = V.hilbert(grid, bits)
+        assert sorted(key.tolist()) == list(range(len(grid)))
+        path = grid[np.argsort(key)]
+        assert (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_copies_of_one_vector_are_cut_apart(spark):
+    rows = [(i, [0.5] * 8, 0) for i in range(4000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ints = df.select(F.col("vec_id").alias("row"), F.lit(0).cast("long").alias("row2"), F.lit(1).cast("long").alias("copies"),
+                     F.lit(np.full(8, 2048, np.int64).tobytes()).alias("v"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sizes = [r[0] for r in V.blocks(ints, 8, block=16).groupBy(F.spark_partition_id()).agg(F.sum("members")).select("sum(members)").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert sum(sizes) == 32_000 and max(sizes) < 12_000
+
+
+def test_refuses_what_passes_64_bits(spark):
+    df = spark.createDataFrame([(1, [1e15] * 8, 0), (2, [0.0] * 8, 0)], SCHEMA)
+    with pytest.raises(Exception, match="pass 64 bits"):
+        V.compressed(df)
+
+
+def test_empty_table(spark):
+    for rows in ([], [(1, None, 2)]):
+        coded, books = V.compressed(spark.createDataFrame(rows, SCHEMA))
+        assert books == [] and V.with_label_errors(coded).count() == 0
+
+
+def test_query_columns(spark):
+    got = Q.queries()["op13_vector_codes"](spark, "/root/testdata/sf0.001")
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert all(len(r.code) == 16 for r in got.collect())
