@@ -180,7 +180,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     folder = staging_folder(spark)
     df.write.parquet(f"{folder}/{name}")
     _STAGED.setdefault(_application(spark), []).append(folder)
-    return spark.read.parquet(f"{folder}/{name}")
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def release_staged(spark: SparkSession) -> int:
