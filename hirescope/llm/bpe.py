@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirescope.llm.common import row_key, slices
+from hirescope.llm.common import lean, row_key, slices
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
@@ -141,8 +141,7 @@ def _encode_between(data: bytes, pattern: str):
                 names = [c for c in part.schema.names if c not in ("chunk", "a", "b")]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), ids], [*names, "ids"])
-        encoder.ids.clear()  # idle workers outlive their tasks
-    return run
+    return lean(run, _encoder, _ranks)
 
 
 def _schema(df: DataFrame, *names: str) -> str:
@@ -226,7 +225,7 @@ def _decode(data: bytes):
                 pa.large_binary(), batch.num_rows, [None, pa.py_buffer(cut.tobytes()), data_buffer])
             yield pa.RecordBatch.from_arrays([*batch.columns, out.cast(pa.binary())],
                                              [*batch.schema.names, "decoded"])
-    return run
+    return lean(run, _token_bytes, _ranks)
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:

@@ -1,6 +1,8 @@
 """Helpers shared by the operators of this subpackage."""
 
-import uuid
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -8,27 +10,55 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirescope.session import ensure_checkpoint_dir
+from hirescope.sources.sinks import stage
 
 # Rows are handed to Python code in slices of about this many text bytes, so a
 # batch of long documents does not multiply in memory.
 SLICE_BYTES = 4 << 20
+# Bytes of a record batch on its way to Python code, while a table is written.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Record batches of at most ``BATCH_BYTES`` for what runs inside; the
+    session's own setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts lineage with a written table, so a lost executor never recomputes
-    what came before.
+    what came before. ``release_staged`` deletes the folder.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with _small_batches(df.sparkSession):
+        return stage(df, name)
+
+
+def lean(run, *caches):
+    """``run``, a function over record batches, that gives its memory back when
+    its task ends: Python workers outlive their tasks, and those of several
+    stages wait side by side. ``caches`` are cleared as well."""
+    def wrapped(batches):
+        yield from run(batches)
+        for cache in caches:
+            cache.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they freed
+            ctypes.CDLL(None).malloc_trim(0)
+    return wrapped
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

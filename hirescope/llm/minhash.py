@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirescope.llm.common import components, row_key, slices, stored
+from hirescope.llm.common import components, lean, row_key, slices, stored
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -118,8 +118,7 @@ def _sign(words: int):
                     [part.column("doc_id"), part.column("row_key"), pa.array(sizes, pa.int64()),
                      pa.array(classes, pa.binary()), pa.array(signatures, pa.binary())],
                     ["doc_id", "row_key", "n_shingles", "class", "signature"])
-        _words().clear()  # idle workers outlive their tasks
-    return run
+    return lean(run, _words)
 
 
 def _sets(words: int):
@@ -130,8 +129,7 @@ def _sets(words: int):
                     [part.column("id"), part.column("family"),
                      pa.array([shingle_set(t, words).tobytes() for t in part.column("text").to_pylist()], pa.binary())],
                     ["id", "family", "shingles"])
-        _words().clear()
-    return run
+    return lean(run, _words)
 
 
 def _column(batch: pa.RecordBatch, name: str, dtype, width: int) -> np.ndarray:
@@ -146,7 +144,7 @@ def _agreeing(matches: int):
                 agree = (_column(batch, "sig_a", np.uint32, COORDINATES) ==
                          _column(batch, "sig_b", np.uint32, COORDINATES)).sum(axis=1)
                 yield batch.select(["a", "b"]).filter(pa.array(agree >= matches))
-    return run
+    return lean(run)
 
 
 def _groups(batches, *key: str):
@@ -220,7 +218,7 @@ def _compare_lists(matches: int, numerator: int, denominator: int):
             if len(met):
                 a, b = _joined(met[:, 0], met[:, 1])
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-    return run
+    return lean(run)
 
 
 def spanning_links(sets: list[np.ndarray], numerator: int, denominator: int) -> list[tuple[int, int]]:
@@ -261,7 +259,7 @@ def _confirm(numerator: int, denominator: int):
                     links += [(ids[s + x], ids[s + y]) for x, y in spanning_links(sets, numerator, denominator)]
             a, b = np.array(links, np.int64).reshape(-1, 2).T
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
-    return run
+    return lean(run)
 
 
 def signed(docs: DataFrame, words: int = WORDS) -> DataFrame:

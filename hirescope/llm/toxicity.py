@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirescope.llm.common import slices, stored
+from hirescope.llm.common import lean, slices, stored
 from hirescope.llm.labels import held_out, logistic, sample
 from hirescope.llm.minhash import shingle_set
 
@@ -340,7 +340,7 @@ def _score(model):
                      pa.array([f[2] for f in found], pa.int32())],
                     [*part.schema.names, "score", "n_hits", "n_misspelt"])
         hits.forget()
-    return run
+    return lean(run, _loaded)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -362,4 +362,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
                 score, _ = _scores(m, hits, part.column("text").to_pylist())
                 yield part.filter(pa.array(score < threshold))
         hits.forget()
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, _loaded), docs.schema)
