@@ -29,6 +29,15 @@ NOISE_TERMS = BOILERPLATE_TERMS + GENERIC_TERMS
 MIN_KEYWORD_LENGTH = 1
 
 
+def _named(keyword: Column | str) -> Column:
+    return F.col(keyword) if isinstance(keyword, str) else keyword
+
+
+def is_long_enough(keyword: Column | str) -> Column:
+    """More than one character; NULL for a NULL keyword, which a filter drops."""
+    return F.length(_named(keyword)) > MIN_KEYWORD_LENGTH
+
+
 def is_signal_keyword(keyword: Column | str, noise=NOISE_TERMS) -> Column:
     """Keep a keyword unless it is a noise term or too short.
 
@@ -36,5 +45,4 @@ def is_signal_keyword(keyword: Column | str, noise=NOISE_TERMS) -> Column:
     dropped, ``Data`` and ``data `` survive. The list is a literal, so
     Catalyst turns it into ``INSET`` and pushes ``Not(In(..))`` to Parquet.
     """
-    keyword = F.col(keyword) if isinstance(keyword, str) else keyword
-    return (~keyword.isin(list(noise))) & (F.length(keyword) > MIN_KEYWORD_LENGTH)
+    return (~_named(keyword).isin(list(noise))) & is_long_enough(keyword)

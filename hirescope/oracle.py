@@ -87,11 +87,9 @@ _CTES = {
   SELECT *, NULL FROM posting_seen_dates
   WHERE job_url IS NULL OR job_url NOT IN (SELECT job_url FROM descriptions_ok WHERE job_url IS NOT NULL)""",
     "year_mentions": f"""
-  SELECT job_url, CAST(years_str AS INTEGER) AS years_val FROM (
-    SELECT job_url,
-           unnest(regexp_extract_all(lower(description_text), '{YEARS_PATTERN}', 1)) AS years_str
-    FROM silver_postings WHERE description_text IS NOT NULL) m
-  WHERE years_str IS NOT NULL AND years_str <> ''""",
+  SELECT job_url, unnest([CAST(y AS INTEGER) for y in
+    regexp_extract_all(lower(description_text), '{YEARS_PATTERN}', 1) if len(y) > 0]) AS years_val
+  FROM silver_postings""",
     "min_years_per_posting": """
   SELECT job_url, min(years_val) AS years_min FROM year_mentions
   WHERE years_val BETWEEN 0 AND 20 GROUP BY job_url""",
@@ -125,6 +123,11 @@ _CTES = {
     "keyword_denoised": f"""
   SELECT keyword, posting_count, snapshot_date FROM keyword_snapshots
   WHERE keyword NOT IN {_NOISE_SQL} AND length(keyword) > 1""",
+    "keyword_denoised_table": """
+  SELECT * FROM keyword_snapshots
+  WHERE length(keyword) > 1 AND NOT EXISTS (
+    SELECT 1 FROM events n
+    WHERE CASE n.event_type WHEN 'error' THEN 'security' WHEN 'click' THEN 'click' END = keyword)""",
     "keyword_latest": """
   SELECT keyword, posting_count, snapshot_date,
          CAST(round(100.0 * posting_count / (SELECT total_postings FROM described_total), 1)
@@ -137,7 +140,8 @@ _CTES = {
               AS DOUBLE) AS pct
   FROM keyword_denoised""",
     "descriptions_hot": """
-  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'job/8' ELSE job_url END AS job_url, description_text
+  SELECT CASE WHEN p_partkey % 3 = 0 THEN 'job/8' ELSE job_url END AS job_url,
+         CASE WHEN p_partkey % 97 = 0 THEN repeat(description_text || ' ', 200) ELSE description_text END AS description_text
   FROM ({descriptions_raw}, p_partkey FROM part) WHERE fetch_status = 'ok'""",
     "silver_postings_hot_key": """
   SELECT s.*, d.description_text
@@ -153,6 +157,16 @@ _CTES = {
     SELECT DISTINCT job_url, ' ' || regexp_replace(lower(description_text), '{TOKEN_SPLIT}', ' ', 'g') || ' ' AS t
     FROM silver_postings WHERE description_text IS NOT NULL AND job_url IS NOT NULL) texts
   ON contains(t, ' ' || keyword || ' ')
+  GROUP BY keyword""",
+    "keyword_snapshot_long_vocabulary": f"""
+  SELECT keyword, count(DISTINCT doc_id) AS posting_count, DATE '{{snapshot_date}}' AS snapshot_date
+  FROM (
+    SELECT DISTINCT unnest([array_to_string(t[1:12], ' '), t[1]]) AS keyword FROM (
+      SELECT list_filter(regexp_split_to_array(lower(text), '{TOKEN_SPLIT}'), lambda x: x <> '') AS t FROM benchmark)) terms
+  JOIN (
+    SELECT doc_id, ' ' || regexp_replace(lower(text), '{TOKEN_SPLIT}', ' ', 'g') || ' ' AS t
+    FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) texts
+  ON keyword <> '' AND contains(t, ' ' || keyword || ' ')
   GROUP BY keyword""",
     "documents_described": """
   SELECT 'doc/' || CAST(doc_id AS VARCHAR) AS job_url, text AS description_text, 'ok' AS fetch_status
@@ -181,12 +195,14 @@ _DEPS = {
     "keyword_snapshots": [],
     "latest_snapshot_date": ["keyword_snapshots"],
     "keyword_denoised": ["keyword_snapshots"],
+    "keyword_denoised_table": ["keyword_snapshots"],
     "keyword_latest": ["keyword_snapshots", "keyword_denoised", "described_total",
                        "latest_snapshot_date"],
     "keyword_trends": ["keyword_snapshots", "keyword_denoised", "described_total"],
     "descriptions_hot": [],
     "silver_postings_hot_key": ["posting_seen_dates", "descriptions_hot"],
     "keyword_snapshot_vocabulary": ["silver_postings"],
+    "keyword_snapshot_long_vocabulary": [],
     "documents_described": [],
     "keyword_snapshot": ["documents_described"],
     "keyword_snapshot_postings": ["silver_postings"],

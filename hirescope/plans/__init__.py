@@ -10,7 +10,12 @@ from hirescope.plans.gold import (
     signal_keywords,
 )
 from hirescope.plans.project import build_all
-from hirescope.plans.snapshots import keyword_snapshot
+from hirescope.plans.snapshots import (
+    changed_postings,
+    keyword_snapshot,
+    keyword_snapshot_after,
+    posting_digests,
+)
 from hirescope.plans.silver import (
     experience_requirements,
     ok_descriptions,
@@ -24,16 +29,19 @@ from hirescope.plans.silver import (
 
 __all__ = [
     "build_all",
+    "changed_postings",
     "described_postings",
     "described_total",
     "experience_distribution",
     "experience_requirements",
     "keyword_latest",
     "keyword_snapshot",
+    "keyword_snapshot_after",
     "keyword_trends",
     "latest_snapshot_date",
     "min_years_per_posting",
     "ok_descriptions",
+    "posting_digests",
     "postings_latest",
     "postings_with_dates",
     "signal_keywords",

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.functions.experience import band_rank, experience_band
-from hirescope.functions.noise import NOISE_TERMS, is_signal_keyword
+from hirescope.functions.noise import NOISE_TERMS, is_long_enough, is_signal_keyword
 from hirescope.functions.shares import share_pct
 from hirescope.operators.aggregates import count_share_by, distinct_count, max_value
 
@@ -48,7 +48,18 @@ def latest_snapshot_date(snapshots: DataFrame) -> DataFrame:
 
 
 def signal_keywords(snapshots: DataFrame, noise=NOISE_TERMS) -> DataFrame:
-    """Snapshot rows whose keyword is neither noise nor a single character."""
+    """Snapshot rows whose keyword is neither noise nor a single character.
+
+    ``noise`` is a list, written into the plan as a literal set that the scan
+    takes, or, where it grows too long for that, a DataFrame with a
+    ``keyword`` column: then an anti join, which Spark broadcasts only while
+    the list is small. A NULL keyword is dropped either way; a NULL in the
+    table is no term (it does not empty the result, as it would in
+    ``NOT IN``), and repeated terms count once.
+    """
+    if isinstance(noise, DataFrame):
+        terms = noise.select(F.col("keyword").alias("keyword")).where(F.col("keyword").isNotNull()).distinct()
+        return snapshots.where(is_long_enough("keyword")).join(terms, "keyword", "left_anti").select(*snapshots.columns)
     return snapshots.where(is_signal_keyword("keyword", noise))
 
 

@@ -47,15 +47,19 @@ def ok_descriptions(descriptions_raw: DataFrame) -> DataFrame:
 def silver_postings(postings_raw: DataFrame, descriptions_raw: DataFrame, **split) -> DataFrame:
     """M1: one row per posting, more when several ``ok`` descriptions match.
 
-    ``split`` (``bytes_per_task``, ``row_bytes``) sets from which size the
-    descriptions of one posting are joined by several tasks.
+    ``split`` (``bytes_per_task``) sets from which size the descriptions of
+    one posting are joined by several tasks.
     """
-    return with_descriptions(postings_with_dates(postings_raw), descriptions_raw, **split)
+    return with_descriptions(postings_with_dates(postings_raw), descriptions_raw, known=postings_raw, **split)
 
 
-def with_descriptions(postings: DataFrame, descriptions_raw: DataFrame, **split) -> DataFrame:
-    """Latest postings joined to their ``ok`` descriptions."""
-    joined = fanout_left_join(postings, ok_descriptions(descriptions_raw), KEY, **split)
+def with_descriptions(postings: DataFrame, descriptions_raw: DataFrame, known: DataFrame | None = None,
+                      **split) -> DataFrame:
+    """Latest postings joined to their ``ok`` descriptions. Texts of postings
+    that are not in ``known`` (the raw scrapes, whose key column is all that is
+    read for it; ``postings`` if not given) are dropped before any shuffle."""
+    known = (postings if known is None else known).select(KEY)
+    joined = fanout_left_join(postings, ok_descriptions(descriptions_raw), KEY, known=known, **split)
     return joined.select(*SILVER_COLS)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.functions.text import MAX_NGRAM, ngrams_of_normalized, normalized
+from hirescope.sources.sinks import stage
 
 
 def vocabulary_terms(vocabulary: DataFrame) -> DataFrame:
@@ -21,14 +22,62 @@ def vocabulary_terms(vocabulary: DataFrame) -> DataFrame:
     return terms.where(F.col("keyword") != "").distinct()
 
 
-def longest_term(terms: DataFrame) -> int:
-    """Tokens of the longest term (one number reaches the driver); 1 for none."""
-    return terms.agg(F.max(F.size(F.split("keyword", " ")))).first()[0] or 1
+def term_index(terms: DataFrame) -> DataFrame:
+    """``(token, length)``: the token a term begins with and how many tokens it
+    has, each pair once."""
+    words = F.split("keyword", " ")
+    return terms.select(words[0].alias("token"), F.size(words).alias("length")).distinct()
+
+
+def _described(silver: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """Normalized texts of postings, with a mark on postings of several rows."""
+    rows = silver.where(F.col("job_url").isNotNull()).select("job_url", "description_text")
+    keys = rows if keys is None else keys.where(F.col("job_url").isNotNull())
+    repeated = (keys.select("job_url").groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
+                .where(F.col("__rows") > 1).select("job_url", F.lit(True).alias("__repeated")))
+    described = rows.where(F.col("description_text").isNotNull()).join(repeated, "job_url", "left")
+    return described.select("job_url", "__repeated", normalized(F.col("description_text")).alias("norm"))
+
+
+def _possible_grams(norm: DataFrame, terms: DataFrame) -> DataFrame:
+    """The n-grams of each text that begin as a term does and are as long.
+
+    The texts' tokens meet the index of the terms, so what is made grows with
+    the tokens and the terms that may begin there, not with the longest term.
+    A text's hits (place and length) come back to it as one row.
+    """
+    texts = norm.select("job_url", "__repeated", "norm", F.xxhash64("norm").alias("__text"))
+    begun = (texts.select("job_url", "__text", F.posexplode(F.split("norm", " ")).alias("__at", "token"))
+             .join(term_index(terms), "token"))
+    hits = begun.groupBy("job_url", "__text").agg(F.collect_set(F.struct("__at", "length")).alias("__hits"))
+    split = texts.join(hits, ["job_url", "__text"]).select(
+        "job_url", "__repeated", "__hits", F.split("norm", " ").alias("__tokens"))
+    # A hit too close to the end of the text gives a shorter n-gram, which
+    # counts only if it is a term, and then stands there as such.
+    grams = F.transform("__hits", lambda h: F.array_join(F.slice("__tokens", h["__at"] + 1, h["length"]), " "))
+    return split.select("job_url", "__repeated", F.explode(F.array_distinct(grams)).alias("keyword")).join(
+        terms, "keyword", "left_semi")
+
+
+def keyword_counts(silver: DataFrame, max_n: int = MAX_NGRAM, vocabulary: DataFrame | None = None,
+                   keys: DataFrame | None = None) -> DataFrame:
+    """``(keyword, posting_count)`` over every described posting (see ``keyword_snapshot``)."""
+    norm = _described(silver, keys)
+    if vocabulary is None:
+        grams = norm.select("job_url", "__repeated", F.explode(
+            F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword"))
+    else:
+        grams = _possible_grams(norm, vocabulary_terms(vocabulary))
+    once = F.col("__repeated").isNull()
+    # Spark keys the partial aggregate on (keyword, job_url if repeated else
+    # NULL), so only repeated postings' pairs are shuffled as pairs.
+    return grams.groupBy("keyword").agg(
+        (F.count(F.when(once, F.lit(1))) + F.countDistinct(F.when(~once, F.col("job_url")))).alias("posting_count"))
 
 
 def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
                      max_n: int = MAX_NGRAM, min_postings: int = 1,
-                     vocabulary: DataFrame | None = None) -> DataFrame:
+                     vocabulary: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
     """``(keyword, posting_count, snapshot_date)`` over every described posting.
 
     Each description is tokenized whole and its distinct n-grams exploded to
@@ -41,31 +90,68 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     keyword and task. Only postings of several rows need
     ``count(DISTINCT job_url)``: they are marked by a left join to the keys
     that repeat (counted over the key column alone, no text is read for it).
-    Both counts come from one aggregate, one scan of the texts and one
-    tokenization, whatever the number of repeated keys. ``silver`` is read
-    twice (its keys, its texts), so pass the stored table.
+    Both counts come from one aggregate, whatever the number of repeated keys.
+    ``silver`` is read twice (its keys, its texts; with a vocabulary the texts
+    twice), so pass the stored table; ``keys`` may name a cheaper frame with
+    the same ``job_url`` rows for the first of them.
 
-    ``vocabulary`` (a ``keyword`` column) keeps only listed keywords. Terms
-    are normalized as texts are, and n-grams go up to the longest term.
+    ``vocabulary`` (a ``keyword`` column) keeps only listed keywords, of any
+    length. Terms are normalized as texts are.
     """
-    rows = silver.where(F.col("job_url").isNotNull()).select("job_url", "description_text")
-    repeated = (rows.groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
-                .where(F.col("__rows") > 1).select("job_url", F.lit(True).alias("__repeated")))
-    terms = None if vocabulary is None else vocabulary_terms(vocabulary)
-    longest = max_n if terms is None else longest_term(terms)
-    described = rows.where(F.col("description_text").isNotNull()).join(repeated, "job_url", "left")
-    norm = described.select("job_url", "__repeated", normalized(F.col("description_text")).alias("norm"))
-    grams = norm.select("job_url", "__repeated", F.explode(
-        F.array_distinct(ngrams_of_normalized(F.col("norm"), longest))).alias("keyword"))
-    if terms is not None:
-        grams = grams.join(terms, "keyword", "left_semi")
-    once = F.col("__repeated").isNull()
-    # Spark keys the partial aggregate on (keyword, job_url if repeated else
-    # NULL), so only repeated postings' pairs are shuffled as pairs.
-    counts = grams.groupBy("keyword").agg(
-        (F.count(F.when(once, F.lit(1))) + F.countDistinct(F.when(~once, F.col("job_url")))).alias("posting_count"))
+    counts = keyword_counts(silver, max_n, vocabulary, keys)
     if min_postings > 1:
         counts = counts.where(F.col("posting_count") >= min_postings)
     return counts.select(
         "keyword", "posting_count", F.lit(snapshot_date).cast("date").alias("snapshot_date")
     )
+
+
+def posting_digests(silver: DataFrame) -> DataFrame:
+    """``(job_url, texts, mixed, total)``: what the described texts of a posting
+    come to, whatever their order. Equal values mean equal texts (the two hash
+    figures have more than 128 bits together). Each is a sum, so a posting with
+    very many texts is reduced map-side; no text is tokenized."""
+    rows = silver.where(F.col("job_url").isNotNull() & F.col("description_text").isNotNull())
+    one, two = F.xxhash64("description_text"), F.xxhash64(F.lit(1), F.col("description_text"))
+    return rows.groupBy("job_url").agg(
+        F.count(F.lit(1)).alias("texts"), F.bit_xor(one).alias("mixed"), F.sum(two.cast("decimal(38,0)")).alias("total"))
+
+
+def changed_postings(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``job_url`` of the postings whose texts differ between two sets of
+    digests: new, changed or gone."""
+    names = ("texts", "mixed", "total")
+    both = before.alias("b").join(after.alias("a"), "job_url", "full")
+    same = F.lit(True)
+    for name in names:
+        same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"a.{name}"))
+    return both.where(~same).select("job_url")
+
+
+def keyword_snapshot_after(last: DataFrame, before: DataFrame, after: DataFrame, snapshot_date: dt.date | str,
+                           digests: DataFrame | None = None, max_n: int = MAX_NGRAM, min_postings: int = 1,
+                           vocabulary: DataFrame | None = None) -> DataFrame:
+    """The keyword snapshot of a day from the one before.
+
+    ``last`` is the snapshot of ``before``, the silver postings of that day,
+    counted with the same rules and ``min_postings`` 1 (a term under a limit
+    could not be carried on); ``after`` is today's silver. The postings whose
+    texts differ are found by digests (``digests``: those kept of ``before``;
+    they are worked out where none were kept). Only their texts are tokenized:
+    the old ones count -1, the new ones +1, and the signed counts are merged
+    into the last. The result equals ``keyword_snapshot(after, ...)``.
+
+    The list of changed postings is stored first, so that Spark joins the
+    texts to it by its real size: in place while it is small.
+    """
+    known = posting_digests(before) if digests is None else digests
+    changed = stage(changed_postings(known, posting_digests(after)), "changed_postings")
+
+    def counted(silver: DataFrame, sign: int) -> DataFrame:
+        some = silver.select("job_url", "description_text").join(changed, "job_url", "left_semi")
+        return keyword_counts(some, max_n, vocabulary).select("keyword", (sign * F.col("posting_count")).alias("posting_count"))
+
+    merged = (last.select("keyword", "posting_count").union(counted(before, -1)).union(counted(after, 1))
+              .groupBy("keyword").agg(F.sum("posting_count").alias("posting_count")))
+    return merged.where(F.col("posting_count") >= min_postings).select(
+        "keyword", "posting_count", F.lit(snapshot_date).cast("date").alias("snapshot_date"))

@@ -3,12 +3,14 @@
 from hirescope.sources.readers import (
     read_descriptions_raw,
     read_keyword_snapshots,
+    read_noise_terms,
     read_postings_raw,
     read_source,
 )
 from hirescope.sources.schemas import (
     DESCRIPTIONS_RAW,
     KEYWORD_SNAPSHOTS,
+    NOISE_TABLE,
     POSTINGS_RAW,
     conform,
 )
@@ -16,10 +18,12 @@ from hirescope.sources.schemas import (
 __all__ = [
     "DESCRIPTIONS_RAW",
     "KEYWORD_SNAPSHOTS",
+    "NOISE_TABLE",
     "POSTINGS_RAW",
     "conform",
     "read_descriptions_raw",
     "read_keyword_snapshots",
+    "read_noise_terms",
     "read_postings_raw",
     "read_source",
 ]

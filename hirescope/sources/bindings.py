@@ -10,9 +10,11 @@ and the same rules are restated in SQL for the DuckDB oracle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirescope.functions.text import tokens
 from hirescope.sources.schemas import (
     DESCRIPTIONS_RAW,
     KEYWORD_SNAPSHOTS,
+    NOISE_TABLE,
     POSTINGS_RAW,
     conform,
 )
@@ -52,7 +54,8 @@ HOT_POSTING = "job/8"
 
 def descriptions_raw_from_part(part: DataFrame, hot: bool = False) -> DataFrame:
     """B2: four descriptions of one variant to a key, so keys fan out and their
-    number grows with the table; ``hot`` moves every third to one posting."""
+    number grows with the table; ``hot`` moves every third to one posting and
+    makes every 97th text two hundred times as long."""
     size, name, key = F.col("p_size"), F.col("p_name"), F.col("p_partkey")
     variant = key % 6
     s = lambda c: c.cast("string")
@@ -63,6 +66,8 @@ def descriptions_raw_from_part(part: DataFrame, hot: bool = False) -> DataFrame:
         .when(variant == 3, F.concat(F.lit("100 years of "), name, F.lit(", "), s(size % 12), F.lit(" year")))
         .when(variant == 5, F.concat(F.lit("the "), name, F.lit(" team, no requirement")))
     )
+    if hot:
+        text = F.when(key % 97 == 0, F.repeat(F.concat(text, F.lit(" ")), F.lit(200))).otherwise(text)
     status = (
         F.when(F.col("p_type") == "SMALL", F.lit("error"))
         .when((F.col("p_type") == "ECONOMY") & (size % 7 == 0), F.lit(None).cast("string"))
@@ -118,16 +123,33 @@ def keyword_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").select(F.explode(terms).alias("keyword"))
 
 
-def documents_as_descriptions(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
-    """``documents`` seen as fetched descriptions, one posting per doc.
+def noise_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B5: a noise list as it would be gathered by hand, from ``events``: each
+    error notes ``security``, each click ``click``, all else nothing (NULL)."""
+    et = F.col("event_type")
+    term = F.when(et == "error", F.lit("security")).when(et == "click", F.lit("click"))
+    return conform(_table(spark, sf_dir, "events").select(term.alias("keyword")), NOISE_TABLE, "noise_terms")
+
+
+def long_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6: the first twelve tokens and the first token of every ``benchmark``
+    text, passages of which stand in ``documents``."""
+    words = tokens(F.col("text"))
+    terms = F.array(F.array_join(F.slice(words, 1, 12), " "), F.get(words, F.lit(0)))
+    return _table(spark, sf_dir, "benchmark").select(F.explode(terms).alias("keyword"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over the cores if its scan has fewer partitions than
+    there are cores (a table stored as one row group, which a scan cannot
+    split); as it is otherwise, so nothing is shuffled on large input."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
 
-    ``partitions`` deals the rows out first, for a table stored as one row
-    group (as the test table is), which a scan cannot split.
-    """
-    docs = _table(spark, sf_dir, "documents")
-    if partitions is not None:
-        docs = docs.repartition(partitions)
-    df = docs.select(
+def documents_as_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` seen as fetched descriptions, one posting per doc."""
+    df = _table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("job_url"),
         F.col("text").alias("description_text"),
         F.lit("ok").alias("fetch_status"),

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirescope.sources.schemas import (
     DESCRIPTIONS_RAW,
     KEYWORD_SNAPSHOTS,
+    NOISE_TABLE,
     POSTINGS_RAW,
     conform,
 )
@@ -27,3 +28,8 @@ def read_descriptions_raw(spark: SparkSession, location: str) -> DataFrame:
 
 def read_keyword_snapshots(spark: SparkSession, location: str) -> DataFrame:
     return conform(read_source(spark, location), KEYWORD_SNAPSHOTS, "keyword_snapshots")
+
+
+def read_noise_terms(spark: SparkSession, location: str) -> DataFrame:
+    """A noise list kept as a table: one ``keyword`` column, repeats and NULLs allowed."""
+    return conform(read_source(spark, location), NOISE_TABLE, "noise_terms")

@@ -31,6 +31,10 @@ KEYWORD_SNAPSHOTS = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
 ])
 
+NOISE_TABLE = T.StructType([
+    T.StructField("keyword", T.StringType()),
+])
+
 _NUMBERS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
 
 

@@ -73,6 +73,6 @@ def test_salted_join_equals_plain_join_on_bound_tables(spark, models):
     posts = plans.postings_with_dates(raw)
     desc = plans.ok_descriptions(bindings.descriptions_raw(spark, SF))
     # a tiny per-task budget forces every key with more than 3 rows to be split
-    got = fanout_left_join(posts, desc, "job_url", bytes_per_task=3, row_bytes=1)
+    got = fanout_left_join(posts, desc, "job_url", bytes_per_task=3, size=F.lit(1), known=posts)
     want = posts.join(desc, "job_url", "left")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
