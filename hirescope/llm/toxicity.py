@@ -4,21 +4,27 @@ Learning. Words, and word beginnings (stems), that toxic documents hold far
 more often than others form the lexicon; both come with a weight (log odds).
 Documents that are copies of one another count once.
 
-Matching. The lexicon is a trie. A Levenshtein automaton of one edit runs over
-it: a state is a set of trie nodes with the edits spent so far, worked out
-when a word first leads there and kept. A word costs one step a letter and
-most words die within a few. Stems match exactly; the first letter must be
-right.
-
-Context. A hit counts less inside quotation marks or next to a reporting word
-(quoted abuse), and more with other hits in its window. A logistic model over
-a document's hits gives the score; its coefficients are learned with lexicons
+Matching. The lexicon is a trie. A Levenshtein automaton of one edit (a letter
+more, less or other, or two neighbours swapped) runs over it: a state is a set
+of trie nodes with the edits spent so far, worked out when a word first leads
+there and kept. A word costs one step a letter and most words die within a
+few. Words may hold digits and signs inside; those that look like a letter
+stand for it without an edit. A first letter may be wrong in longer words
+only; stems match exactly. A word with digits or signs that meets no entry is
+read as the letter runs it holds.
+
+Context. A misspelt hit counts ``MISSPELT`` of an exact one, a hit inside
+quotation marks or next to a reporting word (quoted abuse) ``QUOTED``, and
+hits count more with others in their window. A logistic model over a
+document's hits gives the score; its coefficients are learned with lexicons
 that did not see the document.
 
 Defined results: NULL, empty or wordless text has no hits and gets the score of
-such texts; a repeated row gets a repeated result; other columns of the input
-are ignored; an empty table gives an empty result; without labels of both
-kinds every score is the smoothed share of toxic labels.
+such texts; a very long text is read whole, its features being sums, shares
+and largest values; of entries equally near the first of the lexicon holds; a
+repeated row gets a repeated result; other columns of the input are ignored;
+an empty table gives an empty result; without labels of both kinds every score
+is the smoothed share of toxic labels.
 """
 
 import functools
@@ -45,15 +51,23 @@ MIN_DOCS, MIN_LOG_ODDS, MIN_EVIDENCE = 5, 2.0, 30.0
 STEM_LETTERS = (4, 5, 6)
 # Words at least this long may be misspelt by one edit.
 FUZZY_LETTERS = 5
+# And with a wrong first letter if at least this long.
+FIRST_LETTERS = 6
 MAX_EDITS = 1
 WINDOW = 10
 QUOTED = 0.5
+MISSPELT = 0.9
+# Digits and signs, and the letters they are written for.
+ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g",
+         "@": "a", "$": "s", "!": "i", "+": "t", "*": "aeiou"}
 THRESHOLD = 0.7
 
 # Words that report what another said, in the languages of the corpus.
 REPORTING = frozenset("said says wrote called quote quoted reported dit écrit appelé cité sagte schrieb nannte "
                       "zitiert dijo escribió llamó citó".split())
 _WORD = re.compile(r"[^\W\d_]+")
+# Words with digits anywhere and signs inside.
+_TOKEN = re.compile(r"[^\W_]+(?:[@$!+*]+[^\W_]+)*")
 _QUOTES = re.compile("[\"“”«»„]")
 # Bounds of what a task remembers; it starts anew beyond them.
 _STATES, _WORDS, _ENTRIES = 100_000, 100_000, 50_000
@@ -79,18 +93,23 @@ class Trie:
 
 
 class Matcher:
-    """The automaton: ``match(word)`` is ``(entry, edits)`` or ``(-1, 0)``."""
+    """The automaton: ``match(word)`` is ``(entry, edits)`` or ``(-1, 0)``.
 
-    def __init__(self, entries: list[tuple[str, bool]], fuzzy_letters: int = FUZZY_LETTERS, edits: int = MAX_EDITS):
-        self.trie, self.edits, self.fuzzy = Trie(), edits, fuzzy_letters
-        self.length = [len(e) for e, _ in entries]
+    A state is the nodes reached with the edits spent, and the nodes that the
+    next letter would reach if it is the first of a swapped pair.
+    """
+
+    def __init__(self, entries: list[tuple[str, bool]], fuzzy_letters: int = FUZZY_LETTERS, edits: int = MAX_EDITS,
+                 first_letters: int = FIRST_LETTERS):
+        self.trie, self.edits, self.fuzzy, self.first = Trie(), edits, fuzzy_letters, first_letters
+        self.letters = [e for e, _ in entries]
         for i, (letters, is_stem) in enumerate(entries):
             self.trie.add(letters, i, is_stem)
         self.clear()
 
     def clear(self) -> None:
         """Forget the states met so far but the first and the dead one."""
-        self.states: list[tuple] = [((0, 0),), ()]
+        self.states: list[tuple] = [(self._close({0: 0}), ()), ((), ())]
         self.numbers = {s: i for i, s in enumerate(self.states)}
         self.steps: dict[tuple[int, str], int] = {}
 
@@ -99,7 +118,7 @@ class Matcher:
         todo = list(spent.items())
         while todo:
             node, e = todo.pop()
-            if e < self.edits and node:
+            if e < self.edits:
                 for child in self.trie.children[node].values():
                     if spent.get(child, self.edits + 1) > e + 1:
                         spent[child] = e + 1
@@ -108,20 +127,36 @@ class Matcher:
 
     def _step(self, state: tuple, c: str) -> tuple:
         spent: dict[int, int] = {}
+        swapped: set[tuple[int, int, str]] = set()
 
         def put(node, e):
-            if e <= self.edits and spent.get(node, self.edits + 1) > e:
+            if spent.get(node, self.edits + 1) > e:
                 spent[node] = e
 
-        for node, e in state:
+        for node, e in state[0]:
             children = self.trie.children[node]
-            if c in children:
-                put(children[c], e)
-            if node:  # the first letter must be right
+            for letter in (c, *ALIKE.get(c, "")):
+                if letter in children:
+                    put(children[letter], e)
+            if e < self.edits:
                 put(node, e + 1)
-                for child in children.values():
+                for letter, child in children.items():
                     put(child, e + 1)
-        return self._close(spent)
+                    if letter != c and c in self.trie.children[child]:
+                        swapped.add((self.trie.children[child][c], e + 1, letter))
+        for node, e, letter in state[1]:
+            if c == letter:
+                put(node, e)
+        return self._close(spent), tuple(sorted(swapped))
+
+    def _near(self, word: str, entry: int, edits: int) -> bool:
+        """Whether a word is long enough, and letters enough, for what it lacks."""
+        real, target = sum(c.isalpha() for c in word), self.letters[entry]
+        if 2 * real < len(word):
+            return False
+        length = min(len(target), len(word))
+        first = target[0] == word[0] or target[0] in ALIKE.get(word[0], "")
+        return not edits or length >= (self.fuzzy if first else self.first)
 
     def match(self, word: str) -> tuple[int, int]:
         if len(self.steps) >= _STATES:
@@ -138,16 +173,16 @@ class Matcher:
             number = nxt
             if number == 1:
                 break
-            for node, e in self.states[number]:
+            for node, e in self.states[number][0]:
                 if e == 0 and self.trie.stem[node] >= 0:
                     stem = self.trie.stem[node]
-        found = [(e, self.trie.word[node]) for node, e in self.states[number] if self.trie.word[node] >= 0
-                 and (e == 0 or min(self.length[self.trie.word[node]], len(word)) >= self.fuzzy)]
-        if found and min(found)[0] == 0:
-            return min(found)[1], 0
-        if stem >= 0:
+        found = [(e, self.trie.word[node]) for node, e in self.states[number][0] if self.trie.word[node] >= 0]
+        found = sorted((e, entry) for e, entry in found if self._near(word, entry, e))
+        if found and found[0][0] == 0:
+            return found[0][1], 0
+        if stem >= 0 and word.isalpha():
             return stem, 0
-        return (min(found)[1], min(found)[0]) if found else (-1, 0)
+        return (found[0][1], found[0][0]) if found else (-1, 0)
 
 
 class _Hits(dict):
@@ -161,7 +196,7 @@ class _Hits(dict):
         if len(self) >= _WORDS:
             self.clear()
         entry, edits = self.matcher.match(word)
-        code = self[word] = -1 if entry < 0 else 2 * entry + (edits > 0)
+        code = self[word] = -1 if entry < 0 else 2 * entry + (edits > 0 or not word.isalpha())
         return code
 
     def forget(self) -> None:
@@ -170,7 +205,7 @@ class _Hits(dict):
         self.matcher.clear()
 
 
-FEATURES = 6
+FEATURES = 5
 
 
 def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -180,18 +215,26 @@ def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tup
     if not text:
         return out, 0, 0
     low = text.lower()
-    words = _WORD.findall(low)
+    words, starts = [], []
+    for m in _TOKEN.finditer(low):
+        token = m.group()
+        if token.isalpha() or hits[token] >= 0:
+            words.append(token)
+            starts.append(m.start())
+        else:  # the letter runs of a word with digits or signs
+            for run in _WORD.finditer(token):
+                words.append(run.group())
+                starts.append(m.start() + run.start())
     codes = np.fromiter(map(hits.__getitem__, words), np.int64, len(words))
     at = np.flatnonzero(codes >= 0)
     if not len(at):
         return out, 0, 0
     code = codes[at]
-    weight, misspelt = weights[code // 2], (code & 1).astype(bool)
+    misspelt = (code & 1).astype(bool)
+    factor = np.where(misspelt, MISSPELT, 1.0)
     # Context: an odd number of quotation marks before a hit puts it in quotes.
-    factor = np.ones(len(at))
     quotes = [m.start() for m in _QUOTES.finditer(low)]
     if quotes:
-        starts = [m.start() for m in _WORD.finditer(low)]
         inside = np.searchsorted(quotes, np.array(starts)[at]) % 2 == 1
         factor[inside] *= QUOTED
     for k, i in enumerate(at):
@@ -199,10 +242,9 @@ def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tup
             factor[k] *= QUOTED
     near = np.searchsorted(at, at + WINDOW, "right") - np.searchsorted(at, at - WINDOW, "left")
     exact = ~misspelt
-    strength = weight * factor
-    out[:] = (np.log1p(strength[exact].sum()), strength[exact].max(initial=0),
-              np.log1p(100 * factor[exact].sum() / len(words)), np.log1p(len(set(code[exact]))),
-              np.log1p(strength[misspelt].sum()), np.log1p((near[exact] * factor[exact]).max(initial=0)))
+    strength = weights[code // 2] * factor
+    out[:] = (np.log1p(strength.sum()), strength.max(initial=0), np.log1p(100 * factor.sum() / len(words)),
+              np.log1p(len(set(code // 2))), np.log1p((near * factor).max(initial=0)))
     return out, int(exact.sum()), int(misspelt.sum())
 
 
