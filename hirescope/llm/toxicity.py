@@ -208,6 +208,26 @@ class _Hits(dict):
 FEATURES = 5
 
 
+def _read_words(low: str, hits: _Hits) -> list[str]:
+    """The words of a text; one with digits or signs that is no hit gives way
+    to the letter runs it holds."""
+    words = _TOKEN.findall(low)
+    if all(map(str.isalpha, words)):
+        return words
+    return [run for w in words for run in ((w,) if w.isalpha() or hits[w] >= 0 else _WORD.findall(w))]
+
+
+def _word_starts(low: str, hits: _Hits) -> list[int]:
+    """Where the words of ``_read_words`` start."""
+    out = []
+    for m in _TOKEN.finditer(low):
+        if m.group().isalpha() or hits[m.group()] >= 0:
+            out.append(m.start())
+        else:
+            out += [m.start() + run.start() for run in _WORD.finditer(m.group())]
+    return out
+
+
 def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Features of a document from its hits, with the numbers of exact and of
     misspelt hits."""
@@ -215,16 +235,7 @@ def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tup
     if not text:
         return out, 0, 0
     low = text.lower()
-    words, starts = [], []
-    for m in _TOKEN.finditer(low):
-        token = m.group()
-        if token.isalpha() or hits[token] >= 0:
-            words.append(token)
-            starts.append(m.start())
-        else:  # the letter runs of a word with digits or signs
-            for run in _WORD.finditer(token):
-                words.append(run.group())
-                starts.append(m.start() + run.start())
+    words = _read_words(low, hits)
     codes = np.fromiter(map(hits.__getitem__, words), np.int64, len(words))
     at = np.flatnonzero(codes >= 0)
     if not len(at):
@@ -235,6 +246,7 @@ def document_features(text: str | None, hits: _Hits, weights: np.ndarray) -> tup
     # Context: an odd number of quotation marks before a hit puts it in quotes.
     quotes = [m.start() for m in _QUOTES.finditer(low)]
     if quotes:
+        starts = _word_starts(low, hits)
         inside = np.searchsorted(quotes, np.array(starts)[at]) % 2 == 1
         factor[inside] *= QUOTED
     for k, i in enumerate(at):
