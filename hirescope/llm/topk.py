@@ -14,8 +14,9 @@ Defined results: vectors that are NULL, empty, hold NULL or non-finite
 components, have no id, or another dimension than most take no part; of
 several rows with one vec_id the smallest vector stands; ties go to the
 smaller vec_id; fewer candidates than k give all of them; an empty table gives
-an empty result; other columns are ignored. Components beyond 2**31 - 1 in
-size are refused by a ValueError, so products stay within 64 bits.
+an empty result; other columns are ignored. Vectors whose largest component
+could make an inner product pass 64 bits (dimension times its square) are
+refused by a ValueError, never scored wrongly.
 """
 
 import numpy as np
@@ -51,8 +52,9 @@ def _integers(scale: float, dim: int):
         for batch in batches:
             x = np.array(batch.column("embedding").flatten(), np.float64).reshape(-1, dim)
             x = np.floor(scale * x)
-            if len(x) and np.abs(x).max() >= 2**31:
-                raise ValueError("a component is too large for integer products")
+            # Between any two vectors that pass, the sum of products is smaller.
+            if len(x) and dim * np.abs(x).max() ** 2 >= 2.0**62:
+                raise ValueError("components too large: their inner products could pass 64 bits")
             length = (x * x).sum(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), pa.array([r.tobytes() for r in x.astype(np.int64)], pa.binary()),

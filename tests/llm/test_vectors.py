@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hirescope.llm import topk, vector_dedup
 
@@ -138,3 +139,13 @@ def test_top_k_edge_rows(spark):
         (192 * 10**6) ** 2 - 128 * 64 * 10**12, -(192 * 10**6) ** 2 - (128 * 10**6) ** 2]
     with pytest.raises(Exception, match="too large"):
         topk.top_k(frame(spark, [(0, [1e30, 1.0])]), frame(spark, [(0, [1e30, 1.0])])).count()
+
+
+def test_products_past_64_bits_are_refused(spark):
+    rows = [(0, [float(2**24)] * 64), (1, [float(2**24)] * 64), (2, [1.0] * 64)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="pass 64 bits"):
+        topk.top_k(vectors, vectors).collect()
+    small = vectors.withColumn("embedding", F.transform("embedding", lambda x: x / 64))
+    best = {r["query_id"]: r["score"] for r in topk.top_k(small, small).where("rank = 1").collect()}
+    assert best == {0: 64 * 2**48, 1: 64 * 2**48, 2: 64 * 2**24}
