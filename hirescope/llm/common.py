@@ -80,6 +80,17 @@ def row_key(*cols: str):
     return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
 
 
+def packed(docs: DataFrame, *used: str):
+    """``docs`` as the columns ``used`` and one struct, ``row``, of all others,
+    so that no working column can clash with them, and a function that gives
+    a column of ``docs`` back by its name."""
+    others = [c for c in docs.columns if c not in used]
+    row = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    places = {c: f"c{i}" for i, c in enumerate(others)}
+    return (docs.select(*used, row.alias("row")),
+            lambda c: F.col(c) if c in used else F.col("row")[places[c]].alias(c))
+
+
 HOT_KEYS = 1000
 
 

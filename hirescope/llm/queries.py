@@ -101,16 +101,29 @@ lines AS (
   SELECT doc_id, line_no,
     string_split(trim(regexp_replace(regexp_replace(line, '[^ \t\r\f\x0B]*[0-9@][^ \t\r\f\x0B]*', '<*>', 'g'),
       '[ \t\r\f\x0B]+', ' ', 'g'), ' '), ' ') AS w FROM raw),
-bands AS (
-  SELECT i, {lines.LEAD_TOKENS} AS lead FROM range({lines.BANDS}) t(i)),
+nodes AS (
+  SELECT doc_id, line_no, w, len(w) AS n, w[:{lines.LEAD_TOKENS}] AS lead FROM lines WHERE len(w) >= {lines.MIN_TOKENS}),
+variants AS (
+  SELECT DISTINCT w, n, lead FROM nodes WHERE n >= {lines.VARIABLE_TOKENS}),
+totals AS (
+  SELECT n, lead, count(*) AS variants FROM variants GROUP BY ALL),
+tokens AS (
+  SELECT w, n, lead, unnest(w[{lines.LEAD_TOKENS + 1}:]) AS token, unnest(range({lines.LEAD_TOKENS}, n)) AS place FROM variants),
+held AS (
+  SELECT n, lead, place, token, count(*) AS c FROM tokens GROUP BY ALL),
+patterns AS (
+  SELECT w, n, lead,
+    list(CASE WHEN c > 1 AND 2 * c >= variants THEN [token] ELSE [] END ORDER BY place) AS often,
+    list(CASE WHEN c > 1 THEN [token] ELSE [] END ORDER BY place) AS every
+  FROM tokens JOIN held USING (n, lead, place, token) JOIN totals USING (n, lead) GROUP BY ALL),
+chosen AS (
+  SELECT w, CASE
+    WHEN 100 * ({lines.LEAD_TOKENS} + len(flatten(often))) >= {lines.CONSTANT_PERCENT} * n THEN lead::VARCHAR || 'often' || often::VARCHAR
+    WHEN 100 * ({lines.LEAD_TOKENS} + len(flatten(every))) >= {lines.CONSTANT_PERCENT} * n THEN lead::VARCHAR || 'every' || every::VARCHAR
+    END AS leaf
+  FROM patterns),
 placed AS (
-  SELECT doc_id, line_no, len(w) AS n, w AS leaf FROM lines
-  WHERE len(w) >= {lines.MIN_TOKENS} AND len(w) < {lines.BAND_TOKENS}
-  UNION ALL
-  SELECT doc_id, line_no, len(w),
-    [i::VARCHAR] || w[1:lead + (len(w) - lead) * i // {lines.BANDS}] || ['', len(w)::VARCHAR]
-      || w[lead + (len(w) - lead) * (i + 1) // {lines.BANDS} + 1:]
-  FROM lines, bands WHERE len(w) >= {lines.BAND_TOKENS}),
+  SELECT doc_id, line_no, n, coalesce(leaf, w::VARCHAR) AS leaf FROM nodes LEFT JOIN chosen USING (w)),
 recurring AS (
   SELECT leaf, min(doc_id) AS keeper FROM placed GROUP BY leaf
   HAVING count(DISTINCT doc_id) >= CASE WHEN max(n) >= {lines.LONG_TOKENS}
