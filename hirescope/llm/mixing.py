@@ -26,7 +26,8 @@ without a target weight, or of weight 0, comes after all others (with
 ``period``: gets one block a period); without a weight for any source all are
 equal; rows equal in all columns take neighbouring places; NULL or empty texts
 are placed like others; an empty table gives an empty result; other columns
-are kept. Weights that are negative, not finite or all zero, or more sources
+are kept, whatever their names (but for the three added, which replace columns
+so named). Weights that are negative, not finite or all zero, or more sources
 than a given period has slots, raise a ValueError.
 """
 
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hirescope.llm.common import stored
+from hirescope.llm.common import packed, stored
 
 BLOCK_DOCS = 16
 PERIOD = 1000
@@ -223,9 +224,9 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
     n = {r["source"]: r["n"] for r in (sizes if period is None else sizes.limit(period + 1)).collect()}
     if weights is None:
         weights = {s: k**temperature for s, k in n.items()}
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("_slot", "_place", "_on_target")]
     if not n:
-        return docs.select("*", F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("int").alias("_place"),
+        return docs.select(*names, F.lit(0).cast("long").alias("_slot"), F.lit(0).cast("int").alias("_place"),
                            F.lit(True).alias("_on_target"))
     if period is not None and len(n) > period:
         raise ValueError(f"more sources than a period has slots ({period})")
@@ -240,7 +241,8 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
     # A random but repeatable order: parts of a source by one hash, rows of a
     # part by another. The number of parts grows with the source.
     name = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    keyed = docs.withColumn("_s", name).join(per_source, "_s").withColumn(
+    rows, column = packed(docs, "doc_id", "text", "source")
+    keyed = rows.withColumn("_s", name).join(per_source, "_s").withColumn(
         "_h", F.xxhash64(F.lit(seed), "doc_id", "text")).withColumn("_part", F.pmod("_h", F.col("_parts")).cast("int"))
     counts = keyed.groupBy("_k", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -272,5 +274,5 @@ def mixed(docs: DataFrame, weights: dict | None = None, block_docs: int = BLOCK_
         placed = ranked.join(offsets, ["_k", "_part"]).join(counted, "_k").withColumn(
             "_i", F.pmod(block, "_blocks").cast("int")).join(per_block, ["_k", "_i"])
         slot = F.expr(f"((_rank + _offset) div {block_docs} div _blocks) * {period} + _at")
-    return placed.select(*names, slot.alias("_slot"), (rank % block_docs).cast("int").alias("_place"),
+    return placed.select(*map(column, names), slot.alias("_slot"), (rank % block_docs).cast("int").alias("_place"),
                          (slot < first_empty).alias("_on_target"))

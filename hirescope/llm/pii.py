@@ -13,12 +13,15 @@ Nothing is shuffled: each text is cut at the matches and put together again.
 Defined results: NULL text stays NULL, empty text empty; candidates that fail
 validation (a 16-digit number that is no card, 2024-02-31) stay as they are;
 a repeated row gets a repeated result; an empty table gives an empty result;
-other columns are kept by ``pseudonymised``.
+a text of any length is read whole; other columns are kept by
+``pseudonymised``, whatever their names (but ``_found``, which it replaces).
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirescope.llm.common import packed
+
 ROUNDS = 8
 # Dates are permuted among the days of these years.
 FIRST_DAY, DAYS = "1900-01-01", 73049  # to 2099-12-31
@@ -212,11 +215,12 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, with_values: bool = False) -> DataFrame:
     """``docs`` (all columns) with pseudonyms in ``text``, and ``_found``: an
-    array of ``(kind, value, pseudonym)`` in the order of the text."""
-    names = docs.columns
-    cut = docs.withColumn("_m", F.when(F.col("text").rlike("[0-9@=:]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    array of ``(kind, pseudonym)`` in the order of the text; ``with_values``
+    puts the raw value between the two, which is personal data."""
+    rows, column = packed(docs, "text")
+    cut = rows.withColumn("_m", F.when(F.col("text").rlike("[0-9@=:]"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
                           .otherwise(F.array().cast("array<string>")))
     kinds = F.array(*map(F.lit, KINDS))
     found = F.size("_m") > 0
@@ -230,6 +234,8 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
         F.slice("_g", 1, F.size("_p")), F.transform("_p", lambda p: F.coalesce(p["pseudonym"], p["value"])),
         lambda g, p: F.concat(g, p)), ""), F.element_at("_g", -1))
     text = F.when(F.col("_p").isNull(), F.col("text")).otherwise(joined)
-    none = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
-    replaced = F.coalesce(F.filter("_p", lambda p: p["pseudonym"].isNotNull()), none)
-    return cut.select(*[text.alias(c) if c == "text" else F.col(c) for c in names], replaced.alias("_found"))
+    fields = ["kind", "value", "pseudonym"] if with_values else ["kind", "pseudonym"]
+    none = F.array().cast(f"array<struct<{','.join(f'{f}:string' for f in fields)}>>")
+    replaced = F.transform(F.filter("_p", lambda p: p["pseudonym"].isNotNull()), lambda p: F.struct(*[p[f].alias(f) for f in fields]))
+    return cut.select(*[text.alias(c) if c == "text" else column(c) for c in docs.columns if c != "_found"],
+                      F.coalesce(replaced, none).alias("_found"))

@@ -4,6 +4,7 @@ import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from hirescope.llm import mixing
 
@@ -137,3 +138,13 @@ def test_more_sources_than_a_thousand_and_sources_of_weight_zero(spark):
     got = mixing.mixed(df, {"s0": 2, "s1": 1, "s2": 0}).collect()
     last = max(r["_slot"] for r in got if r["source"] in ("s0", "s1"))
     assert len(got) == 4500 and all(r["_slot"] > last for r in got if r["source"] not in ("s0", "s1"))
+
+
+def test_other_columns_come_back_whatever_their_names(spark):
+    names = ["_s", "_k", "_parts", "_h", "_part", "_n", "_offset", "_rank", "_slots", "_first", "_block", "_i", "_at", "_blocks", "row"]
+    rows = [(i, "", f"s{i % 2}", *[f"{c} {i}" for c in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for period in (None, 4):
+        out = mixing.mixed(df.withColumn("_slot", F.lit("old")), block_docs=2, period=period)
+        assert out.columns == ["doc_id", "text", "source", *names, "_slot", "_place", "_on_target"]
+        assert sorted(tuple(r)[:-3] for r in out.collect()) == rows

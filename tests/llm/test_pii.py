@@ -96,7 +96,17 @@ def test_long_secrets_and_key_words_in_any_case(spark):
     out = run(spark, [f"{k}{long} end" for k in keys])
     for k, r in zip(keys, out):
         assert r["text"] == f"{k}{brute_text(long, 'secret')} end"
-        assert [(p["kind"], p["value"]) for p in r["_found"]] == [("secret", k + long)]
+        assert [(p["kind"], p["pseudonym"]) for p in r["_found"]] == [("secret", r["text"][:-4])]
+
+
+def test_raw_values_come_back_only_when_asked_for(spark):
+    text, names = "mail bob@mail.example.com", ["_m", "_k", "_g", "_p", "row", "_"]
+    df = spark.createDataFrame([(text, *[f"{c} own" for c in names])], "text string, " + ", ".join(f"`{c}` string" for c in names))
+    row = pii.pseudonymised(df.withColumn("_found", F.lit("old")), KEY).collect()[0]
+    assert row.asDict().keys() == {"text", *names, "_found"} and [row[c] for c in names] == [f"{c} own" for c in names]
+    assert "bob@mail" not in str(row) and [p["kind"] for p in row["_found"]] == ["email"]
+    row = pii.pseudonymised(df, KEY, with_values=True).collect()[0]
+    assert [(p["value"], p["pseudonym"]) for p in row["_found"]] == [("bob@mail.example.com", row["text"][5:])]
 
 
 def test_what_fails_validation_stays(spark):
