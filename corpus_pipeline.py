@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from hirescope.llm import bpe, lines, minhash, mixing, toxicity
-from hirescope.llm.common import row_key, stored, table
+from hirescope.llm.common import packed, row_key, stored, table
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -29,12 +29,16 @@ def drop_toxic(spark, docs, sf_dir):
 def drop_recurring_lines(spark, docs, sf_dir):
     """Texts that had words and have none left were repeats in whole and go;
     texts without words before stay as they are."""
-    left = lines.without_recurring_lines(docs)
+    rows, column = packed(docs, "doc_id", "text")
+    left = lines.without_recurring_lines(rows)
     emptied = (F.col("_n_dropped") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^ \t\r\n\f\x0B]")
-    if "n_chars" in docs.columns:
-        shorter = F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        left = left.withColumn("n_chars", shorter.otherwise(F.col("n_chars")))
-    return left.where(~emptied).select(*docs.columns)
+
+    def value(c):
+        if c != "n_chars":
+            return column(c)
+        shorter = F.length("text").cast(docs.schema[c].dataType)
+        return F.when(F.col("_n_dropped") > 0, shorter).otherwise(column(c)).alias(c)
+    return left.where(~emptied).select(*map(value, docs.columns))
 
 
 def keep_one_of_near_copies(spark, docs, sf_dir):
@@ -42,17 +46,20 @@ def keep_one_of_near_copies(spark, docs, sf_dir):
     text are one. Rows without doc_id or words have no copies and stay."""
     found = minhash.near_duplicates(docs)
     # One row of each group, should several share its smallest doc_id.
-    single = found.where("kept and component_id is not null").groupBy("component_id").agg(
-        F.min("row_key").alias("_key")).select("_key")
-    unnamed = found.where("doc_id is null").select(F.col("row_key").alias("_key"))
+    single = found.where("kept and component_id is not null").groupBy("component_id").agg(F.min("row_key").alias("_is"))
+    unnamed = found.where("doc_id is null").select(F.col("doc_id").alias("component_id"), F.col("row_key").alias("_is"))
     keys = single.union(unnamed).distinct()
-    kept = docs.withColumn("_key", row_key("doc_id", "text")).join(keys, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    rows, column = packed(docs, "doc_id", "text")
+    rows = rows.withColumn("_key", row_key("doc_id", "text"))
+    same = (rows["_key"] == keys["_is"]) & rows["doc_id"].eqNullSafe(keys["component_id"])
+    kept = rows.join(keys, same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return kept.select(*map(column, docs.columns))
 
 
 def interleave_sources(spark, docs, sf_dir):
-    placed = mixing.mixed(docs).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
-    return placed.select(*docs.columns)
+    rows, column = packed(docs, "doc_id", "text", "source")
+    placed = mixing.mixed(rows).repartitionByRange("_slot", "_place").sortWithinPartitions("_slot", "_place")
+    return placed.select(*map(column, docs.columns))
 
 
 def written_order(docs):
