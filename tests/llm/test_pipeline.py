@@ -65,6 +65,16 @@ def test_run_carries_the_order_of_the_mixing_stage(spark, monkeypatch):
     assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
 
 
+def test_stages_keep_the_values_of_other_columns(spark):
+    names = ["_key", "_dropped", "_n_dropped", "_n_lines", "_slot", "_place", "_k", "_is", "row", "row_key", "component_id", "kept", "score"]
+    docs = spark.createDataFrame([(i, f"text of its own {chr(97 + i) * 3}", "s", *[f"{c} {i}" for c in names]) for i in range(4)],
+                                 "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in cp.STAGES[1:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        assert _rows(out) == _rows(docs), name
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, class int"
 
 
