@@ -21,6 +21,7 @@ from pyspark.sql import SparkSession
 from hirescope.plans.project import build_all
 from hirescope.plans.snapshots import keyword_snapshot
 from hirescope.sources.readers import (
+    newest_partition_date,
     read_descriptions_raw,
     read_keyword_snapshots,
     read_postings_raw,
@@ -111,6 +112,7 @@ def main(argv=None) -> int:
             select=set(args.select) if args.select else None,
             catalog=args.catalog,
             spark=spark,
+            newest_date=newest_partition_date(spark, args.keyword_snapshots) if "keyword_latest" in wanted else None,
         )
         for name in tables:
             print(f"built {name}")

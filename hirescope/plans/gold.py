@@ -1,5 +1,7 @@
 """Gold models: experience distribution and keyword shares."""
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +76,8 @@ def _with_share(snapshots: DataFrame, silver: DataFrame | None, total: int | Dat
 
 
 def keyword_latest(snapshots: DataFrame, silver: DataFrame | None, noise=NOISE_TERMS,
-                   ordered: bool = True, total: int | DataFrame | None = None) -> DataFrame:
+                   ordered: bool = True, total: int | DataFrame | None = None,
+                   newest_date: dt.date | None = None) -> DataFrame:
     """M4: keyword shares on the newest snapshot date.
 
     Sorted by count descending as in the source; ``keyword`` breaks ties.
@@ -84,9 +87,11 @@ def keyword_latest(snapshots: DataFrame, silver: DataFrame | None, noise=NOISE_T
 
     The newest date is taken before the noise filter, so the result is empty
     when that day holds only noise. Shares divide by today's described
-    postings, so they are not bounded by 100.
+    postings, so they are not bounded by 100. ``newest_date`` is that date if it
+    is known from the partitions (``sources.newest_partition_date``): no row is
+    read to find it, and the scan is pruned when it is planned.
     """
-    latest = latest_snapshot_date(snapshots).scalar()
+    latest = latest_snapshot_date(snapshots).scalar() if newest_date is None else F.lit(newest_date)
     rows = signal_keywords(snapshots.where(F.col("snapshot_date") == latest), noise)
     out = _with_share(rows, silver, total).select("keyword", "posting_count", "snapshot_date", "pct")
     return out.orderBy(F.col("posting_count").desc(), "keyword") if ordered else out

@@ -1,6 +1,7 @@
 """Source tables: declared schemas, readers, test-table bindings and sinks."""
 
 from hirescope.sources.readers import (
+    newest_partition_date,
     read_descriptions_raw,
     read_keyword_snapshots,
     read_noise_terms,
@@ -21,6 +22,7 @@ __all__ = [
     "NOISE_TABLE",
     "POSTINGS_RAW",
     "conform",
+    "newest_partition_date",
     "read_descriptions_raw",
     "read_keyword_snapshots",
     "read_noise_terms",

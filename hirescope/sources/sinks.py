@@ -66,16 +66,31 @@ def publish(df: DataFrame, schema: str, table: str, path: str | None = None) ->
     """
     spark = df.sparkSession
     name = f"{quoted(schema)}.{quoted(table)}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
     if not _session_catalog(name):
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
         df.writeTo(name).createOrReplace()
         return spark.read.table(name)
+    return point_at(spark, schema, table, write_version(df, schema, table, path))
+
+
+def write_version(df: DataFrame, schema: str, table: str, path: str | None = None) -> str:
+    """Write ``df`` to a new version folder of a table of the session catalog,
+    which no reader sees yet, and return the folder."""
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(schema)}")
     if path is None:
         described = spark.sql(f"DESCRIBE DATABASE {quoted(schema)}").collect()
         root = next(r[1] for r in described if r[0] == "Location")
         path = f"{root.rstrip('/')}/{table}__versions"
     version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
     df.write.parquet(version)
+    return version
+
+
+def point_at(spark: SparkSession, schema: str, table: str, version: str) -> DataFrame:
+    """Point a table of the session catalog at a version folder; the version
+    before stays, the one before that goes."""
+    name = f"{quoted(schema)}.{quoted(table)}"
     stored = spark.read.parquet(version).schema
     before = _table_properties(spark, name)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stored.fields)
@@ -94,6 +109,38 @@ def publish(df: DataFrame, schema: str, table: str, path: str | None = None) ->
     return spark.read.table(name)
 
 
+BUILD_TABLE = "hirescope_build"
+
+
+def commit_build(spark: SparkSession, versions: dict[str, tuple[str, str, str]], target_schema: str) -> None:
+    """Make the versions of one build, ``{model: (schema, table, folder)}``,
+    the ones readers see.
+
+    The manifest, ``target_schema``.``BUILD_TABLE`` with one row per model,
+    is switched first, by one statement: ``read_build`` sees all models of the
+    old build or all of the new one. The tables follow, one by one; should
+    that fail half-way, the manifest names stored versions all the same, as a
+    table gives up a version only at the second switch after it. Models that
+    this build leaves out keep their row.
+    """
+    if not versions:
+        return
+    rows = {m: (m, schema, table, folder) for m, (schema, table, folder) in versions.items()}
+    name = f"{quoted(target_schema)}.{quoted(BUILD_TABLE)}"
+    if spark.catalog.tableExists(name):
+        rows = {r["model"]: tuple(r) for r in spark.read.table(name).collect()} | rows
+    manifest = spark.createDataFrame(list(rows.values()), "model string, schema string, table string, version string")
+    publish(manifest.coalesce(1), target_schema, BUILD_TABLE)
+    for schema, table, folder in versions.values():
+        point_at(spark, schema, table, folder)
+
+
+def read_build(spark: SparkSession, target_schema: str = "default") -> dict[str, DataFrame]:
+    """The stored models as one build left them, whatever is being switched."""
+    rows = spark.read.table(f"{quoted(target_schema)}.{quoted(BUILD_TABLE)}").collect()
+    return {r["model"]: spark.read.parquet(r["version"]) for r in rows}
+
+
 def _table_properties(spark: SparkSession, name: str) -> dict | None:
     """Location, kind and previous version of a table; None if there is none."""
     if not spark.catalog.tableExists(name):

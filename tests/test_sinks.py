@@ -204,3 +204,68 @@ def test_staged_folders_go(spark):
     assert os.path.isdir(folder)
     assert release_staged(spark) >= 1
     assert not os.path.exists(os.path.dirname(folder))
+
+
+def test_a_build_that_fails_at_any_model_leaves_the_set_as_it_was(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from hirescope.plans import project
+    from hirescope.sources import sinks
+    root = tempfile.mkdtemp(prefix="hs-set-")
+    raw, desc, snaps = postings_df(spark), descriptions_df(spark), snapshots_df(spark)
+    own = dict.fromkeys(MODEL_TABLES, "hs_set")
+    build = lambda raw=raw: plans.build_all(
+        raw, desc, snaps, target_schema="hs_set", location_root=root, custom_schemas=own)
+    rows = lambda d: {m: sorted(map(str, df.collect())) for m, df in d.items()}
+    first = rows(build())
+    assert rows(sinks.read_build(spark, "hs_set")) == first and set(first) == set(MODEL_TABLES)
+    count = lambda: sum("v-" in x for _, dirs, _ in os.walk(root) for x in dirs)
+    folders = count()
+    other = raw.where("job_url is not null").limit(2)
+
+    def broken(*args, **kwargs):
+        raise RuntimeError("broken")
+    tables = lambda: rows({m: spark.read.table(f"hs_set.{t}") for m, (_, t) in MODEL_TABLES.items()})
+    for model in MODEL_TABLES:
+        with monkeypatch.context() as m, pytest.raises(RuntimeError, match="broken"):
+            m.setattr(project, model, broken)
+            build(other)
+        assert rows(sinks.read_build(spark, "hs_set")) == first == tables() and count() == folders, model
+    # The switch of a table fails: the manifest is one build as a whole, also
+    # after the builds that follow.
+    for _ in range(3):
+        switch, done = sinks.point_at, []
+        with monkeypatch.context() as m, pytest.raises(RuntimeError, match="broken"):
+            m.setattr(sinks, "point_at", lambda *a: broken() if len(done) > 2 else done.append(a) or switch(*a))
+            build(other)
+        second = rows(sinks.read_build(spark, "hs_set"))
+        assert second != first and len(second["silver_postings"]) == len(second["experience_requirements"])
+    again = rows(build(other))
+    assert again == second == rows(sinks.read_build(spark, "hs_set")) == tables()
+
+
+def test_newest_date_comes_from_the_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from hirescope.sources import newest_partition_date, read_keyword_snapshots
+    root = tempfile.mkdtemp(prefix="hs-newest-")
+    schema = snapshots_df(spark).schema
+    day = lambda n: spark.createDataFrame([("python", n, n and dt.date(2026, 1, n))], schema)
+    for n in (3, 1, 2):
+        write_snapshot(day(n), f"{root}/s")
+    write_snapshot(day(None), f"{root}/s")
+    assert newest_partition_date(spark, f"{root}/s") == dt.date(2026, 1, 3)
+    # A partition without rows has no say, nor has a table that is laid out otherwise or empty.
+    day(9).drop("snapshot_date").limit(0).write.parquet(f"{root}/s/snapshot_date=2026-01-09")
+    assert newest_partition_date(spark, f"{root}/s") == dt.date(2026, 1, 3)
+    day(1).write.parquet(f"{root}/flat")
+    assert newest_partition_date(spark, f"{root}/flat") is None
+    snaps = read_keyword_snapshots(spark, f"{root}/s")
+    total = spark.createDataFrame([(4,)], "total_postings long")
+    known = plans.keyword_latest(snaps, None, total=total, newest_date=dt.date(2026, 1, 3))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "max(" not in plan and plan.count("FileScan parquet") == 1 and "PartitionFilters: [isnotnull(snapshot_date" in plan
+    assert known.collect() == plans.keyword_latest(snaps, None, total=total).collect()
+    assert known.select(F.max("snapshot_date")).first()[0] == dt.date(2026, 1, 3)
