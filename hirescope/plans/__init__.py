@@ -8,6 +8,8 @@ from hirescope.plans.gold import (
     keyword_trends,
     latest_snapshot_date,
     signal_keywords,
+    store_trends,
+    stored_trends,
 )
 from hirescope.plans.project import build_all
 from hirescope.plans.snapshots import (
@@ -26,6 +28,7 @@ from hirescope.plans.silver import (
     year_mentions,
     min_years_per_posting,
 )
+from hirescope.plans.totals import keep_described, kept_described_total
 
 __all__ = [
     "build_all",
@@ -34,6 +37,8 @@ __all__ = [
     "described_total",
     "experience_distribution",
     "experience_requirements",
+    "keep_described",
+    "kept_described_total",
     "keyword_latest",
     "keyword_snapshot",
     "keyword_snapshot_after",
@@ -46,6 +51,8 @@ __all__ = [
     "postings_with_dates",
     "signal_keywords",
     "silver_postings",
+    "store_trends",
+    "stored_trends",
     "with_descriptions",
     "year_mentions",
 ]

@@ -2,13 +2,14 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirescope.functions.experience import band_rank, experience_band
 from hirescope.functions.noise import NOISE_TERMS, is_long_enough, is_signal_keyword
 from hirescope.functions.shares import share_pct
 from hirescope.operators.aggregates import count_share_by, distinct_count, max_value
+from hirescope.sources.clustered import ROWS_PER_FILE, read_clustered, write_clustered
 
 
 def experience_distribution(requirements: DataFrame, ordered: bool = True) -> DataFrame:
@@ -34,12 +35,17 @@ def described_total(silver: DataFrame) -> DataFrame:
     )
 
 
+def described_rows(descriptions_raw: DataFrame) -> DataFrame:
+    """Descriptions that count: status ``ok`` and a text."""
+    return descriptions_raw.where((F.col("fetch_status") == "ok") & F.col("description_text").isNotNull())
+
+
 def described_postings(postings_raw: DataFrame, descriptions_raw: DataFrame) -> DataFrame:
     """``described_total`` from the raw tables: distinct postings that have an
     ``ok`` description with a text. Neither the newest scrape of a posting nor
     the fan-out of its descriptions changes that number, so no window runs and
     no text is joined."""
-    described = descriptions_raw.where((F.col("fetch_status") == "ok") & F.col("description_text").isNotNull()).select("job_url")
+    described = described_rows(descriptions_raw).select("job_url")
     keys = postings_raw.select("job_url").distinct()
     return keys.join(described, "job_url", "left_semi").agg(F.count(F.lit(1)).alias("total_postings"))
 
@@ -108,3 +114,18 @@ def keyword_trends(snapshots: DataFrame, silver: DataFrame | None, noise=NOISE_T
     rows = signal_keywords(snapshots, noise)
     out = _with_share(rows, silver, total).select("keyword", "snapshot_date", "posting_count", "pct")
     return out.orderBy("snapshot_date", F.col("posting_count").desc(), "keyword") if ordered else out
+
+
+def store_trends(trends: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """M5 stored so that a span of dates and a range of keywords each lead to a
+    few files: months apart, keywords sorted inside a month. Readers that want
+    the report's order sort again, as after any write."""
+    month = F.trunc("snapshot_date", "month")
+    write_clustered(trends, folder, [month, "keyword", "snapshot_date"], ["snapshot_date", "keyword"], rows_per_file)
+
+
+def stored_trends(spark: SparkSession, folder: str, keywords: tuple = (None, None), dates: tuple = (None, None)) -> DataFrame:
+    """Stored M5 rows of keywords and dates from the first to before the second
+    of each pair (None: open); of the rest no file is opened."""
+    asked = {"keyword": keywords, "snapshot_date": dates}
+    return read_clustered(spark, folder, {c: r for c, r in asked.items() if r != (None, None)})

@@ -1,0 +1,68 @@
+"""Clustered storage: whole results, and files opened for a range only."""
+
+import datetime as dt
+
+import pytest
+
+from hirescope import plans
+from hirescope.sources.clustered import read_clustered, write_clustered
+
+TRENDS = "keyword string, snapshot_date date, posting_count long, pct double"
+DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(120)]
+
+
+@pytest.fixture(scope="module")
+def trends(spark, tmp_path_factory):
+    rows = [(f"k{k:03}", day, k % 7, 1.0) for k in range(100) for day in DAYS]
+    folder = str(tmp_path_factory.mktemp("trends") / "t")
+    plans.store_trends(spark.createDataFrame(rows, TRENDS), folder, rows_per_file=500)
+    return folder, rows
+
+
+def _read(spark, folder, **asked):
+    out = plans.stored_trends(spark, folder, **asked)
+    return sorted(map(tuple, out.collect()), key=str), set(out.inputFiles())
+
+
+def test_keyword_and_date_ranges_open_few_files(spark, trends):
+    folder, rows = trends
+    every, files = _read(spark, folder)
+    assert every == sorted(rows, key=str) and len(files) >= 24
+    got, opened = _read(spark, folder, keywords=("k042", "k043"))
+    assert got == [r for r in sorted(rows, key=str) if r[0] == "k042"]
+    # Two files at most for each of the four months, should its rows meet a boundary.
+    assert opened < files and len(opened) <= 8
+    got, opened = _read(spark, folder, dates=(dt.date(2024, 2, 10), dt.date(2024, 2, 12)))
+    assert got == [r for r in sorted(rows, key=str) if dt.date(2024, 2, 10) <= r[1] < dt.date(2024, 2, 12)]
+    assert len(opened) <= len(files) / 2
+    got, opened = _read(spark, folder, keywords=("k042", "k043"), dates=(dt.date(2024, 2, 10), None))
+    assert got == [r for r in sorted(rows, key=str) if r[0] == "k042" and r[1] >= dt.date(2024, 2, 10)] and len(opened) <= 6
+    assert _read(spark, folder, keywords=("z", None))[0] == []
+
+
+def test_bounds_are_those_of_the_rows(spark, trends):
+    folder, _ = trends
+    for row in spark.read.parquet(f"{folder}/bounds").collect():
+        held = spark.read.parquet(f"{folder}/rows/{row['file']}").selectExpr(
+            "min(snapshot_date)", "max(snapshot_date)", "min(keyword)", "max(keyword)").first()
+        assert tuple(held) == tuple(row[c] for c in ("low_0", "high_0", "low_1", "high_1"))
+
+
+def test_edge_rows(spark, tmp_path):
+    rows = [("a", None, 1, None), (None, DAYS[0], 2, None), (None, None, None, None), ("a", DAYS[0], 1, 1.0), ("a", DAYS[0], 1, 1.0)]
+    plans.store_trends(spark.createDataFrame(rows, TRENDS), str(tmp_path / "t"), rows_per_file=1)
+    assert _read(spark, str(tmp_path / "t"))[0] == sorted(rows, key=str)
+    assert len(plans.stored_trends(spark, str(tmp_path / "t"), keywords=("a", None)).collect()) == 3
+    got = plans.stored_trends(spark, str(tmp_path / "t"), keywords=("a", None), dates=(None, DAYS[1])).collect()
+    assert [tuple(r) for r in got] == rows[3:]
+    plans.store_trends(spark.createDataFrame([], TRENDS), str(tmp_path / "none"))
+    for asked in ({}, {"keywords": ("a", "b")}):
+        out = plans.stored_trends(spark, str(tmp_path / "none"), **asked)
+        assert out.count() == 0 and out.columns == ["keyword", "snapshot_date", "posting_count", "pct"]
+
+
+def test_columns_named_like_the_bounds(spark, tmp_path):
+    df = spark.createDataFrame([("f", "b", 1), ("g", "c", 2)], "file string, low_0 string, bounded int")
+    write_clustered(df, str(tmp_path / "t"), ["file"], ["file", "low_0"], rows_per_file=1)
+    got = read_clustered(spark, str(tmp_path / "t"), {"low_0": ("c", None), "bounded": (0, 5)})
+    assert [tuple(r) for r in got.collect()] == [("g", "c", 2)] and len(got.inputFiles()) == 1

@@ -10,7 +10,7 @@ from hirescope.sources import bindings
 
 SF = "/root/testdata/sf0.01"
 # Registered queries whose construction writes files first (staging, publishing, streaming).
-_EAGER = {"publish_table", "postings_latest_stream", "silver_postings_stream", "snapshot_append"}
+_EAGER = {"described_total_kept", "keyword_trends_stored", "publish_table", "postings_latest_stream", "silver_postings_stream", "snapshot_append"}
 # The training-data queries have checks of their own.
 _OWN = set(E.queries()) - (set() if E.llm_queries is None else {*E.llm_queries.queries(), "pipeline"}) - _EAGER
 
