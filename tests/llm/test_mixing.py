@@ -94,21 +94,95 @@ def _weights(kind, rng):
     return [rng.random() ** 3 + 1e-3 for _ in range(rng.randint(1, 25))]
 
 
+def ideal(rates, blocks):
+    """Blocks through in all, and of each source, at each boundary of the ideal
+    run: sources side by side, until each has no block left."""
+    def at(time):
+        each = [min(a * time, b) for a, b in zip(rates, blocks)]
+        return sum(each), each
+    return at
+
+
+def windows(rates, blocks):
+    at = ideal(rates, blocks)
+    return [(-(-at(Fraction(j, a))[0] // 1), s, j, at(Fraction(j - 1, a))[0] // 1)
+            for s, (a, b) in enumerate(zip(rates, blocks)) for j in range(1, b + 1)]
+
+
+def reached(rates, blocks, slot):
+    """What each source has of the first ``slot`` blocks in the ideal run."""
+    at, done, left = ideal(rates, blocks), Fraction(0), set(range(len(rates)))
+    for time in sorted({Fraction(b, a) for a, b in zip(rates, blocks)}):
+        total, each = at(time)
+        if total >= slot:
+            return [each[s] - (total - slot) * Fraction(rates[s], sum(rates[x] for x in left)) if s in left else each[s]
+                    for s in range(len(rates))]
+        left -= {s for s in left if each[s] == blocks[s]}
+    return blocks
+
+
 @pytest.mark.parametrize("kind", ["twenty", "many", *range(12)])
-def test_segments_keep_to_the_weights_given(kind):
-    weights = _weights(kind, random.Random(str(kind)))
-    rates = mixing.whole_rates(weights)
-    assert all(Fraction(a, sum(rates)) == Fraction(w) / sum(map(Fraction, weights)) for a, w in zip(rates, weights))
-    slots, total = mixing._longest(rates), sum(rates)
-    stop = slots * 5 + 7
-    out = [x for k in range(6) for x in mixing.segment(rates, k, slots, stop)]
-    assert [slot for _, _, slot in out] == list(range(stop))
+def test_segments_keep_to_the_weights_given_to_the_last_block(kind):
+    rng = random.Random(str(kind))
+    weights = _weights(kind, rng)[:60]
+    rates = [max(1, int(Fraction(w) / sum(map(Fraction, weights)) * 2**60)) for w in weights]
+    # Sources end at any time, some at their first block.
+    blocks = [rng.choice([1, rng.randint(1, 9), int(20 * w / max(weights)) + 1]) for w in weights]
+    jobs = windows(rates, blocks)
+    stop, longest = len(jobs), max(j[0] - j[3] for j in jobs)
+    slots = max(1, longest)
+    ended = {cut: sum(j[0] <= cut for j in jobs) for cut in range(0, stop + slots, slots)} | {stop: stop}
+    out = [x for k in range(-(-stop // slots))
+           for x in mixing.segment([j for j in jobs if j[3] < (k + 1) * slots and j[0] > k * slots - longest],
+                                   k, slots, stop, ended, longest)]
+    assert [slot for _, slot in out] == list(range(stop)) and sorted(j for j, _ in out) == sorted(jobs)
     run = [0] * len(rates)
-    for s, block, slot in out:
-        assert block == run[s] and block * total // rates[s] <= slot < -(-(block + 1) * total // rates[s])
+    for (deadline, s, block, release), slot in out:
+        assert block == run[s] + 1 and release <= slot < deadline
         run[s] += 1
-    # Deadlines met and none early: less than one block at every slot.
-    assert all(abs(r * total - a * stop) < total for r, a in zip(run, rates))
+        assert all(abs(r - x) < 1 for r, x in zip(run, reached(rates, blocks, slot + 1)))
+
+
+def test_times_of_boundaries_sort_like_fractions():
+    rng = random.Random(3)
+    pairs = [(rng.randint(1, 2**40), rng.randint(1, 2**60)) for _ in range(300)] + [(3, 2**60), (3, 2**60 - 1), (6, 2**60), (3, 2**59)]
+    assert sorted(pairs, key=lambda p: (mixing.boundary_time(*p), p)) == sorted(pairs, key=lambda p: (Fraction(*p), p))
+
+
+@pytest.mark.parametrize("slots", [7, 20_000])
+def test_short_sources_and_what_follows_them_keep_to_the_weights(spark, monkeypatch, slots):
+    monkeypatch.setattr(mixing, "SEGMENT_SLOTS", slots)
+    monkeypatch.setattr(mixing, "CHUNK_BLOCKS", 13)
+    n = {"a": 700, "b": 700, "c": 350, "one": 1, "two": 2, None: 40, "none": 9}
+    weights = {"a": 4, "b": 2, "c": 1, "one": 1, "two": 3, None: 2}
+    rows = [(k * 1000 + i, "", s) for k, (s, size) in enumerate(n.items()) for i in range(size)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights, block_docs=3).collect()
+    assert sorted(r["doc_id"] for r in got) == [r[0] for r in rows]
+    places = {(r["_slot"], r["_place"]) for r in got}
+    assert len(places) == len(rows)
+    names, total = list(weights), sum(weights.values())
+    blocks = [-(-n[s] // 3) for s in names]
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r["_slot"], set()).add(r["source"])
+        assert r["_on_target"] == (r["source"] != "none")
+    assert sorted(by_slot) == list(range(sum(blocks) + 3)) and all(len(x) == 1 for x in by_slot.values())
+    run = dict.fromkeys(names, 0)
+    rates = [Fraction(weights[s], total) for s in names]
+    for slot in range(sum(blocks)):
+        run[by_slot[slot].pop()] += 1
+        assert all(abs(run[s] - x) < 1 for s, x in zip(names, reached(rates, blocks, slot + 1)))
+
+
+def test_a_source_of_one_document_leaves_the_others_on_target(spark):
+    rows = [(i, "", f"s{i % 3}") for i in range(30_000)] + [(30_000, "", "single")]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(got) == 30_001 and all(r["_on_target"] for r in got)
+    order = sorted((r["_slot"], r["source"]) for r in got if r["_place"] == 0)
+    run = dict.fromkeys(("s0", "s1", "s2", "single"), 0)
+    for _, source in order:
+        run[source] += 1
+        assert max(run[s] for s in ("s0", "s1", "s2")) - min(run[s] for s in ("s0", "s1", "s2")) < 2
 
 
 def test_deviation_from_the_weights_given_does_not_grow(spark, monkeypatch):
@@ -124,9 +198,13 @@ def test_deviation_from_the_weights_given_does_not_grow(spark, monkeypatch):
     run = dict.fromkeys(n, 0)
     for slot, source, on_target in order:
         run[source] += 1
-        if on_target:
+        assert on_target
+        # Until the first sources run out; then by what the weights give the others.
+        if slot < 11_900:
             assert all(abs(run[s] - w * (slot + 1)) < 1 for s, w in weights.items())
-    assert sum(x[2] for x in order) > 11_000
+        else:
+            want = reached(list(weights.values()), list(n.values()), slot + 1)
+            assert all(abs(run[s] - x) < 1 for s, x in zip(weights, want))
 
 
 def test_more_sources_than_a_thousand_and_sources_of_weight_zero(spark):
