@@ -26,9 +26,10 @@ def tokens(text: Column) -> Column:
 
 
 def _ngram_pattern(n: int) -> str:
-    # Zero-width match at every token start; the look-ahead captures the
-    # n tokens that follow, so overlapping n-grams are all returned.
-    return r"(?<![^ ])(?=([^ ]+" + r"(?: [^ ]+)" * (n - 1) + "))"
+    # The look-ahead captures the n tokens that begin here; what is consumed is
+    # the first of them with its blank, so the next match is tried at the next
+    # token. Nothing backtracks.
+    return r"(?=([^ ]++" + r"(?: [^ ]++)" * (n - 1) + "))[^ ]++ "
 
 
 def ngrams(text: Column, max_n: int = MAX_NGRAM) -> Column:

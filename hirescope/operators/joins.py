@@ -55,13 +55,22 @@ def rows_of_known_keys(right: DataFrame, known: DataFrame, key: str, bits: int =
     share of bits set (5 percent with 20 known keys per 400 bits). Repeated
     known keys need no dedup.
     """
+    mark = "__known"
+    return with_known_keys(right, known, key, mark, bits, "inner").where(F.col(mark)).select(*right.columns)
+
+
+def with_known_keys(rows: DataFrame, known: DataFrame, key: str, mark: str, bits: int = KEY_BITS,
+                    how: str = "left") -> DataFrame:
+    """``rows`` (NULL keys go) with the column ``mark``: true where the key may be
+    among ``known``'s, by the map of ``rows_of_known_keys``, else NULL. An inner
+    join drops rows far from any known key at once."""
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     bucket, at = F.floor(place / _MAP_BITS), (place % _MAP_BITS).cast("int")
     maps = known.where(F.col(key).isNotNull()).select(bucket.alias("__bucket"), at.alias("__bit")).groupBy("__bucket").agg(
         F.expr("bitmap_construct_agg(__bit)").alias("__map"))
-    placed = right.where(F.col(key).isNotNull()).withColumns({"__bucket": bucket, "__bit": at})
+    placed = rows.where(F.col(key).isNotNull()).withColumns({"__bucket": bucket, "__bit": at})
     is_set = F.expr("getbit(conv(hex(substring(__map, __bit div 8 + 1, 1)), 16, 10)::int, __bit % 8) = 1")
-    return placed.join(F.broadcast(maps), "__bucket").where(is_set).select(*right.columns)
+    return placed.join(F.broadcast(maps), "__bucket", how).select(*rows.columns, F.when(is_set, F.lit(True)).alias(mark))
 
 
 def fanout_left_join(left: DataFrame, right: DataFrame, key: str, bytes_per_task: int = HOT_BYTES_PER_TASK,

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirescope.functions.text import MAX_NGRAM, ngrams_of_normalized, normalized
+from hirescope.operators.joins import with_known_keys
 from hirescope.sources.sinks import stage
 
+# The n-grams of a text have several times its bytes, so they go to so many
+# times the session's number of shuffle partitions.
+GRAM_PARTITIONS = 4
+
 
 def vocabulary_terms(vocabulary: DataFrame) -> DataFrame:
     """Distinct terms of a ``keyword`` column, written as texts are (lower case,
@@ -30,12 +35,16 @@ def term_index(terms: DataFrame) -> DataFrame:
 
 
 def _described(silver: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """Normalized texts of postings, with a mark on postings of several rows."""
+    """Normalized texts of postings, with a mark on postings of several rows.
+
+    The mark comes from a bitmap of those postings, so no text is shuffled for
+    it. Some postings of one row may be marked too: they are then counted
+    distinct as well, which gives the same count."""
     rows = silver.where(F.col("job_url").isNotNull()).select("job_url", "description_text")
     keys = rows if keys is None else keys.where(F.col("job_url").isNotNull())
     repeated = (keys.select("job_url").groupBy("job_url").agg(F.count(F.lit(1)).alias("__rows"))
-                .where(F.col("__rows") > 1).select("job_url", F.lit(True).alias("__repeated")))
-    described = rows.where(F.col("description_text").isNotNull()).join(repeated, "job_url", "left")
+                .where(F.col("__rows") > 1))
+    described = with_known_keys(rows.where(F.col("description_text").isNotNull()), repeated, "job_url", "__repeated")
     return described.select("job_url", "__repeated", normalized(F.col("description_text")).alias("norm"))
 
 
@@ -66,11 +75,18 @@ def keyword_counts(silver: DataFrame, max_n: int = MAX_NGRAM, vocabulary: DataFr
     if vocabulary is None:
         grams = norm.select("job_url", "__repeated", F.explode(
             F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword"))
+        # Most n-grams are rare, so a map-side aggregate would hold nearly all of
+        # them, spill, and pass them on. They go to the task of their keyword as
+        # they are, once. A text has a keyword once, so a frequent one is no more
+        # than a row per text.
+        parts = GRAM_PARTITIONS * int(silver.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grams = grams.select("keyword", "__repeated", F.when(F.col("__repeated"), F.col("job_url")).alias("job_url"))
+        grams = grams.repartition(parts, "keyword")
     else:
         grams = _possible_grams(norm, vocabulary_terms(vocabulary))
     once = F.col("__repeated").isNull()
-    # Spark keys the partial aggregate on (keyword, job_url if repeated else
-    # NULL), so only repeated postings' pairs are shuffled as pairs.
+    # Spark keys the first aggregate on (keyword, job_url if repeated else
+    # NULL), so only repeated postings' pairs are kept as pairs.
     return grams.groupBy("keyword").agg(
         (F.count(F.when(once, F.lit(1))) + F.countDistinct(F.when(~once, F.col("job_url")))).alias("posting_count"))
 
@@ -86,11 +102,11 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
 
     Descriptions are meant to be one per posting, but one posting may have
     several. A posting of one row gives each (keyword, posting) pair once, so
-    it is counted plainly, and the partial aggregate ships one row per
-    keyword and task. Only postings of several rows need
-    ``count(DISTINCT job_url)``: they are marked by a left join to the keys
-    that repeat (counted over the key column alone, no text is read for it).
-    Both counts come from one aggregate, whatever the number of repeated keys.
+    it is counted plainly; only postings of several rows need
+    ``count(DISTINCT job_url)``: they are marked by a bitmap of the keys that
+    repeat (counted over the key column alone, no text is read for it).
+    Both counts come from one aggregate, whatever the number of repeated keys,
+    in the task that the keyword's n-grams are shuffled to.
     ``silver`` is read twice (its keys, its texts; with a vocabulary the texts
     twice), so pass the stored table; ``keys`` may name a cheaper frame with
     the same ``job_url`` rows for the first of them.
