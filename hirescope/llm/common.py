@@ -17,6 +17,8 @@ from hirescope.sources.sinks import stage
 SLICE_BYTES = 4 << 20
 # Bytes of a record batch on its way to Python code, while a table is written.
 BATCH_BYTES = 8 << 20
+# Bytes a task must have read for its memory to be worth giving back.
+LEAN_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +51,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def lean(run, *caches):
     """``run``, a function over record batches, that gives its memory back when
     its task ends: Python workers outlive their tasks, and those of several
-    stages wait side by side. ``caches`` are cleared as well."""
+    stages wait side by side. A task of few bytes leaves that to the next one
+    of the worker. ``caches`` are cleared in any case."""
     def wrapped(batches):
-        yield from run(batches)
+        size = 0
+
+        def weighed():
+            nonlocal size
+            for batch in batches:
+                size += batch.nbytes
+                yield batch
+
+        yield from run(weighed())
         for cache in caches:
             cache.cache_clear()
+        if size < LEAN_BYTES:
+            return
         gc.collect()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # other C libraries keep what they freed
@@ -92,6 +105,8 @@ def packed(docs: DataFrame, *used: str):
 
 
 HOT_KEYS = 1000
+# Links whose labels one task writes.
+LINKS_PER_TASK = 500_000
 
 
 def hot_key_join(rows: DataFrame, lookup: DataFrame, keys: list[str], counts: DataFrame,
@@ -123,24 +138,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
     is a written table; rounds stop when no label changes. A hub's links are
     reduced by a partial ``min`` before the shuffle.
     """
-    links = stored(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-        .union(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), f"{name}-links")
+    # Both directions come from one pass, so what makes the edges runs once.
+    ends = F.explode(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")),
+                             F.struct(F.col(b).alias("u"), F.col(a).alias("v")))).alias("ends")
+    links = stored(edges.select(ends).select("ends.u", "ends.v").distinct(), f"{name}-links")
+    # Labels of few links are written by few tasks, however many a shuffle has.
+    tasks = max(links.sparkSession.sparkContext.defaultParallelism, links.count() // LINKS_PER_TASK)
     labels = stored(links.groupBy(F.col("u").alias("node"))
-                    .agg(F.least(F.min("v"), F.col("node")).alias("component")), f"{name}-0")
+                    .agg(F.least(F.min("v"), F.col("node")).alias("component")).coalesce(tasks), f"{name}-0")
     rounds = 0
     while True:
         rounds += 1
-        seen = links.join(labels, links["v"] == labels["node"]).select("u", "component")
-        least = (seen.union(labels.select(F.col("node").alias("u"), "component"))
-                 .groupBy("u").agg(F.min("component").alias("c")))
+        seen = links.join(labels, links["v"] == labels["node"]).select("u", "component", F.lit(None).cast("long").alias("own"))
+        # A node's own label goes along, so it needn't be joined again.
+        own = labels.select(F.col("node").alias("u"), "component", F.col("component").alias("own"))
+        least = seen.union(own).groupBy("u").agg(F.min("component").alias("c"), F.max("own").alias("old"))
         roots = labels.select(F.col("node").alias("c"), F.col("component").alias("root"))
-        old = labels.select(F.col("node").alias("u"), F.col("component").alias("old"))
-        new = stored(
-            least.join(roots, "c", "left").join(old, "u")
-            .select(F.col("u").alias("node"),
-                    F.least(F.col("c"), F.coalesce("root", "c")).alias("component"), "old"),
-            f"{name}-{rounds}")
+        new = least.join(roots, "c", "left").select(
+            F.col("u").alias("node"), F.least(F.col("c"), F.coalesce("root", "c")).alias("component"), "old")
+        new = stored(new.coalesce(tasks), f"{name}-{rounds}")
         changed = new.where(F.col("component") != F.col("old")).limit(1).count()
         labels = new.select("node", "component")
         if not changed:
