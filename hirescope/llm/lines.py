@@ -64,16 +64,19 @@ def templates(text: Column) -> Column:
     return F.when(odd, F.regexp_replace(fields, _BLANKS, " ")).otherwise(fields)
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
+def _line_rows(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``(row_key, doc_id, line_no, words, n, node, line)`` of every line that
-    may go; ``node`` and ``line`` together name it."""
-    rows = docs.select(row_key("doc_id", "text").alias("row_key"), "doc_id",
-                       F.posexplode(F.split(templates(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("row_key", "doc_id", "line_no", F.split(F.trim("line"), " ").alias("words"))
+    may go, of ``min_tokens`` tokens or more; ``node`` and ``line`` together
+    name it."""
+    # A text is hashed once, not for each of its lines.
+    rows = docs.select(row_key("doc_id", "text").alias("row_key"), "doc_id", templates(F.col("text")).alias("text"))
+    rows = rows.select("row_key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # Filters are not moved below an explode, where each would split the line again.
+    rows = rows.select("row_key", "doc_id", "line_no", F.explode(F.array(F.split(F.trim("line"), " "))).alias("words"))
     n = F.size("words")
     # The node of a line too short to vary is a second hash of the line.
     node = F.when(n >= VARIABLE_TOKENS, F.xxhash64(n, F.slice("words", 1, LEAD_TOKENS))).otherwise(F.xxhash64(n, "words"))
-    return rows.where(n >= MIN_TOKENS).withColumns({"n": n, "node": node, "line": F.xxhash64("words")})
+    return rows.where(n >= min_tokens).withColumns({"n": n, "node": node, "line": F.xxhash64("words")})
 
 
 def _templates_of_variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def _templates_of_variants(docs: DataFrame, lines: DataFrame) -> DataFrame:
     ).where("a < b and c < d").select("node"), "varied-nodes")
     # Nodes that pass the bitmap without need have one line, or lines of one
     # document; neither recurs.
-    found = rows_of_known_keys(_line_rows(docs).where(F.col("n") >= VARIABLE_TOKENS), varied, "node")
+    found = rows_of_known_keys(_line_rows(docs, VARIABLE_TOKENS), varied, "node")
     variants = stored(found.groupBy("node", "line").agg(
         F.first("words").alias("words"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")), "line-variants")
     totals = stored(variants.groupBy("node").agg(F.count(F.lit(1)).alias("variants")), "variants-of-nodes")

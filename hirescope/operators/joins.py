@@ -64,8 +64,9 @@ def with_known_keys(rows: DataFrame, known: DataFrame, key: str, mark: str, bits
     """``rows`` (NULL keys go) with the column ``mark``: true where the key may be
     among ``known``'s, by the map of ``rows_of_known_keys``, else NULL. An inner
     join drops rows far from any known key at once."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    bucket, at = F.floor(place / _MAP_BITS), (place % _MAP_BITS).cast("int")
+    # Never NULL, so that Spark needn't work the key out once more to test for it.
+    place = F.coalesce(F.pmod(F.xxhash64(key), F.lit(bits)), F.lit(0))
+    bucket, at = F.shiftright(place, _MAP_BITS.bit_length() - 1), place.bitwiseAND(_MAP_BITS - 1).cast("int")
     maps = known.where(F.col(key).isNotNull()).select(bucket.alias("__bucket"), at.alias("__bit")).groupBy("__bucket").agg(
         F.expr("bitmap_construct_agg(__bit)").alias("__map"))
     placed = rows.where(F.col(key).isNotNull()).withColumns({"__bucket": bucket, "__bit": at})
