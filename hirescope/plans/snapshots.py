@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 
 from hirescope.functions.text import MAX_NGRAM, ngrams_of_normalized, normalized
 from hirescope.operators.joins import with_known_keys
+from hirescope.operators.packed_grams import ngram_postings
 from hirescope.sources.sinks import stage
 
 # The n-grams of a text have several times its bytes, so they go to so many
 # times the session's number of shuffle partitions.
 GRAM_PARTITIONS = 4
+# From so many bytes of tables on, n-grams are shuffled in compressed blocks, and
+# so many bytes make a part of them. Spark's figure for what it knows nothing of.
+PACKED_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+UNKNOWN_BYTES = 1 << 62
+
 
 
 def vocabulary_terms(vocabulary: DataFrame) -> DataFrame:
@@ -68,10 +75,24 @@ def _possible_grams(norm: DataFrame, terms: DataFrame) -> DataFrame:
         terms, "keyword", "left_semi")
 
 
+def _bytes_read(df: DataFrame) -> int:
+    """Bytes of the tables behind ``df`` as Spark's planner knows them, which
+    runs no job; 0 if there is one it knows nothing of (rows made in memory)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return 0 if max(sizes, default=0) >= UNKNOWN_BYTES else sum(sizes)
+
+
 def keyword_counts(silver: DataFrame, max_n: int = MAX_NGRAM, vocabulary: DataFrame | None = None,
                    keys: DataFrame | None = None) -> DataFrame:
     """``(keyword, posting_count)`` over every described posting (see ``keyword_snapshot``)."""
     norm = _described(silver, keys)
+    size = _bytes_read(silver)
+    if vocabulary is None and size >= PACKED_BYTES:
+        # A line break would end the posting's name, so it is written in digits.
+        owner = F.when(F.col("__repeated"), F.hex("job_url"))
+        parts = max(int(silver.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+        return ngram_postings(norm.select(owner.alias("owner"), "norm"), parts, max_n)
     if vocabulary is None:
         grams = norm.select("job_url", "__repeated", F.explode(
             F.array_distinct(ngrams_of_normalized(F.col("norm"), max_n))).alias("keyword"))
@@ -107,6 +128,8 @@ def keyword_snapshot(silver: DataFrame, snapshot_date: dt.date | str,
     repeat (counted over the key column alone, no text is read for it).
     Both counts come from one aggregate, whatever the number of repeated keys,
     in the task that the keyword's n-grams are shuffled to.
+    Large tables (``PACKED_BYTES``) are counted the same way by blocks of
+    n-grams (``ngram_postings``): a row per n-gram would fill the disks.
     ``silver`` is read twice (its keys, its texts; with a vocabulary the texts
     twice), so pass the stored table; ``keys`` may name a cheaper frame with
     the same ``job_url`` rows for the first of them.

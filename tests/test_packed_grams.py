@@ -1,0 +1,106 @@
+"""The keyword snapshot of large tables shuffles n-grams in compressed blocks."""
+
+import random
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from hirescope import plans
+from hirescope.operators import packed_grams
+from hirescope.plans import snapshots
+
+SCHEMA = "job_url string, description_text string"
+
+
+def _rows(rng, postings, rows, longest):
+    words = ["a", "b", "c", "d+", "e#", "Ü", "x1", "f", "g"]
+
+    def text():
+        return rng.choice([" ", ", ", " \n "]).join(rng.choice(words) for _ in range(rng.randrange(longest)))
+
+    many = [(rng.choice([None, f"u{rng.randrange(postings)}\n"]) if rng.random() < .1 else f"u{rng.randrange(postings)}",
+             None if rng.random() < .05 else text()) for _ in range(rows)]
+    return many + [(f"one {i}", text()) for i in range(rows)] + [("", "a b"), ("", "a b a"), ("\n", "a b")]
+
+
+def _counts(df, max_n):
+    return sorted((r.keyword, r.posting_count) for r in snapshots.keyword_counts(df, max_n).collect())
+
+
+@pytest.mark.parametrize("max_n", [1, 2, 3, 4])
+def test_blocks_give_the_counts_of_rows(spark, monkeypatch, max_n):
+    df = spark.createDataFrame(_rows(random.Random(max_n), 60, 150, 25), SCHEMA).repartition(3)
+    plain = _counts(df, max_n)
+    monkeypatch.setattr(snapshots, "PACKED_BYTES", 0)
+    assert _counts(df, max_n) == plain and max(n for _, n in plain) > 100
+
+
+@pytest.mark.parametrize("fold_bytes", [1, 2000, 1 << 30])
+def test_folding_a_part_changes_no_count(fold_bytes):
+    rng = random.Random(3)
+    norm = [" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    owner = [rng.choice([None, None, "41", "42", "43", ""]) for _ in norm]
+    want = {}
+    for k, (text, name) in enumerate(zip(norm, owner)):
+        words = text.split(" ")
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                want.setdefault(" ".join(words[i:i + n]), set()).add(k if name is None else name)
+    blocks = {}
+    for i in range(0, 300, 10):
+        texts = (pa.array(x[i:i + 10], pa.string()) for x in (owner, norm))
+        for row in (r for b in packed_grams._pack(*texts, 3, 3, 4) for r in b.to_pylist()):
+            blocks.setdefault(row["part"], []).append(row)
+    got = [(r["keyword"], r["posting_count"]) for rows in blocks.values()
+           for b in packed_grams._counting(3, fold_bytes)(iter([pa.RecordBatch.from_pylist(rows)])) for r in b.to_pylist()]
+    assert len(blocks) == 4 and sorted(got) == sorted((k, len(v)) for k, v in want.items())
+
+
+def test_nothing_described(spark, monkeypatch):
+    monkeypatch.setattr(snapshots, "PACKED_BYTES", 0)
+    assert _counts(spark.createDataFrame([], SCHEMA), 3) == []
+    assert _counts(spark.createDataFrame([("u", ""), ("v", None), (None, "a"), ("w", "- !")], SCHEMA), 3) == []
+
+
+def test_large_tables_shuffle_no_row_per_ngram(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    texts = [(f"u{i}", " ".join(rng.choice(words) for _ in range(500))) for i in range(400)]
+    spark.createDataFrame(texts, SCHEMA).repartition(2).write.parquet(str(tmp_path / "silver"))
+    silver = spark.read.parquet(str(tmp_path / "silver"))
+    monkeypatch.setattr(snapshots, "PACKED_BYTES", 1 << 19, raising=False)
+    large = plans.keyword_snapshot(silver, "2026-01-01")
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 2
+    assert not any("Exchange" in x and "description_text" in x for x in plan.split("\n"))
+    # every window of three tokens, a row of some 20 bytes, takes less than 12
+    norm = silver.select(F.lit(None).cast("string").alias("owner"), F.col("description_text").alias("norm"))
+    blocks = norm.mapInArrow(packed_grams._packing(3, 3, 8), packed_grams._BLOCKS)
+    windows, size = blocks.agg(F.sum("windows"), F.sum(F.length("block"))).first()
+    assert windows > 190_000 and size < 12 * windows
+    # the same rows as from a table too small for blocks
+    monkeypatch.setattr(snapshots, "PACKED_BYTES", 1 << 30)
+    small = plans.keyword_snapshot(silver, "2026-01-01")
+    assert "Generate" in small._jdf.queryExecution().executedPlan().toString()
+    assert large.exceptAll(small).count() == 0 == small.exceptAll(large).count()
+
+
+def test_bytes_are_those_of_the_tables(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("cast(id as string) job_url", "repeat('x', 20) description_text").write.parquet(path)
+    table = spark.read.parquet(path)
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert snapshots._bytes_read(table) == size
+    # two tables read, whatever a join is thought to give
+    assert snapshots._bytes_read(table.join(table.select("job_url"), "job_url")) == 2 * size
+    assert snapshots._bytes_read(spark.createDataFrame([("u", "a")], SCHEMA)) == 0
+
+
+def test_slices_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(packed_grams, "SLICE_BYTES", 100)
+    texts = ["x" * n for n in (5, 0, 250, 30, 30, 30, 30, 1, 0, 99)]
+    batches = [pa.RecordBatch.from_pydict({"owner": pa.array([None] * len(t), pa.string()), "norm": t})
+               for t in (texts[:4], [""], texts[4:])]
+    sizes = [[len(x) for x in s.column("norm").to_pylist()] for s in packed_grams._slices(iter(batches))]
+    assert sizes == [[5, 250], [30, 30, 30, 30], [1, 99]]
